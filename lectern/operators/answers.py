@@ -35,11 +35,14 @@ def topic_gate(
     "yes" from the threshold upwards unless the question is marked
     inappropriate; a missing mark means it is not. No vector, no verdict.
     """
-    score = F.round(cosine(F.col(vector), centroid.scalar()), 4)
+    # a one-row subquery, not a join; it needs a column of its own outside the lambdas
+    questions = questions.withColumn("_centroid", centroid.scalar())
+    score = F.round(cosine(F.col(vector), F.col("_centroid")), 4)
     marked = F.lit(False) if inappropriate is None else F.coalesce(F.col(inappropriate), F.lit(False))
     near = F.col("topic_score") >= threshold
     verdict = F.when(near & ~marked, "yes").when(near.isNotNull(), "no")
-    return questions.withColumn("topic_score", score).withColumn("question_is_relevant", verdict)
+    scored = questions.withColumn("topic_score", score).drop("_centroid")
+    return scored.withColumn("question_is_relevant", verdict)
 
 
 def is_relevant(verdict: Column) -> Column:
