@@ -49,4 +49,5 @@ def embed(
 
 def sparse_vectors(df: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
     """The non-zero entries of each vector as rows ``(key, bucket, value)``."""
-    return df.select(key, F.posexplode(vector).alias("bucket", "value")).where(F.col("value") != 0)
+    # the outer form: the plain one would test, and so compute, the vector once more
+    return df.select(key, F.posexplode_outer(vector).alias("bucket", "value")).where(F.col("value") != 0)

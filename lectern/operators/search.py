@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -37,7 +38,7 @@ SENT_QUESTIONS = 4096
 QUESTION_BLOCK = 4096
 ITEM_BLOCK = 65536
 SALTS = 16
-_TILE = 512
+_TILE_CELLS = 4_000_000
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -45,10 +46,11 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     rows = len(column)
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    if rows and flat.size % rows:
+    if rows == 0:
+        return np.zeros((0, 0))
+    if len(pc.unique(pc.list_value_length(column))) != 1:
         raise ValueError("vectors differ in length")
-    m = flat.reshape(rows, -1)
+    m = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
     with np.errstate(invalid="ignore", divide="ignore"):
         return m / np.linalg.norm(m, axis=1, keepdims=True)
 
@@ -68,9 +70,10 @@ class _Best:
         if take == 0 or len(self.questions) == 0:
             return
         scores, found = [], []
-        for at in range(0, len(self.questions), _TILE):
+        tile = max(1, _TILE_CELLS // n)
+        for at in range(0, len(self.questions), tile):
             # rounded score and place in key order as one integer, so ties need no second pass
-            units = np.rint(self.questions[at : at + _TILE] @ vectors.T * 10**PLACES)
+            units = np.rint(self.questions[at : at + tile] @ vectors.T * 10**PLACES)
             rank = np.nan_to_num(units, nan=-(10.0**PLACES) * 2).astype(np.int64) * n
             rank += np.arange(n - 1, -1, -1)
             top = np.argpartition(rank, n - take, axis=1)[:, n - take :]

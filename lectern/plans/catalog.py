@@ -36,11 +36,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, folder: str) -> DataFrame:
-    return tables.page_source(_table(spark, folder, "pages"))
+    return tables.page_source(tables.spread(_table(spark, folder, "pages")))
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    return tables.documents_from_table(_table(spark, folder, "documents"))
+    return tables.documents_from_table(tables.spread(_table(spark, folder, "documents")))
 
 
 def _chunks(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,12 +56,13 @@ def _questions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _turns(spark: SparkSession, folder: str) -> DataFrame:
-    return _table(spark, folder, "conversations")
+    return tables.spread(_table(spark, folder, "conversations"))
 
 
 def _labelled(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with their labels, where there are any."""
-    return _table(spark, folder, "documents").join(_table(spark, folder, "labels"), "doc_id", "left")
+    documents = tables.spread(_table(spark, folder, "documents"))
+    return documents.join(_table(spark, folder, "labels"), "doc_id", "left")
 
 
 def _withdrawn(spark: SparkSession, folder: str) -> DataFrame:
@@ -311,9 +312,8 @@ def upsert_index(spark, folder):
 @_query
 def sync_index(spark, folder):
     then = index.build_index(chunks.chunk_documents(_reviewed_then(spark, folder)))
-    rows = index.sync_index(
-        materialise(then, "index"), chunks.chunk_documents(_reviewed_now(spark, folder))
-    )
+    now = chunks.chunk_documents(_reviewed_now(spark, folder))
+    rows = index.sync_index(materialise(then, "index"), materialise(now, "chunks"))
     return _sparse(rows, "chunk_id")
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.chunks import chunk_documents
 from ..operators.index import upsert_index
 from ..operators.pages import CONTENT, TITLE, documents_from_pages
-from ..sources.tables import drop_null_content, page_source, read_table, write_table
 from ..schemas import DOCUMENTS
+from ..session import materialise
+from ..sources.tables import drop_null_content, page_source, read_table, write_table
 
 
 def load_pages(
@@ -29,5 +30,9 @@ def load_pages(
 
 
 def index_documents(spark: SparkSession, documents: DataFrame, root: str, **kw) -> DataFrame:
-    """Create or sync the index of a document table."""
-    return upsert_index(spark, root, chunk_documents(documents), **kw)
+    """Create or sync the index of a document table.
+
+    The chunk table is written first: a sync reads it twice, to find what
+    changed and to embed that.
+    """
+    return upsert_index(spark, root, materialise(chunk_documents(documents), "chunks"), **kw)

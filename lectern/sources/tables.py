@@ -16,6 +16,17 @@ def read_table(spark: SparkSession, name_or_path: str, schema: T.StructType) ->
     return conform(spark.table(name_or_path), schema)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a plain scan over all cores, if the scan alone would leave cores idle.
+
+    A few small files or one large row group give few tasks, too few for the
+    text work that follows. A large table has more splits than cores and stays
+    as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def page_source(df: DataFrame, status_col: str | None = None) -> DataFrame:
     """Fetched pages; with a status column only those answered with 200."""
     if status_col is not None:
