@@ -52,9 +52,11 @@ def search_query(turns: DataFrame, last_user: bool = False) -> DataFrame:
     Without history this is the question itself. The parts of a dialog, joined
     by one space, are its query; a dialog within ``PART`` turns has one part.
     """
-    earlier = extract_history(turns, last_user).where(F.col("role") == "user").select("conv_id", "turn", "text")
-    asked = extract_question(turns, last_user).select("conv_id", "turn", F.col("question").alias("text"))
-    rows = earlier.unionByName(asked)
+    rows = turns.where(F.col("role") == "user").select("conv_id", "turn", "text")
+    if not last_user:
+        # a last message of the user is among these already
+        asked = extract_question(turns).where(~F.col("role").eqNullSafe("user"))
+        rows = rows.unionByName(asked.select("conv_id", "turn", F.col("question").alias("text")))
     return _parts(rows, " ", F.col("text")).withColumnRenamed("body", "search_query")
 
 
@@ -100,48 +102,51 @@ def prompts(
     """
     last = turns.groupBy("conv_id").agg(
         F.min("turn").alias("first_turn"),
-        F.count("*").alias("n_turns"),
         F.max_by(F.struct("turn", F.col("text").alias("question")), "turn").alias("last"),
     )
     slots = {"subject": subject}
-    rows = turns
+    said = turns
     if extra is not None:
         last = last.join(extra, "conv_id")
+        said = lookup(turns, extra.select("conv_id"), ["conv_id"], "turn")
         slots |= {c: F.col(c) for c in extra.columns if c != "conv_id"}
     head, tail = around(template, "chat_history", question=F.col("last.question"), **slots)
-    first_part = F.floor(F.col("first_turn") / PART).cast("bigint")
-    last_part = F.floor(F.col("last.turn") / PART).cast("bigint")
-    ends = last.select(
-        "conv_id",
-        F.explode(
-            F.array(
-                F.struct(first_part.alias("part"), F.concat(head, F.lit("[")).alias("head"), F.lit(None).cast("string").alias("tail")),
-                F.struct(last_part.alias("part"), F.lit(None).cast("string").alias("head"), F.concat(F.lit("]"), tail).alias("tail")),
-            )
-        ).alias("end"),
-    ).select("conv_id", "end.*", F.lit(None).cast("struct<turn:bigint,piece:string>").alias("message"))
-    said = extract_history(rows)
-    if extra is not None:
-        said = lookup(said, extra.select("conv_id"), ["conv_id"], "turn")
-    said = said.select(
-        "conv_id",
-        F.floor(F.col("turn") / PART).cast("bigint").alias("part"),
-        F.lit(None).cast("string").alias("head"),
-        F.lit(None).cast("string").alias("tail"),
-        F.struct(
-            F.col("turn").cast("bigint").alias("turn"), literal_message(F.col("role"), F.col("text")).alias("piece")
-        ).alias("message"),
+
+    def part(turn: str) -> Column:
+        return F.floor(F.col(turn) / PART).cast("bigint").alias("part")
+
+    # one row type for both ends of a prompt and the messages between them
+    columns = {
+        "head": "string",
+        "tail": "string",
+        "asked": "bigint",
+        "message": "struct<turn:bigint,piece:string>",
+    }
+
+    def row(df: DataFrame, at: str, **given: Column) -> DataFrame:
+        filled = [given.get(c, F.lit(None)).cast(t).alias(c) for c, t in columns.items()]
+        return df.select("conv_id", part(at), *filled)
+
+    piece = literal_message(F.col("role"), F.col("text")).alias("piece")
+    rows = (
+        row(last, "first_turn", head=F.concat(head, F.lit("[")))
+        .unionByName(row(last, "last.turn", tail=F.concat(F.lit("]"), tail), asked=F.col("last.turn")))
+        .unionByName(row(said, "turn", message=F.struct("turn", piece)))
     )
-    listed = F.sort_array(F.collect_list("message"))
-    grouped = (
-        ends.unionByName(said)
-        .groupBy("conv_id", "part")
-        .agg(F.max("head").alias("head"), F.max("tail").alias("tail"), listed.alias("messages"))
+    grouped = rows.groupBy("conv_id", "part").agg(
+        F.max("head").alias("head"),
+        F.max("tail").alias("tail"),
+        F.max("asked").alias("asked"),
+        F.sort_array(F.collect_list("message")).alias("messages"),
     )
-    body = F.array_join(F.transform("messages", lambda m: m["piece"]), ", ")
+    # the question is the last message of the last part and no history
+    earlier = F.filter("messages", lambda m: F.col("asked").isNull() | (m["turn"] < F.col("asked")))
+    grouped = grouped.select("conv_id", "part", "head", "tail", F.transform(earlier, lambda m: m["piece"]).alias("said"))
     # a later part continues the list of an earlier one
-    joint = F.when(F.col("head").isNull() & (F.size("messages") > 0), ", ").otherwise("")
-    text = F.concat(F.coalesce("head", F.lit("")), joint, body, F.coalesce("tail", F.lit("")))
+    joint = F.when(F.col("head").isNull() & (F.size("said") > 0), ", ").otherwise("")
+    text = F.concat(
+        F.coalesce("head", F.lit("")), joint, F.array_join("said", ", "), F.coalesce("tail", F.lit(""))
+    )
     return grouped.select("conv_id", "part", text.alias("prompt"))
 
 

@@ -38,6 +38,7 @@ SENT_QUESTIONS = 4096
 QUESTION_BLOCK = 4096
 ITEM_BLOCK = 65536
 SALTS = 16
+HOT_ROWS = 100_000
 _TILE_CELLS = 4_000_000
 
 
@@ -179,15 +180,15 @@ def _grid(
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, schema)
 
 
-def lookup(rows: DataFrame, unique: DataFrame, on: list[str], spread: str) -> DataFrame:
-    """Join rows to a table with one row per key, spreading each key over several tasks.
+def lookup(rows: DataFrame, unique: DataFrame, on: list[str], spread: str, how: str = "inner") -> DataFrame:
+    """Join rows to a narrow table with one row per key, spreading each key over several tasks.
 
-    The small side is repeated once per salt, so a key that holds a large part
-    of ``rows`` is shared by ``SALTS`` tasks. It stays an exact inner join.
+    The narrow side is repeated once per salt, so a key that holds a large part
+    of ``rows`` is shared by ``SALTS`` tasks. The result is that of a plain join.
     """
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
     copies = unique.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*on, "_salt"]).drop("_salt")
+    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
 def rank_hits(scored: DataFrame, k: int, qid: str, iid: str) -> DataFrame:
@@ -267,14 +268,22 @@ def with_item_columns(hits: DataFrame, index: DataFrame, columns: list[str], qid
     """Fetch ``columns`` for the hits only; vectors and text never travel together.
 
     The hits (at most ``k`` per question) are written once, so the search does
-    not run again for each of the two joins. The index is first cut to the
-    chunks that were hit (both keys unique), then joined with salts because one
-    chunk may be the hit of very many questions.
+    not run again for each use. The index is first cut to the chunks that were
+    hit. One chunk may be the hit of very many questions: only such chunks are
+    copied, once per ``HOT_ROWS`` hits, so that no task gets all of them.
     """
     hits = materialise(hits, "hits")
-    wanted = hits.select("chunk_id").distinct()
-    fetched = index.select("chunk_id", *columns).join(wanted, "chunk_id", "left_semi")
-    return lookup(hits, fetched, ["chunk_id"], qid)
+    counts = hits.groupBy("chunk_id").agg(F.count("*").alias("n"))
+    fetched = index.select("chunk_id", *columns).join(counts.select("chunk_id"), "chunk_id", "left_semi")
+    hot = counts.where(F.col("n") > HOT_ROWS)
+    if hot.isEmpty():
+        return hits.join(fetched, "chunk_id")
+    shares = hot.select("chunk_id", F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("_shares"))
+    share = F.pmod(F.xxhash64(qid), F.coalesce("_shares", F.lit(1))).cast("int").alias("_share")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1)).alias("_share")
+    asked = lookup(hits, shares, ["chunk_id"], qid, how="left").select(*hits.columns, share)
+    copied = fetched.join(shares, "chunk_id", "left").select(*fetched.columns, every)
+    return asked.join(copied, ["chunk_id", "_share"]).drop("_share")
 
 
 def topk_text(

@@ -35,11 +35,19 @@ def _with_docs(asked: DataFrame, index: DataFrame, k: int, key: str) -> DataFram
 
 
 def judged_dialogs(
-    turns: DataFrame, index: DataFrame, threshold: float = THRESHOLD, dim: int = DIM
+    turns: DataFrame,
+    index: DataFrame,
+    threshold: float = THRESHOLD,
+    dim: int = DIM,
+    centroid: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per dialog: question, search vector and topic verdict."""
+    """One row per dialog: question, search vector and topic verdict.
+
+    A stored ``centroid`` saves the pass over the index that computes it.
+    """
     state = dialog_state(turns, dim).withColumn("_asked", embed_text(F.col("question"), dim))
-    return topic_gate(state, topic_centroid(index, dim), threshold, "_asked").drop("_asked")
+    center = topic_centroid(index, dim) if centroid is None else centroid
+    return topic_gate(state, center, threshold, "_asked").drop("_asked")
 
 
 def retrieved_dialogs(judged: DataFrame, index: DataFrame, k: int = RETRIEVED) -> DataFrame:
@@ -48,7 +56,12 @@ def retrieved_dialogs(judged: DataFrame, index: DataFrame, k: int = RETRIEVED) -
 
 
 def answer_all(
-    turns: DataFrame, index: DataFrame, k: int = RETRIEVED, threshold: float = THRESHOLD, dim: int = DIM
+    turns: DataFrame,
+    index: DataFrame,
+    k: int = RETRIEVED,
+    threshold: float = THRESHOLD,
+    dim: int = DIM,
+    centroid: DataFrame | None = None,
 ) -> DataFrame:
     """``(conv_id, result, sources)`` for every dialog of the flat table.
 
@@ -56,7 +69,8 @@ def answer_all(
     them. Refused dialogs take no part in the search.
     """
     judged = materialise(
-        judged_dialogs(turns, index, threshold, dim).withColumn("model", F.lit(model_name(dim))), "dialogs"
+        judged_dialogs(turns, index, threshold, dim, centroid).withColumn("model", F.lit(model_name(dim))),
+        "dialogs",
     )
     require_same_model(index, judged.where(F.col("embedding").isNotNull()))
     found = retrieved_dialogs(judged, index, k)

@@ -23,6 +23,7 @@ def local_session(cores: int | str = "*", memory: str = "8g", shuffle_partitions
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.dataFrameQueryContext.enabled", "false")
         .getOrCreate()
     )
 

@@ -121,7 +121,9 @@ def test_embedding(spark):
         assert abs(sum(x * x for x in v) - 1) < 1e-5
 
 
-def test_text_search_with_a_chunk_everyone_hits(spark):
+@pytest.mark.parametrize("hot", [100_000, 8])
+def test_text_search_with_a_chunk_everyone_hits(spark, monkeypatch, hot):
+    monkeypatch.setattr(S, "HOT_ROWS", hot)
     index = spark.createDataFrame(
         [("a", "u1", None, "visa forms and fees"), ("b", "u2", "T", "dogs and cats")],
         "chunk_id string, url string, page_title string, text string",
