@@ -146,11 +146,9 @@ def _grid(
     n_q = questions.groupBy(*cells).agg(F.ceil(F.count("*") / QUESTION_BLOCK).cast("int").alias("_nq"))
     n_i = items.groupBy(*cells).agg(F.ceil(F.count("*") / ITEM_BLOCK).cast("int").alias("_ni"))
     if cells:
-        # a hot cell must not meet its one count row in a single task
-        questions = lookup(questions, n_i, cells, qid)
-        questions = lookup(questions, n_q, cells, qid)
-        items = lookup(items, n_q, cells, iid)
-        items = lookup(items, n_i, cells, iid)
+        # one row per cell that has both sides; a hot cell must not meet it in a single task
+        sizes = n_q.join(n_i, cells)
+        questions, items = lookup(questions, sizes, cells, qid), lookup(items, sizes, cells, iid)
     else:
         both = {"_nq": n_q.select("_nq").scalar(), "_ni": n_i.select("_ni").scalar()}
         questions, items = questions.withColumns(both), items.withColumns(both)

@@ -45,9 +45,19 @@ def work_folder(spark: SparkSession) -> str:
     return _LOCAL_WORK[app]
 
 
+def _application_folder(spark: SparkSession) -> str:
+    return f"{work_folder(spark)}/lectern/{spark.sparkContext.applicationId}"
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{work_folder(spark)}/lectern/{name}-{uuid.uuid4().hex}"
+    return f"{_application_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Delete the work tables of this application; results read from them must be stored by then."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_application_folder(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
