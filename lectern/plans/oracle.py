@@ -18,7 +18,7 @@ UNSEEN = r"'(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>'"
 
 def _clean_entities(x: str) -> str:
     for name, char in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("amp", "&")):
-        x = f"replace({x}, '&{name};', '{char}')"
+        x = rf"regexp_replace({x}, '&{name}(;|\b)', '{char}', 'g')"
     return x
 
 
