@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import let
 from ..functions.text import paragraphs, words
 from ..functions.vectors import cosine
-from .embedding import DIM
 
 # Fixed values.
 REFUSAL = "I cannot answer questions that are not about U.S. Citizenship and Immigation policies."
@@ -17,10 +18,10 @@ NO_TITLE = "None"
 THRESHOLD = 0.5
 
 
-def topic_centroid(index: DataFrame, dim: int = DIM) -> DataFrame:
+def topic_centroid(index: DataFrame) -> DataFrame:
     """Mean vector of the index: one row, averaged in each task before the shuffle."""
-    means = [F.avg(F.get("embedding", F.lit(i)).cast("double")) for i in range(dim)]
-    return index.agg(F.array(*means).alias("centroid"))
+    vectors = array_to_vector(F.col("embedding").cast("array<double>"))
+    return index.agg(vector_to_array(Summarizer.mean(vectors)).alias("centroid"))
 
 
 def topic_gate(

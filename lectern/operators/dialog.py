@@ -9,11 +9,14 @@ and long texts come in parts of at most ``PART`` turns.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.prompts import SUBJECT, around, literal_message
 from ..functions.vectors import bucket_counts, unit
+from ..session import materialise
 from .embedding import DIM
 from .search import lookup
 
@@ -66,18 +69,18 @@ def dialog_state(turns: DataFrame, dim: int = DIM) -> DataFrame:
     ``embedding`` is the vector of the search query. Word counts add up over
     messages, so the query's text is never assembled.
     """
-    counted = turns.select(
-        "conv_id",
-        "turn",
-        "role",
-        "text",
-        F.when(F.col("role") == "user", bucket_counts(F.col("text"), dim)).alias("_counts"),
-    )
-    sums = [F.coalesce(F.sum(F.get("_counts", F.lit(i))), F.lit(0)) for i in range(dim)]
-    state = counted.groupBy("conv_id").agg(
-        F.count("*").alias("n_turns"),
-        F.max_by(F.struct("role", F.col("text").alias("question")), "turn").alias("_last"),
-        F.array(*sums).alias("_sums"),
+    said = F.when(F.col("role") == "user", bucket_counts(F.col("text"), dim))
+    counts = F.coalesce(said, F.array_repeat(F.lit(0), dim)).cast("array<double>")
+    state = (
+        turns.select("conv_id", "turn", "role", "text", array_to_vector(counts).alias("_counts"))
+        .groupBy("conv_id")
+        .agg(
+            F.count("*").alias("n_turns"),
+            F.max_by(F.struct("role", F.col("text").alias("question")), "turn").alias("_last"),
+            vector_to_array(Summarizer.sum(F.col("_counts"))).alias("_total"),
+        )
+        # the sum is kept as a running mean, so it is whole up to rounding
+        .withColumn("_sums", F.transform("_total", lambda x: F.round(x).cast("int")))
     )
     # the question counts even when it is not a user message
     added = F.when(F.col("_last.role") == "user", F.col("_sums")).otherwise(
@@ -107,6 +110,7 @@ def prompts(
     slots = {"subject": subject}
     said = turns
     if extra is not None:
+        extra = materialise(extra, "slots")
         last = last.join(extra, "conv_id")
         said = lookup(turns, extra.select("conv_id"), ["conv_id"], "turn")
         slots |= {c: F.col(c) for c in extra.columns if c != "conv_id"}

@@ -241,7 +241,10 @@ def topk_lsh(
         inputCol="_v", outputCol="_hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
     )
     # fitting only draws the random directions for the vector length it sees
-    model = lsh.fit(as_vector(items.limit(1)))
+    sample = as_vector(items.limit(1))
+    if sample.isEmpty():
+        return rank_hits(items.sparkSession.createDataFrame([], schema), k, qid, iid)
+    model = lsh.fit(sample)
 
     def hashed(df: DataFrame, key: str) -> DataFrame:
         with_hash = model.transform(as_vector(df))

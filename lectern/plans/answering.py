@@ -46,7 +46,7 @@ def judged_dialogs(
     A stored ``centroid`` saves the pass over the index that computes it.
     """
     state = dialog_state(turns, dim).withColumn("_asked", embed_text(F.col("question"), dim))
-    center = topic_centroid(index, dim) if centroid is None else centroid
+    center = topic_centroid(index) if centroid is None else centroid
     return topic_gate(state, center, threshold, "_asked").drop("_asked")
 
 

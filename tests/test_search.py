@@ -77,6 +77,7 @@ def test_empty_sides(spark):
     assert S.topk_vector(q, none, 4).count() == 0
     assert S.topk_vector(q, none, 4, sent_questions=0).count() == 0
     assert S.topk_vector(q.limit(0), none, 4).count() == 0
+    assert S.topk_lsh(q, none, 4).count() == 0
 
 
 def test_lsh_recall_on_given_vectors(spark, folder):
