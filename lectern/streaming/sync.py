@@ -53,20 +53,21 @@ def write_batch(
     """
     digest = F.md5(F.to_json(F.struct("page_title", "content"), {"ignoreNullFields": "false"}))
     rows = documents.withColumn("digest", digest).withColumn("deleted", F.col("content").isNull())
-    # one version per URL within a batch
-    newest = F.max_by(F.struct("page_title", "content", "deleted", "digest"), F.struct("deleted", "digest"))
-    rows = rows.groupBy("url").agg(newest.alias("row")).select("url", "row.*")
     log_path, chunk_path = f"{root}/log", f"{root}/chunks"
+    # what to do is decided on URLs and digests; the texts stay where they are
+    newest = F.max(F.struct("deleted", "digest")).alias("row")
+    todo = rows.groupBy("url").agg(newest).select("url", "row.*")
     if _exists(spark, log_path):
         earlier = _read(spark, log_path, LOG).where(F.col("batch_id") < batch_id)
-        seen = _latest(earlier).select("url", "digest")
-        rows = rows.join(seen, ["url", "digest"], "left_anti")
-    rows = materialise(rows, "batch")
-    live = rows.where(~F.col("deleted")).select("url", "page_title", "content")
+        todo = todo.join(_latest(earlier).select("url", "digest"), ["url", "digest"], "left_anti")
+    todo = materialise(todo, "batch")
+    if todo.count() < documents.count():
+        rows = rows.join(todo, ["url", "digest"], "left_semi").dropDuplicates(["url", "digest"])
+    live = rows.where(F.col("content").isNotNull()).select("url", "page_title", "content")
     index = build_index(chunk_documents(live), dim, encoder, model)
     index.write.mode("overwrite").parquet(f"{chunk_path}/batch_id={batch_id}")
     # the log comes last: readers follow the log, so they never see half a batch
-    rows.select(*LOG.fieldNames()).write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")
+    todo.select(*LOG.fieldNames()).write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")
 
 
 def sync_stream(
