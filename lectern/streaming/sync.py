@@ -13,6 +13,7 @@ from ..operators.embedding import DIM
 from ..operators.index import build_index
 from ..schemas import INDEX
 from ..session import materialise
+from ..sources.tables import spread
 
 LOG = T.StructType(
     [
@@ -52,6 +53,8 @@ def write_batch(
     with the same title and content are skipped.
     """
     digest = F.md5(F.to_json(F.struct("page_title", "content"), {"ignoreNullFields": "false"}))
+    # a batch of few files would leave most cores idle
+    documents = spread(documents)
     rows = documents.withColumn("digest", digest).withColumn("deleted", F.col("content").isNull())
     log_path, chunk_path = f"{root}/log", f"{root}/chunks"
     # what to do is decided on URLs and digests; the texts stay where they are
