@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid
+from . import langid, mixing, sharding
 from .common import held_out
 
 
@@ -24,8 +24,25 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score", "margin", "accepted")
 
 
+def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """How many words of each document the mix of all sources takes."""
+    mixed = mixing.taken(mixing.mix(_table(spark, folder, "documents")))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's place in 24 shards of nearly equal bytes."""
+    placed = sharding.shard(_table(spark, folder, "documents"), 24)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op3_mixing": op3_mixing,
+    "op4_sharding": op4_sharding,
 }
 
 ORACLE: dict[str, str] = {}
