@@ -22,3 +22,9 @@ def narrow(df: DataFrame, **columns: str) -> DataFrame:
 def bounded_sample(df: DataFrame, rows: int, *by: str) -> DataFrame:
     """The ``rows`` rows with the smallest hash of ``by``: the same rows in every run."""
     return df.orderBy(F.xxhash64(*by), *by).limit(rows)
+
+
+def hash_sample(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """About ``rows`` rows of ``df``, picked by a hash of ``by`` alone: a filter, the same rows in every run."""
+    share = min(1.0, rows / max(1, df.count()))
+    return df.where(F.pmod(F.xxhash64(*by), F.lit(1 << 30)) < int(share * (1 << 30)))
