@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cascade, langid, mixing, secrets, sharding
+from . import cascade, langid, licenses, mixing, quality, secrets, sharding
 from .common import held_out
 
 
@@ -24,6 +24,11 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score", "margin", "accepted")
 
 
+def op2_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """License notices in every document: template, covered share, span."""
+    return licenses.scan(_table(spark, folder, "documents"))
+
+
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """How many words of each document the mix of all sources takes."""
     mixed = mixing.taken(mixing.mix(_table(spark, folder, "documents")))
@@ -39,6 +44,14 @@ def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document, learnt from the labels outside the held-out fold."""
+    documents, out = _table(spark, folder, "documents"), held_out("doc_id", 4, 2)
+    forest = quality.fit(documents, _table(spark, folder, "labels").where(~out))
+    found = quality.rate(documents, forest)
+    return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets of every document: known forms, and what is as random as a key."""
     found = secrets.scan(_table(spark, folder, "documents"))
@@ -66,8 +79,10 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_licenses": op2_licenses,
     "op3_mixing": op3_mixing,
     "op4_sharding": op4_sharding,
+    "op5_quality": op5_quality,
     "op8_secrets": op8_secrets,
     "op10_quality_rules": op10_quality_rules,
 }
