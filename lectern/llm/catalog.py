@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cascade, langid, licenses, mixing, quality, secrets, sharding
+from . import cascade, langid, licenses, mixing, ppm, quality, secrets, sharding
 from .common import held_out
 
 
@@ -52,6 +52,13 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op6_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probability of every document, learnt from all outside the held-out fold."""
+    documents, out = _table(spark, folder, "documents"), held_out("doc_id", 5, 1)
+    found = ppm.score(documents, documents.where(~out))
+    return found.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets of every document: known forms, and what is as random as a key."""
     found = secrets.scan(_table(spark, folder, "documents"))
@@ -83,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
+    "op6_lm_scores": op6_lm_scores,
     "op8_secrets": op8_secrets,
     "op10_quality_rules": op10_quality_rules,
 }
