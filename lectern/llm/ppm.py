@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..session import materialise
 from .common import narrow
 
-ORDER, SHARE_BITS = 4, 20
+ORDER, SHARE_BITS = 5, 20
 #: Bytes that no UTF-8 text contains: before its start, and its end.
 PAD, END = 0xFE, 0xFF
 #: Bytes coded at once; a longer text is coded in pieces that see the bytes before.
