@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cascade, langid, licenses, mixing, ppm, quality, secrets, sharding
+from . import cascade, jaccard, langid, licenses, mixing, ppm, quality, secrets, sharding
 from .common import held_out
+from .oracle import ORACLE
+
+__all__ = ["ORACLE", "QUERIES"]
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -59,6 +62,11 @@ def op6_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Size of every document's shingle set and its component of near copies."""
+    return jaccard.join(_table(spark, folder, "documents")).withColumnRenamed("component", "component_id")
+
+
 def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets of every document: known forms, and what is as random as a key."""
     found = secrets.scan(_table(spark, folder, "documents"))
@@ -91,8 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
     "op6_lm_scores": op6_lm_scores,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_secrets": op8_secrets,
     "op10_quality_rules": op10_quality_rules,
 }
-
-ORACLE: dict[str, str] = {}
