@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cascade, jaccard, langid, licenses, mixing, ppm, quality, secrets, sharding
+from . import cascade, decontaminate, jaccard, langid, licenses, mixing, ppm, quality, secrets, sharding
 from .common import held_out
 from .oracle import ORACLE
 
@@ -84,6 +84,14 @@ def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items in documents, also with other numbers, names and units; a row per document and item."""
+    found = decontaminate.find(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return found.groupBy("doc_id", "item_id").agg(
+        F.max("matched").alias("matched"), F.max("windows").alias("windows"), F.min("exchanged").alias("exchanged")
+    )
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts of every document and whether the cascade of rules keeps it."""
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -101,5 +109,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_lm_scores": op6_lm_scores,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_secrets": op8_secrets,
+    "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
 }

@@ -31,10 +31,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import materialise
+from .common import WORD, narrow
 from .components import components
-from .common import narrow
 
 WORDS = 5
 #: Shingles counted by one task, and postings searched by one.
@@ -96,17 +97,17 @@ def _class(found: np.ndarray) -> int:
 
 
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, cls) of every row, written: size of its set and the set's class; an empty set has class null."""
+    """(id, print, n, cls) of every row, written: a hash of the text, size of its set, its class; an empty set has class null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t) for t in batch.column(1).to_pylist()]
+            sets = [shingles(t) for t in batch.column(2).to_pylist()]
             n = pa.array([len(s) for s in sets], pa.int64())
             cls = pa.array([_class(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), n, cls], ["id", "n", "cls"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, cls], ["id", "print", "n", "cls"])
 
-    rows = narrow(df, id=id_col, text=text_col)
-    return materialise(rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, n long, cls long"), "sets")
+    rows = narrow(df, id=id_col, text=text_col).select("id", F.xxhash64("text").alias("print"), "text")
+    return materialise(rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, print long, n long, cls long"), "sets")
 
 
 def _packed(keys: np.ndarray) -> bytes:
@@ -457,22 +458,42 @@ def links(df: DataFrame, text_col: str = "text", n_shingles: int = 0) -> DataFra
     return components(tasks.groupBy("block", "i", "j").applyInArrow(_search, "a long, b long"))
 
 
+def _resolved(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, print, n, cls), and (cls, root, first) with the class's first row (no_id, id, print)."""
+    rows = documents(df, id_col, text_col)
+    total = rows.agg(F.sum("n").alias("n")).first().n or 0
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "print")).alias("first")
+    classes = rows.where("cls IS NOT NULL").groupBy("cls").agg(first)
+    linked = links(df, text_col, total)
+    grouped = classes.join(linked, classes["cls"] == linked["node"], "left")
+    return rows, materialise(grouped.select("cls", F.coalesce("root", "cls").alias("root"), "first"), "classes")
+
+
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component (smallest id reachable by links, its own included) of every row of ``df``.
 
     Null and wordless texts have the empty set and link with nothing. Rows
     with equal sets link, whatever their ids; null ids count as the largest.
     """
-    rows = documents(df, id_col, text_col)
-    total = rows.agg(F.sum("n").alias("n")).first().n or 0
-    classes = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("first"))
-    linked = links(df, text_col, total)
-    grouped = classes.join(linked, classes["cls"] == linked["node"], "left").select(
-        "cls", "first", F.coalesce("root", "cls").alias("root")
-    )
-    grouped = materialise(grouped, "classes")
-    least = grouped.groupBy("root").agg(F.min("first").alias("component"))
-    by_class = grouped.join(least, "root").select("cls", "component")
-    some = rows.where("cls IS NOT NULL").join(by_class, "cls").select("id", "n", "component")
+    rows, classes = _resolved(df, id_col, text_col)
+    least = classes.groupBy("root").agg(F.min("first").alias("least"))
+    component = classes.join(least, "root").select("cls", F.col("least.id").alias("component"))
+    some = rows.where("cls IS NOT NULL").join(component, "cls").select("id", "n", "component")
     none = rows.where("cls IS NULL").select("id", "n", F.col("id").alias("component"))
     return some.unionByName(none).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component")
+
+
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``df`` per component, columns unchanged: the one with the smallest id; rows without a word all stay.
+
+    Should several texts have that id, the one with the smallest hash stays,
+    and of equal rows any one. Null ids come last.
+    """
+    _, classes = _resolved(df, id_col, text_col)
+    kept = classes.groupBy("root").agg(F.min("first").alias("f")).select(F.col("f.id").alias("__id"), F.col("f.print").alias("__print"))
+    key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    worded = F.coalesce(text.rlike(WORD), F.lit(False))
+    met = df.where(worded).join(kept, key.eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__print")))
+    turn = F.row_number().over(Window.partitionBy("__id", "__print").orderBy("__print"))
+    once = met.withColumn("__turn", turn).where("__turn = 1")
+    return once.select([F.col(f"`{c}`") for c in df.columns]).unionByName(df.where(~worded))

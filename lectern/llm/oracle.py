@@ -85,4 +85,56 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM c
 """
 
-ORACLE: dict[str, str] = {"op3_mixing": OP3, "op7_jaccard_join": OP7, "op10_quality_rules": OP10}
+_NUMBERS = "two three four five six seven eight nine ten eleven twelve hundred thousand million billion"
+_UNITS = (
+    "mm cm m km mg g kg ml l liter liters litre litres meter meters metre metres mile miles inch inches foot feet yard yards "
+    "gram grams kilogram kilograms pound pounds ounce ounces second seconds minute minutes hour hours day days week weeks "
+    "month months year years dollar dollars euro euros cent cents percent degree degrees"
+)
+
+
+def _in(word: str, listed: str) -> str:
+    return f"{word} IN ({', '.join(repr(x) for x in listed.split())})"
+
+
+def _template_words(text: str) -> str:
+    marked = f"regexp_replace(coalesce({text}, ''), '([\\p{{Ll}}\\p{{Nd}},;)] )(\\p{{Lu}})', '\\1' || chr(1) || '\\2', 'g')"
+    return f"string_split(trim(regexp_replace(lower({marked}), '[^\\p{{L}}\\p{{Nd}}\\x01]+', ' ', 'g')), ' ')"
+
+
+_SLOT = (
+    "CASE WHEN starts_with(x, chr(1)) THEN '<name>' WHEN x >= '0' AND x < ':' OR "
+    + _in("x", _NUMBERS) + " THEN '<number>' WHEN " + _in("x", _UNITS) + " THEN '<unit>' END"
+)
+OP9 = f"""
+WITH i AS (SELECT item_id, {_template_words('text')} AS w FROM benchmark
+), d AS (SELECT doc_id, {_template_words('text')} AS w FROM documents
+), iw AS (
+  SELECT item_id, spot, length, w[spot + 1 : spot + length] AS asked
+  FROM (SELECT *, least(len(w), 8) AS length, unnest(range(0, len(w) - least(len(w), 8) + 1)) AS spot FROM i)
+), ik AS (
+  SELECT *, list_transform(asked, lambda x: coalesce({_SLOT}, x)) AS key, count(*) OVER (PARTITION BY item_id) AS windows FROM iw
+  WHERE len(list_filter(asked, lambda x: ({_SLOT}) IS NULL AND x <> '')) >= least(4, length)
+), dw AS (
+  SELECT doc_id, place, w[place + 1 : place + length] AS given
+  FROM (SELECT *, unnest(range(0, len(w) - length + 1)) AS place FROM d, (SELECT DISTINCT length FROM ik) WHERE len(w) >= length)
+), m AS (
+  SELECT doc_id, item_id, place - spot AS diagonal, spot, windows, list_zip(asked, given) AS pairs
+  FROM (SELECT *, list_transform(given, lambda x: coalesce({_SLOT}, x)) AS key FROM dw) JOIN ik USING (key)
+), s AS (
+  SELECT DISTINCT doc_id, item_id, diagonal, pair[1] AS a, pair[2] AS b
+  FROM (SELECT doc_id, item_id, diagonal, unnest(pairs) AS pair FROM m)
+  WHERE list_transform([pair[1]], lambda x: {_SLOT})[1] IS NOT NULL
+), c AS (
+  SELECT doc_id, item_id, diagonal, count(*) = count(DISTINCT a) AS fine, count(*) FILTER (a <> b) AS exchanged FROM s GROUP BY ALL
+), f AS (
+  SELECT doc_id, item_id, diagonal, count(DISTINCT spot) AS matched, max(windows) AS windows FROM m GROUP BY ALL
+), g AS (
+  SELECT doc_id, item_id, matched, windows, coalesce(exchanged, 0) AS exchanged
+  FROM f LEFT JOIN c USING (doc_id, item_id, diagonal) WHERE coalesce(fine, true) AND matched >= greatest(1, least(6, windows - 1))
+)
+SELECT doc_id, item_id, max(matched) AS matched, max(windows) AS windows, max_by(exchanged, matched * 1000 - exchanged)::BIGINT AS exchanged
+FROM g GROUP BY doc_id, item_id
+"""
+
+ORACLE: dict[str, str] = {"op3_mixing": OP3, "op7_jaccard_join": OP7, "op9_decontamination": OP9, "op10_quality_rules": OP10}
