@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
 from ..session import materialise
 from .common import narrow
 
@@ -50,9 +51,33 @@ def template(found: Column) -> Column:
     return F.transform(found, lambda w: F.xxhash64(F.coalesce(slot(w), w)))
 
 
+def _places(found: Column, length: int) -> Column:
+    """Where windows of ``length`` begin."""
+    return F.when(F.size(found) >= length, F.sequence(F.lit(0), F.size(found) - length)).otherwise(F.array().cast("array<int>"))
+
+
+def _key(hashes: Column, place: Column, length: int) -> Column:
+    return F.xxhash64(F.slice(hashes, place + 1, F.lit(length)), F.lit(length))
+
+
 def _keys(hashes: Column, length: int) -> Column:
-    places = F.when(F.size(hashes) >= length, F.sequence(F.lit(0), F.size(hashes) - length)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.xxhash64(F.slice(hashes, i + 1, F.lit(length)), F.lit(length)))
+    return let(hashes, lambda h: F.transform(_places(h, length), lambda i: _key(h, i, length)))
+
+
+def _windows(found: Column, length: int) -> Column:
+    """Place, key and words of each window."""
+
+    def each(w: Column, h: Column) -> Column:
+        return F.transform(
+            _places(w, length),
+            lambda i: F.struct(i.alias("place"), _key(h, i, length).alias("key"), F.slice(w, i + 1, F.lit(length)).alias("given")),
+        )
+
+    return let(found, lambda w: let(template(w), lambda h: each(w, h)))
+
+
+def _sent(windows: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(windows) if small else windows
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -86,20 +111,26 @@ def find(
     """
     asked = benchmark_windows(benchmark, item_col, item_text_col)
     lengths = sorted(r.length for r in asked.select("length").distinct().collect())  # WINDOW at most
-    if asked.count() <= SENT_WINDOWS:
-        asked = F.broadcast(asked)
+    small = asked.count() <= SENT_WINDOWS
     texts = narrow(df, id=id_col, text=text_col).select("id", F.xxhash64("text").alias("print"), words(F.col("text")).alias("words"))
-    hashed = texts.withColumn("hashes", template(F.col("words")))
-    empty = hashed.select("id", "print", F.lit(0).alias("place"), "words", F.lit(0).cast("long").alias("key")).where("false")
-    places = empty
+    # which texts share a window at all: only hashes are exploded and joined
+    keys = asked.select("key", "length").distinct()
+    touched = None
     for length in lengths:
+        each = texts.select("id", "print", F.explode_outer(_keys(template(F.col("words")), length)).alias("key"))
+        met = each.join(_sent(keys.where(F.col("length") == length), small), "key", "left_semi").select("id", "print")
+        touched = met if touched is None else touched.unionByName(met)
+    if touched is None:
+        touched = texts.select("id", "print").where("false")
+    touched = materialise(touched.distinct().withColumnsRenamed({"id": "__id", "print": "__print"}), "touched")
+    found_in = texts.join(touched, F.col("id").eqNullSafe(F.col("__id")) & (F.col("print") == F.col("__print")), "left_semi")
+    met = None
+    for length in lengths or [WINDOW]:
         # the outer form, as the plain one makes the optimizer compute the windows a second time
-        each = hashed.select("id", "print", "words", F.posexplode_outer(_keys(F.col("hashes"), length)).alias("place", "key"))
-        places = places.unionByName(each.where("key IS NOT NULL"))
-    met = places.join(asked, "key").select(
-        "id", "print", "item", "at", (F.col("place") - F.col("at")).alias("diagonal"), "windows", "asked",
-        F.slice("words", F.col("place") + 1, F.col("length")).alias("given"),
-    )
+        each = found_in.select("id", "print", F.explode_outer(_windows(F.col("words"), length)).alias("w")).select("id", "print", "w.*")
+        part = each.where("key IS NOT NULL").join(_sent(asked.where(F.col("length") == length), small), "key")
+        met = part if met is None else met.unionByName(part)
+    met = met.select("id", "print", "item", "at", (F.col("place") - F.col("at")).alias("diagonal"), "windows", "asked", "given")
     # different templates with one hash end here
     same = F.forall(F.zip_with("asked", "given", lambda a, b: F.coalesce(slot(a), a) == F.coalesce(slot(b), b)), lambda x: x)
     pairs = F.filter(F.zip_with("asked", "given", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: slot(p["a"]).isNotNull())

@@ -86,7 +86,7 @@ def place(df: DataFrame, plan: Plan, group: Column) -> DataFrame:
     """``df`` with its shard as column ``shard``; nothing is shuffled, the plan's size is bounded."""
     large = plan.large.select(F.col("key").alias("__large"), F.col("shard").alias("__by_group"))
     small = plan.bundles.select(F.col("key").alias("__bundle"), F.col("shard").alias("__by_bundle"))
-    keyed = df.withColumns({"__group": group}).withColumn("__part", _bundle(F.col("__group"), plan.shards))
+    keyed = df.withColumns({"__group": group}).drop("shard").withColumn("__part", _bundle(F.col("__group"), plan.shards))
     return (
         keyed.join(F.broadcast(large), F.col("__group") == F.col("__large"), "left")
         .join(F.broadcast(small), F.col("__part") == F.col("__bundle"), "left")
