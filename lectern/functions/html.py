@@ -39,9 +39,13 @@ def _attribute_test(ident: str | None, cls: str | None) -> str | None:
     return None
 
 
+#: Stands where a comment, script or style was; no text holds this control character.
+HIDDEN = "\x1a"
+
+
 def drop_unseen(html: Column) -> Column:
-    """Comments, scripts and styles separate text but show none of their own."""
-    return F.regexp_replace(html, UNSEEN, "\n")
+    """Comments, scripts and styles show no text; a mark stays, as they separate text nodes."""
+    return F.regexp_replace(html, UNSEEN, HIDDEN)
 
 
 def _scopes_of_tag(pieces: Column, tag: Column, test: str | None) -> Column:
@@ -192,12 +196,12 @@ def unescape(c: Column) -> Column:
 
 def block_text(inner: Column) -> Column:
     """Text of an element with one line per text node: tags to newlines, collapse, strip."""
-    return strip_ws(collapse_newlines(unescape(F.regexp_replace(inner, ANY_TAG, "\n"))))
+    return strip_ws(collapse_newlines(unescape(F.regexp_replace(inner, f"{HIDDEN}|{ANY_TAG}", "\n"))))
 
 
 def inline_text(inner: Column) -> Column:
     """Text of an element with its text nodes joined as they are."""
-    return unescape(F.regexp_replace(inner, ANY_TAG, ""))
+    return unescape(F.regexp_replace(inner, f"{HIDDEN}|{ANY_TAG}", ""))
 
 
 def hrefs(inner: Column) -> Column:

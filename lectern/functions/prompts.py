@@ -14,45 +14,39 @@ from pyspark.sql import functions as F
 SUBJECT = "citizenship and immigration policy"
 
 REWRITE = """
-Write one search query in plain language that finds the passages needed to answer the last question below. The passages are found by similarity of meaning, so name the main ideas of the latest turns. Give the query alone.
+{chat_history}
 
-Conversation: {chat_history}
+The list above is what two people have written so far. Next comes: {question}
 
-Question: {question}
+Turn what is wanted now into a self-contained line for a semantic search engine. Return that line only.
 """
 
 REWRITE_KNN = """
-Write one search query in plain language for a nearest-neighbour search over passages. Name the main ideas of the latest turns and ask for the 4 passages that fit them best; the number 4 must be part of the query. Give the query alone.
+{chat_history}
 
-Conversation: {chat_history}
+The list above is what two people have written so far. Next comes: {question}
 
-Question: {question}
+Turn what is wanted now into a self-contained line for a semantic search engine that returns its 4 closest texts, and mention in the line that there should be 4. Return that line only.
 """
 
 GATE = """
-Does the question below belong to {subject}, or to some other field? An inappropriate question counts as "no".
+You sort incoming messages. Only those about {subject} go through. Spam, insults and small talk do not.
 
-Question: after the conversation "What is the manual for?", judge "Can you tell me more?"
-Reply: Yes
+Earlier messages: {chat_history}
+New message: {question}
 
-Question: after the conversation "What is the manual for?", judge "Compose a poem."
-Reply: No
-
-Reply with "yes" or "no" alone.
-
-After the conversation {chat_history}, judge {question}
+For instance, "How long does a renewal take?" goes through whenever renewals were the topic, and "Which team won?" never does.
+Does the new message go through? Write yes or no.
 """
 
 ANSWER = """
-You help people understand {subject}. Decline other topics, say so when you do not know, and be brief unless asked for detail. In the conversation you are "assistant" and the person is "user".
-
-Conversation: {chat_history}
+Material found in the archive:
+{context}
 
-Passages that may help: {context}
+Earlier messages: {chat_history}
+New message from "user": {question}
 
-Reply directly, without repeating the question or mentioning the passages.
-
-Question: {question}
+Write what "assistant" says next. Rely on the material where it helps, without speaking of it, and start with the point itself. Two or three sentences do unless "user" wants more. If the material and the messages leave the matter open, admit that. Anything outside {subject} is politely turned down.
 """
 
 TEMPLATES = {"rewrite": REWRITE, "rewrite_knn": REWRITE_KNN, "gate": GATE, "answer": ANSWER}
@@ -77,14 +71,6 @@ def render(template: str, **slots: Column | str) -> Column:
     return F.concat(*filled)
 
 
-def around(template: str, slot: str, **slots: Column | str) -> tuple[Column, Column]:
-    """The rendered text before and after one slot, for a value that comes in parts."""
-    before, found, after = TEMPLATES.get(template, template).partition("{" + slot + "}")
-    if not found:
-        raise KeyError(f"template has no slot {slot!r}")
-    return render(before, **slots) if before else F.lit(""), render(after, **slots) if after else F.lit("")
-
-
 def literal_text(c: Column) -> Column:
     """A string as a quoted literal: double quotes only around text that holds single quotes alone."""
     body = F.replace(c, F.lit("\\"), F.lit("\\\\"))

@@ -112,6 +112,22 @@ def with_chunk_id(df: DataFrame) -> DataFrame:
     return df.withColumn("chunk_id", chunk_key(F.col("url"), F.col("chunk_ix")))
 
 
+def one_per_url(documents: DataFrame, order: Column | None = None) -> DataFrame:
+    """One document per URL, as chunk keys need it: the last by ``order``, ties by content digest and title.
+
+    Rows of one URL combine before the shuffle, so a URL that very many rows
+    share costs one row per task.
+    """
+    rank = F.struct(F.lit(0) if order is None else order, F.md5("content"), "page_title")
+    kept = documents.groupBy("url").agg(F.max_by(F.struct("page_title", "content"), rank).alias("kept"))
+    return kept.select("url", "kept.page_title", "kept.content")
+
+
+def repeated_urls(documents: DataFrame) -> DataFrame:
+    """URLs of several rows, with their number: what ``one_per_url`` leaves out of each but one."""
+    return documents.groupBy("url").agg(F.count("*").alias("n_rows")).where("n_rows > 1")
+
+
 def chunk_documents(
     documents: DataFrame,
     max_tokens: int = MAX_TOKENS,

@@ -1,10 +1,10 @@
 """Dialogs to questions, histories, search queries and prompts.
 
 Two inputs: the flat table ``(conv_id, turn, role, text)``, and rows that
-already hold ``messages array<struct<role, content>>``. On the flat table no
-step collects a whole dialog: questions and vectors are aggregates that combine
-before the shuffle, history is an anti-join on the unique ``(conv_id, turn)``,
-and long texts come in parts of at most ``PART`` turns.
+already hold ``messages array<struct<role, content>>``. On the flat table
+questions and vectors are aggregates that combine before the shuffle, and history
+is an anti-join on the unique ``(conv_id, turn)``. Search queries and prompts are
+one text per dialog, so there a task holds a whole dialog, and nothing larger.
 """
 
 from __future__ import annotations
@@ -14,14 +14,11 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.prompts import SUBJECT, around, literal_message
+from ..functions.prompts import SUBJECT, literal_message, render
 from ..functions.vectors import bucket_counts, unit
-from ..session import materialise
 from .embedding import DIM
 from .search import lookup
 
-PART = 1000
-
 
 def extract_question(turns: DataFrame, last_user: bool = False) -> DataFrame:
     """The last message per dialog, whoever wrote it; optionally the last one of the user."""
@@ -41,26 +38,20 @@ def extract_history(turns: DataFrame, last_user: bool = False) -> DataFrame:
     return before.where(F.col("turn") < F.col("_at")).select(*turns.columns)
 
 
-def _parts(rows: DataFrame, separator: str, piece: Column) -> DataFrame:
-    """Ordered text per ``(conv_id, part)``; a part holds at most ``PART`` turns."""
-    listed = F.sort_array(F.collect_list(F.struct("turn", piece.alias("piece"))))
-    text = F.array_join(F.transform(listed, lambda x: x["piece"]), separator)
-    part = F.floor(F.col("turn") / PART).cast("bigint").alias("part")
-    return rows.groupBy("conv_id", part).agg(text.alias("body"))
-
-
 def search_query(turns: DataFrame, last_user: bool = False) -> DataFrame:
-    """``(conv_id, part, search_query)``: earlier user messages, then the question.
+    """``(conv_id, search_query)``: earlier user messages, then the question, joined by one space.
 
-    Without history this is the question itself. The parts of a dialog, joined
-    by one space, are its query; a dialog within ``PART`` turns has one part.
+    Without history this is the question itself. A row per dialog, however
+    long; a dialog is the largest thing that a task holds.
     """
     rows = turns.where(F.col("role") == "user").select("conv_id", "turn", "text")
     if not last_user:
         # a last message of the user is among these already
         asked = extract_question(turns).where(~F.col("role").eqNullSafe("user"))
         rows = rows.unionByName(asked.select("conv_id", "turn", F.col("question").alias("text")))
-    return _parts(rows, " ", F.col("text")).withColumnRenamed("body", "search_query")
+    listed = F.sort_array(F.collect_list(F.struct("turn", "text")))
+    text = F.array_join(F.transform(listed, lambda x: x["text"]), " ")
+    return rows.groupBy("conv_id").agg(text.alias("search_query"))
 
 
 def dialog_state(turns: DataFrame, dim: int = DIM) -> DataFrame:
@@ -97,61 +88,24 @@ def prompts(
     subject: str = SUBJECT,
     extra: DataFrame | None = None,
 ) -> DataFrame:
-    """``(conv_id, part, prompt)``: a template filled per dialog.
+    """``(conv_id, prompt)``: a template filled per dialog, one row whatever its length.
 
     ``extra`` may add one row of further slot columns per dialog, such as
-    ``context``; dialogs it lacks get no prompt. Parts concatenate to the
-    prompt; a dialog within ``PART`` turns has one part.
+    ``context``; dialogs it lacks get no prompt. The history is aggregated
+    alone; what stands around it is joined to the finished rows.
     """
-    last = turns.groupBy("conv_id").agg(
-        F.min("turn").alias("first_turn"),
-        F.max_by(F.struct("turn", F.col("text").alias("question")), "turn").alias("last"),
+    dialogs = turns.groupBy("conv_id").agg(
+        F.max_by("text", "turn").alias("question"),
+        F.max("turn").alias("last"),
+        F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"),
     )
-    slots = {"subject": subject}
-    said = turns
+    earlier = F.filter("messages", lambda m: m["turn"] < F.col("last"))
+    said = F.array_join(F.transform(earlier, lambda m: literal_message(m["role"], m["text"])), ", ")
+    slots = {"subject": subject, "question": F.col("question"), "chat_history": F.concat(F.lit("["), said, F.lit("]"))}
     if extra is not None:
-        extra = materialise(extra, "slots")
-        last = last.join(extra, "conv_id")
-        said = lookup(turns, extra.select("conv_id"), ["conv_id"], "turn")
+        dialogs = dialogs.join(extra, "conv_id")
         slots |= {c: F.col(c) for c in extra.columns if c != "conv_id"}
-    head, tail = around(template, "chat_history", question=F.col("last.question"), **slots)
-
-    def part(turn: str) -> Column:
-        return F.floor(F.col(turn) / PART).cast("bigint").alias("part")
-
-    # one row type for both ends of a prompt and the messages between them
-    columns = {
-        "head": "string",
-        "tail": "string",
-        "asked": "bigint",
-        "message": "struct<turn:bigint,piece:string>",
-    }
-
-    def row(df: DataFrame, at: str, **given: Column) -> DataFrame:
-        filled = [given.get(c, F.lit(None)).cast(t).alias(c) for c, t in columns.items()]
-        return df.select("conv_id", part(at), *filled)
-
-    piece = literal_message(F.col("role"), F.col("text")).alias("piece")
-    rows = (
-        row(last, "first_turn", head=F.concat(head, F.lit("[")))
-        .unionByName(row(last, "last.turn", tail=F.concat(F.lit("]"), tail), asked=F.col("last.turn")))
-        .unionByName(row(said, "turn", message=F.struct("turn", piece)))
-    )
-    grouped = rows.groupBy("conv_id", "part").agg(
-        F.max("head").alias("head"),
-        F.max("tail").alias("tail"),
-        F.max("asked").alias("asked"),
-        F.sort_array(F.collect_list("message")).alias("messages"),
-    )
-    # the question is the last message of the last part and no history
-    earlier = F.filter("messages", lambda m: F.col("asked").isNull() | (m["turn"] < F.col("asked")))
-    grouped = grouped.select("conv_id", "part", "head", "tail", F.transform(earlier, lambda m: m["piece"]).alias("said"))
-    # a later part continues the list of an earlier one
-    joint = F.when(F.col("head").isNull() & (F.size("said") > 0), ", ").otherwise("")
-    text = F.concat(
-        F.coalesce("head", F.lit("")), joint, F.array_join("said", ", "), F.coalesce("tail", F.lit(""))
-    )
-    return grouped.select("conv_id", "part", text.alias("prompt"))
+    return dialogs.select("conv_id", render(template, **slots).alias("prompt"))
 
 
 def question_of(messages: Column) -> Column:

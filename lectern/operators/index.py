@@ -77,6 +77,13 @@ def sync_index(
     return conform(kept, INDEX).unionByName(fresh)
 
 
+def require_unique(df: DataFrame, key: str) -> None:
+    """Fail on a key of several rows; the index has one row per key."""
+    again = df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").limit(5).collect()
+    if again:
+        raise ValueError(f"several rows per {key}, such as {[tuple(r) for r in again]}; see one_per_url")
+
+
 def _versions(spark: SparkSession, root: str) -> list[int]:
     """Completely written versions below ``root``."""
     jvm = spark.sparkContext._jvm
@@ -119,6 +126,7 @@ def upsert_index(
     else:
         rows = build_index(chunks, dim, encoder, model)
     following = versions[-1] + 1 if versions else 1
+    require_unique(chunks, "chunk_id")
     rows.write.mode("overwrite").parquet(f"{root}/version-{following:06d}")
     return read_index(spark, root)
 
@@ -134,19 +142,24 @@ def check_models(index: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def require_same_model(index: DataFrame, questions: DataFrame) -> None:
-    """Fail on questions of a foreign model; reads the index's model names alone, not its vectors."""
-    wrong = questions.select("model").distinct().join(index.select("model"), "model", "left_anti").limit(5).collect()
+    """Fail on questions of a foreign model or vector length; of the index's vectors only one per model is read."""
+    asked = questions.groupBy("model").agg(F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high"))
+    wrong = asked.join(index.select("model"), "model", "left_anti").select("model").limit(5).collect()
     if wrong:
         raise ValueError(f"questions embedded by models the index does not hold: {wrong}")
+    for r in asked.collect():
+        held = index.where(F.col("model") == r.model).select(F.size("embedding").alias("length")).first().length
+        if not r.low == held == r.high:
+            raise ValueError(f"vectors of {r.model} have {held} numbers, the questions' {r.low} to {r.high}")
 
 
 def latest_version(df: DataFrame, key: str, version: str = "version") -> DataFrame:
     """Newest version per key, compared as a number; 1 where there is none."""
-    newest = F.greatest(F.coalesce(F.max(F.col(version).cast("int")), F.lit(1)), F.lit(1))
+    newest = F.greatest(F.coalesce(F.max(F.col(version).cast("bigint")), F.lit(1)), F.lit(1))
     return df.groupBy(key).agg(newest.alias("latest_version"))
 
 
 def latest_rows(df: DataFrame, key: str, version: str = "version") -> DataFrame:
     """The row of the newest version per key; only one row per key and task is shuffled."""
-    newest = F.max_by(F.struct(*df.columns), F.col(version).cast("int")).alias("row")
+    newest = F.max_by(F.struct(*df.columns), F.col(version).cast("bigint")).alias("row")
     return df.groupBy(key).agg(newest).select("row.*")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def model_stage(
@@ -20,22 +21,18 @@ def model_stage(
     """Add ``output_col`` = model(input_col), one call per Arrow batch.
 
     The callable gets the batch's input values as a list and returns as many
-    outputs. It is sent to the tasks as it is; no model is shipped.
+    outputs. It is sent to the tasks as it is; no model is shipped. Only the
+    input column leaves the JVM.
     """
-    fields = [f for f in df.schema.fields if f.name != output_col]
-    schema = T.StructType(fields + [T.StructField(output_col, T.DataType.fromDDL(output_type))])
-    arrow = to_arrow_schema(schema)
-    kept = [f.name for f in fields]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            inputs = batch.column(input_col).to_pylist()
-            outputs = list(model(inputs))
-            if len(outputs) != len(inputs):
-                raise ValueError(f"model returned {len(outputs)} outputs for {len(inputs)} inputs")
-            made = pa.array(outputs, type=arrow.field(output_col).type)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c).cast(arrow.field(c).type) for c in kept] + [made], schema=arrow
-            )
-
-    return df.mapInArrow(run, schema)
+    arrow = to_arrow_type(T.DataType.fromDDL(output_type))
+
+    @F.arrow_udf(output_type)
+    def run(values: pa.Array) -> pa.Array:
+        inputs = values.to_pylist()
+        outputs = list(model(inputs)) if inputs else []
+        if len(outputs) != len(inputs):
+            raise ValueError(f"model returned {len(outputs)} outputs for {len(inputs)} inputs")
+        return pa.array(outputs, type=arrow)
+
+    # a deterministic function could be moved below a join or filter, and then be called for rows that are not wanted
+    return df.withColumn(output_col, run.asNondeterministic()(F.col(input_col)))

@@ -377,6 +377,21 @@ def topk_lsh(spark, folder):
     return search.topk_lsh(asked, given, 4, iid="vec_id")
 
 
+@_query
+def topk_lsh_cost(spark, folder):
+    given = _table(spark, folder, "embeddings")
+    return search.lsh_cost(given.withColumnRenamed("vec_id", "query_id"), given, iid="vec_id")
+
+
+@_query
+def one_per_url(spark, folder):
+    """Sources taken as URLs: very many documents share one."""
+    documents = tables.spread(_table(spark, folder, "documents"))
+    rows = tables.documents_from_table(documents, url=F.col("source"), title=F.col("doc_id").cast("string"))
+    sized = rows.withColumn("n", F.char_length("content"))
+    return chunks.one_per_url(sized, F.col("n"))
+
+
 @_query
 def result_rows(spark, folder):
     hits = search.topk_text(_questions(spark, folder), _index(spark, folder))

@@ -20,13 +20,14 @@ def load_pages(
     title: str = TITLE,
     content: str = CONTENT,
 ) -> DataFrame:
-    """Write the document table of fetched pages and read it back without empty pages.
+    """Write the document table of fetched pages, without empty pages, and read it back.
 
-    The filter runs on the written table, where it reaches the scan; on the
+    The filter runs on a written table, where it reaches the scan; on the
     plan itself it would extract each page twice.
     """
-    write_table(documents_from_pages(page_source(pages, status_col), title, content), target)
-    return drop_null_content(read_table(spark, target, DOCUMENTS))
+    extracted = materialise(documents_from_pages(page_source(pages, status_col), title, content), "extracted")
+    write_table(drop_null_content(extracted), target)
+    return read_table(spark, target, DOCUMENTS)
 
 
 def index_documents(spark: SparkSession, documents: DataFrame, root: str, **kw) -> DataFrame:

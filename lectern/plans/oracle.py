@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.prompts import SUBJECT, TEMPLATES
+from ..functions.text import BLANKS
 from ..operators.answers import REFUSAL
 from .catalog import GATE
 
@@ -12,7 +13,7 @@ def _quoted(text: str) -> str:
 
 
 NL = "chr(10)"
-STRIP = "' ' || chr(10) || chr(9) || chr(13)"
+STRIP = " || ".join(f"chr({ord(c)})" for c in BLANKS)
 UNSEEN = r"'(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>'"
 
 
@@ -181,7 +182,7 @@ def _prompt(name: str, with_: str, source: str) -> str:
     return f"""WITH RECURSIVE {with_},
 printed AS (SELECT conv_id, '[' || string_agg('{{''role'': ' || {_literal("role")} || ', ''content'': ' || {_literal("text")} || '}}', ', ' ORDER BY turn) || ']' AS said
   FROM history GROUP BY 1)
-SELECT l.conv_id, CAST(0 AS BIGINT) AS part, {sql} AS prompt
+SELECT l.conv_id, {sql} AS prompt
 FROM {source} LEFT JOIN printed h USING (conv_id)"""
 
 
@@ -189,6 +190,12 @@ def _sparse(with_: str, vectors: str, key: str) -> str:
     return f"WITH RECURSIVE {with_} SELECT {key}, CAST(b AS INTEGER) AS bucket, round(CAST(v AS DOUBLE), 6) AS value FROM {vectors}"
 
 
+#: Codes of the given vectors: a bit is the side of a direction whose signs are hash digits.
+LSH = """v AS (SELECT vec_id AS id, generate_subscripts(embedding, 1) - 1 AS d, unnest(embedding)::DOUBLE AS x FROM embeddings),
+directions AS (SELECT t, b, d, CASE WHEN md5(t || ':' || b || ':' || d) < '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS s
+  FROM range(16) a(t), range(8) c(b), (SELECT DISTINCT d FROM v)),
+sides AS (SELECT id, t, b, sum(x * s) > 0 AS up FROM v JOIN directions USING (d) GROUP BY ALL),
+codes AS (SELECT id, t, sum(CASE WHEN up THEN 1 << CAST(b AS INTEGER) ELSE 0 END) AS code FROM sides GROUP BY ALL)"""
 CHUNK_QUERY = f"WITH RECURSIVE {DOCS},\n{CHUNKS} SELECT * FROM chunks"
 SYNCED = f"{LABELLED},\ndocs AS ({NOW}),\n{INDEX}"
 INDEX_ROWS = f"SELECT chunk_id, url, page_title, text, {MODEL} AS model FROM chunks JOIN clen USING (chunk_id)"
@@ -249,13 +256,27 @@ want AS (SELECT 'given' AS model, len(embedding) AS dim FROM embeddings
          UNION ALL SELECT {MODEL}, 64 FROM (SELECT DISTINCT query_id FROM qvec))
 SELECT model, CAST(dim AS INTEGER) AS dim, count(*) AS n FROM want ANTI JOIN have USING (model, dim) GROUP BY ALL""",
     "latest_version": r"""SELECT regexp_extract(url, '^https?://([^/?#]*)', 1) AS site,
-  greatest(1, coalesce(max(CAST(nullif(regexp_extract(url, '/([0-9]+)', 1), '') AS INTEGER)), 1)) AS latest_version
+  greatest(1, coalesce(max(CAST(nullif(regexp_extract(url, '/([0-9]+)', 1), '') AS BIGINT)), 1)) AS latest_version
 FROM pages GROUP BY 1""",
     "topk_vector": """SELECT query_id, vec_id, score, CAST(rk AS INTEGER) AS rk FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rk FROM (
     SELECT q.vec_id AS query_id, i.vec_id,
            round(list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]), 6) AS score
     FROM embeddings q CROSS JOIN embeddings i)) WHERE rk <= 4""",
+    "topk_lsh": f"""WITH {LSH},
+met AS (SELECT DISTINCT q.id AS query_id, i.id AS vec_id FROM codes q JOIN codes i ON q.t = i.t AND q.code = i.code)
+SELECT query_id, vec_id, score, CAST(rk AS INTEGER) AS rk FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rk FROM (
+    SELECT query_id, i.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]), 6) AS score
+    FROM met JOIN embeddings q ON q.vec_id = query_id JOIN embeddings i ON i.vec_id = met.vec_id)) WHERE rk <= 4""",
+    "topk_lsh_cost": f"""WITH {LSH},
+cells AS (SELECT count(*) AS n FROM codes GROUP BY t, code)
+SELECT (SELECT count(*) FROM embeddings) AS n_questions, (SELECT count(*) FROM embeddings) AS n_items,
+  CAST(sum(n * n) AS BIGINT) AS n_scored FROM cells""",
+    "one_per_url": """SELECT url, page_title, content FROM (
+  SELECT source AS url, CAST(doc_id AS VARCHAR) AS page_title, text AS content,
+    row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, md5(text) DESC, CAST(doc_id AS VARCHAR) DESC) AS r FROM documents)
+WHERE r = 1""",
     "topk_text": f"""WITH RECURSIVE {TEXT_HITS}
 SELECT query_id, CAST(rk AS INTEGER) AS rk, score, chunk_id, url, page_title, text FROM hits JOIN chunks USING (chunk_id)""",
     "retrieve": f"""WITH RECURSIVE {RETRIEVED}
@@ -267,7 +288,7 @@ FROM hits JOIN chunks USING (chunk_id)""",
     "extract_history": f"WITH {LAST} SELECT conv_id, turn, role, text FROM history",
     "last_user_question": """SELECT conv_id, turn, role, text AS question FROM (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations WHERE role = 'user') WHERE r = 1""",
-    "search_query": f"WITH {SAID} SELECT conv_id, CAST(0 AS BIGINT) AS part, search_query FROM asked",
+    "search_query": f"WITH {SAID} SELECT conv_id, search_query FROM asked",
     "search_vector": _sparse(f"{SAID},\n{_vector('svec', 'asked', 'conv_id', 'search_query')}", "svec", "conv_id"),
     "rewrite_prompt": _prompt("rewrite", LAST, "last l"),
     "rewrite_knn_prompt": _prompt("rewrite_knn", LAST, "last l"),

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import PAGES, RAW_DOCUMENTS, conform
+from ..session import materialise
 
 
 def read_table(spark: SparkSession, name_or_path: str, schema: T.StructType) -> DataFrame:
-    """A catalog table or a parquet path, read with a declared schema."""
-    if "/" in name_or_path:
-        return spark.read.schema(schema).parquet(name_or_path)
-    return conform(spark.table(name_or_path), schema)
+    """A catalog table or a parquet path with the declared columns; a missing or mistyped one is an error."""
+    found = spark.read.parquet(name_or_path) if "/" in name_or_path else spark.table(name_or_path)
+    return conform(found, schema)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -69,5 +69,14 @@ def create_table_as(name: str, df: DataFrame, location: str | None = None) -> Da
     return df.sparkSession.table(name)
 
 
+def delete_null_content(spark: SparkSession, path: str, schema: T.StructType) -> None:
+    """Rewrite the table at ``path`` without the rows that have no content.
+
+    The rows that stay are written elsewhere first, as a table can't be
+    replaced while it is read.
+    """
+    write_table(materialise(drop_null_content(read_table(spark, path, schema)), "kept"), path)
+
+
 def drop_null_content(df: DataFrame) -> DataFrame:
     return df.where(F.col("content").isNotNull())

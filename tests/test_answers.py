@@ -108,9 +108,9 @@ def test_answer_dialogs_with_models_of_the_user(spark, index):
         "conv_id long, messages array<struct<role: string, content: string>>",
     )
     models = {
-        "gate": lambda prompts: ["No" if "song" in p.rsplit("judge", 1)[1] else "Yes" for p in prompts],
+        "gate": lambda prompts: ["No" if "song" in p.rsplit("New message: ", 1)[1] else "Yes" for p in prompts],
         "rewrite": lambda prompts: ["visa form" for _ in prompts],
-        "answer": lambda prompts: [f"answer to {p.rsplit('Question: ', 1)[1].strip()}" for p in prompts],
+        "answer": lambda prompts: ["answer to " + p.rsplit('New message from "user": ', 1)[1].split("\n")[0] for p in prompts],
     }
     got = {r.conv_id: r for r in answer_dialogs(dialogs, index, models, k=4).collect()}
     assert got[1].result == "answer to Do you have more details?" and len(got[1].sources) == 3

@@ -76,7 +76,7 @@ def test_prompts_equal_the_filled_template(turns, dialogs, template):
 def test_answer_prompt_only_for_dialogs_with_context(spark, turns):
     context = spark.createDataFrame([(2, "some\n\ntexts")], "conv_id long, context string")
     rows = D.prompts(turns, "answer", extra=context).collect()
-    assert [(r.conv_id, r.part) for r in rows] == [(2, 0)]
+    assert [r.conv_id for r in rows] == [2]
     assert "some\n\ntexts" in rows[0].prompt and "it's last" in rows[0].prompt
 
 
@@ -87,20 +87,13 @@ def test_a_template_of_the_user(spark):
         T.render("<{x}>")
 
 
-def test_a_dialog_longer_than_a_part_stays_whole(spark, monkeypatch):
-    monkeypatch.setattr(D, "PART", 10)
-    n = 35
-    said = [(7, i, "user" if i % 2 == 0 else "assistant", f"m{i}") for i in range(n)]
+@pytest.mark.parametrize("scale, shift", [(1, 0), (86_400_000, 1_700_000_000_000)])
+def test_a_dialog_is_one_row_whatever_its_turns(spark, scale, shift):
+    n = 2035
+    said = [(7, shift + i * scale, "user" if i % 2 == 0 else "assistant", f"m{i}") for i in range(n)]
     turns = spark.createDataFrame(said, "conv_id long, turn long, role string, text string")
-    parts = D.prompts(turns, "gate").orderBy("part").collect()
-    assert [r.part for r in parts] == [0, 1, 2, 3]
     history = str([{"role": r, "content": t} for _, _, r, t in said[:-1]])
-    want = T.GATE.format(chat_history=history, question="m34", subject=T.SUBJECT)
-    assert "".join(r.prompt for r in parts) == want
-    query = " ".join(r.search_query for r in D.search_query(turns).orderBy("part").collect())
-    assert query == " ".join(f"m{i}" for i in range(0, n, 2))
-    # the question alone in the last part
-    short = turns.where("turn <= 30")
-    parts = D.prompts(short, "gate").orderBy("part").collect()
-    history = str([{"role": r, "content": t} for _, _, r, t in said[:30]])
-    assert "".join(r.prompt for r in parts) == T.GATE.format(chat_history=history, question="m30", subject=T.SUBJECT)
+    prompt = T.GATE.format(chat_history=history, question=f"m{n - 1}", subject=T.SUBJECT)
+    assert [tuple(r) for r in D.prompts(turns, "gate").collect()] == [(7, prompt)]
+    query = " ".join(f"m{i}" for i in range(0, n, 2))
+    assert [tuple(r) for r in D.search_query(turns).collect()] == [(7, query)]

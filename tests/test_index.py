@@ -134,3 +134,31 @@ def test_load_pages(spark):
     )
     loaded = ingest.load_pages(spark, pages, work_path(spark, "docs"), "status")
     assert [tuple(r) for r in loaded.collect()] == [("u", None, "text")]
+
+
+def test_one_row_per_url(spark, tmp_path):
+    from lectern.operators import chunks, search
+    from lectern.plans import ingest
+
+    text = "word " * 30
+    rows = [("u", "a", text + "old"), ("u", "b", text + "new"), ("v", None, text)]
+    documents = spark.createDataFrame(rows, "url string, page_title string, content string")
+    assert [tuple(r) for r in chunks.repeated_urls(documents).collect()] == [("u", 2)]
+    with pytest.raises(ValueError, match="several rows"):
+        ingest.index_documents(spark, documents, str(tmp_path / "bad"))
+    single = chunks.one_per_url(documents.withColumn("fetched", documents.page_title), F.col("fetched"))
+    index = ingest.index_documents(spark, single, str(tmp_path / "good"))
+    assert sorted((r.url, r.page_title) for r in index.collect()) == [("u", "b"), ("v", None)]
+    asked = spark.createDataFrame([(1, "word new")], "query_id long, text string")
+    assert [r.rk for r in search.topk_text(asked, index, 2).orderBy("rk").collect()] == [1, 2]
+
+
+def test_vector_lengths_and_large_versions(spark):
+    index = spark.createDataFrame([("m", [1.0, 0.0])], "model string, embedding array<float>")
+    asked = spark.createDataFrame([("m", [1.0, 0.0, 0.0])], "model string, embedding array<float>")
+    I.require_same_model(index, index)
+    with pytest.raises(ValueError, match="numbers"):
+        I.require_same_model(index, asked)
+    df = spark.createDataFrame([("m", "20240101120000"), ("m", "3")], "name string, version string")
+    assert I.latest_version(df, "name").first().latest_version == 20240101120000
+    assert I.latest_rows(df, "name").first().version == "20240101120000"

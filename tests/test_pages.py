@@ -162,3 +162,44 @@ def test_documents_from_pages(spark):
 def test_newlines_and_blanks(spark):
     assert one(spark, ["a\n\n\nb", "a\n \nb"], "t string", X.collapse_newlines(F.col("t"))) == ["a\nb", "a\n \nb"]
     assert one(spark, [" \n\ta b\r\n "], "t string", X.strip_ws(F.col("t"))) == ["a b"]
+
+
+def test_hidden_markup_in_a_title(spark):
+    html = "<h1>Fee<!-- c --> table<script>x()</script> 2</h1><article>a<!-- c -->b</article>"
+    df = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
+    row = P.documents_from_pages(df, "h1", "article").first()
+    assert (row.page_title, row.content) == ("Fee table 2", "a\nb")
+
+
+def test_blanks_of_unicode(spark):
+    from lectern.functions.text import BLANKS, strip_ws
+
+    assert all(c.isspace() for c in BLANKS) and len(BLANKS) == sum(chr(i).isspace() for i in range(0x110000))
+    df = spark.createDataFrame([(" x y　",)], "t string")
+    assert df.select(strip_ws(df.t)).first()[0] == " x y　".strip()
+
+
+def test_missing_column_is_an_error(spark, tmp_path):
+    import pytest
+
+    from lectern.schemas import PAGES
+    from lectern.sources import tables
+
+    spark.createDataFrame([(1, "u")], "page_id long, url string").write.parquet(str(tmp_path / "t"))
+    with pytest.raises(TypeError, match="html"):
+        tables.read_table(spark, str(tmp_path / "t"), PAGES)
+
+
+def test_stored_pages_are_the_returned_ones(spark, tmp_path):
+    from lectern.plans import ingest
+    from lectern.schemas import DOCUMENTS
+    from lectern.sources import tables
+
+    rows = [(1, "u", "<h1>T</h1><article>x</article>"), (2, "v", "<h1>T</h1>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    target = str(tmp_path / "docs")
+    assert ingest.load_pages(spark, df, target, title="h1", content="article").count() == 1
+    assert spark.read.parquet(target).count() == 1
+    tables.write_table(spark.createDataFrame([("u", None, "x"), ("v", "t", None)], DOCUMENTS), target)
+    tables.delete_null_content(spark, target, DOCUMENTS)
+    assert [r.url for r in spark.read.parquet(target).collect()] == ["u"]

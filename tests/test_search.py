@@ -84,24 +84,35 @@ def test_lsh_recall_on_given_vectors(spark, folder):
     em = spark.read.parquet(f"{folder}/embeddings.parquet")
     q = em.select(F.col("vec_id").alias("query_id"), "embedding")
     exact = S.topk_vector(q, em, 4, iid="vec_id")
-    near = S.topk_lsh(q, em, 4, iid="vec_id")
+    near = S.topk_lsh(q, em, 4, iid="vec_id", bits=2)
     assert S.recall(near, exact, iid="vec_id").first().recall >= 0.9
 
 
 def test_lsh_scores_a_hot_bucket_whole(spark, monkeypatch):
-    """With one bucket for everything the result is exact, whatever the block sizes."""
+    """With one cell for everything the result is exact, whatever the block sizes."""
     monkeypatch.setattr(S, "QUESTION_BLOCK", 5)
     monkeypatch.setattr(S, "ITEM_BLOCK", 30)
     items = vectors(spark, 100, seed=3, copies=60)
     asked = [(i, v) for i, (_, v) in enumerate(items[:12])]
     q = spark.createDataFrame(asked, "query_id int, embedding array<float>")
     i = spark.createDataFrame(items, "chunk_id string, embedding array<float>")
-    got = S.topk_lsh(q, i, 4, bucket_length=1e6, tables=2)
-    # random directions give at most the buckets -1 and 0; both signs of a pair meet in one of the tables or not
-    exact = brute(asked, items, 4)
-    assert len(found(got)) == len(exact)
-    own = {(a, c, rk) for a, c, rk in exact if rk == 1}
-    assert own <= found(got)
+    assert found(S.topk_lsh(q, i, 4, bits=0, tables=2)) == brute(asked, items, 4)
+
+
+def test_lsh_finds_near_vectors_for_a_tenth_of_the_work(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(1000, 64))
+    near = base + 0.3 * rng.normal(size=(1000, 64))  # cosine 0.95 or so
+    unit = [v / np.linalg.norm(v) for v in (*base, *near)]
+    items = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(unit)], "vec_id int, embedding array<float>")
+    asked = items.withColumnRenamed("vec_id", "query_id")
+    pairs = {(r.query_id, r.vec_id) for r in S.topk_lsh(asked, items, 2, iid="vec_id").collect()}
+    assert sum((i, i + 1000) in pairs for i in range(1000)) >= 0.95 * 1000
+    cost = S.lsh_cost(asked, items, iid="vec_id").first()
+    assert (cost.n_questions, cost.n_items) == (2000, 2000) and cost.n_scored <= 0.1 * 2000 * 2000
+    empty = items.where("false")
+    assert S.topk_lsh(asked, empty, 2, iid="vec_id").count() == 0
+    assert S.lsh_cost(asked, empty, iid="vec_id").first().n_scored == 0
 
 
 def reference_vector(text, dim=64):
