@@ -8,11 +8,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.html import ANY_TAG
 from ..functions.text import collapse_newlines, n_tokens, paragraphs, strip_ws
 from ..operators import answers, chunks, dialog, embedding, index, models, pages, search
-from ..schemas import INDEX, INPUTS, RAW_DOCUMENTS
+from ..schemas import DOCUMENTS, INDEX, INPUTS, RAW_DOCUMENTS
 from ..session import materialise, work_path
 from ..sources import tables
 from ..streaming import sync
@@ -306,7 +307,7 @@ def _synced(spark, folder) -> DataFrame:
 
 @_query
 def upsert_index(spark, folder):
-    return _synced(spark, folder).select("chunk_id", "url", "page_title", "text", "model")
+    return _sparse(_synced(spark, folder), "chunk_id")
 
 
 @_query
@@ -329,6 +330,22 @@ def sync_stream(spark, folder):
     return rows.select("chunk_id", "url", "page_title", "text", "model")
 
 
+@_query
+def sync_stream_changes(spark, folder):
+    """Earlier documents, then in one trigger a draft, a deletion and the later version of each; read compacted."""
+    root, checkpoint, source, small = (work_path(spark, n) for n in ("stream", "checkpoint", "source", "compacted"))
+    then, now = _reviewed_then(spark, folder), _reviewed_now(spark, folder)
+    draft = then.withColumn("content", F.concat("content", F.lit("\nDraft.")))
+    gone = then.withColumn("content", F.lit(None).cast("string"))
+    schema = T.StructType([*DOCUMENTS.fields, T.StructField("seen", T.IntegerType())])
+    for versions in ([then], [draft, gone, now]):
+        for at, rows in enumerate(versions):
+            rows.withColumn("seen", F.lit(at)).write.mode("append").parquet(source)
+        sync.sync_stream(spark, source, schema, root, checkpoint, lambda df: df)
+    sync.compact(spark, root, small)
+    return _sparse(sync.read_stream_index(spark, small), "chunk_id")
+
+
 @_query
 def check_models(spark, folder):
     """Given vectors and questions against the index: which models it lacks."""

@@ -247,7 +247,8 @@ docs AS (SELECT url, page_title, content FROM page_docs),\n{CHUNKS} SELECT * FRO
     "embed_questions": _sparse(QVEC, "qvec", "query_id"),
     "build_index": f"""WITH RECURSIVE {DOCS},\n{INDEX}
 SELECT chunk_id, url, page_title, text, {MODEL} AS model, 64 AS dim FROM chunks JOIN clen USING (chunk_id)""",
-    "upsert_index": f"WITH RECURSIVE {SYNCED} {INDEX_ROWS}",
+    "upsert_index": _sparse(SYNCED, "cvec", "chunk_id"),
+    "sync_stream_changes": _sparse(SYNCED, "cvec", "chunk_id"),
     "sync_index": _sparse(SYNCED, "cvec", "chunk_id"),
     "sync_stream": f"WITH RECURSIVE {DOCS},\n{INDEX} {INDEX_ROWS}",
     "check_models": f"""WITH RECURSIVE {DOCS},\n{INDEX},\n{QVEC},

@@ -1,3 +1,5 @@
+import pytest
+
 from lectern.operators.chunks import chunk_documents
 from lectern.operators.index import build_index, sync_index
 from lectern.schemas import DOCUMENTS
@@ -76,3 +78,27 @@ def test_one_version_per_url_in_a_batch(spark):
     S.write_batch(spark, both, 0, root)
     assert log_rows(spark, root) == 1
     assert S.read_stream_index(spark, root).count() == 1
+
+
+@pytest.mark.parametrize("contents, left", [(["old", "new"], "new"), (["new", None, "back"], "back"), (["new", None], None)])
+def test_the_last_seen_version_of_a_batch_counts(spark, contents, left):
+    text = "word " * 30
+    rows_ = [("u", "t", c and text + c, at) for at, c in enumerate(contents)]
+    for order in (rows_, rows_[::-1]):
+        root = work_path(spark, "stream")
+        S.write_batch(spark, spark.createDataFrame(order, "url string, page_title string, content string, seen int"), 0, root)
+        got = [r.text for r in S.read_stream_index(spark, root).collect()]
+        assert got == ([text + left] if left else [])
+
+
+def test_compaction_keeps_the_index_and_goes_on(spark):
+    root, small = work_path(spark, "stream"), work_path(spark, "compacted")
+    S.write_batch(spark, docs(spark, ["a", "b", "c"]), 0, root)
+    gone = spark.createDataFrame([("b", None, None)], DOCUMENTS)
+    S.write_batch(spark, docs(spark, ["a"], "changed").unionByName(gone), 1, root)
+    S.compact(spark, root, small)
+    assert rows(S.read_stream_index(spark, small)) == rows(S.read_stream_index(spark, root))
+    assert log_rows(spark, small) == 2 and spark.read.parquet(f"{small}/chunks").count() == S.read_stream_index(spark, root).count()
+    for where in (root, small):
+        S.write_batch(spark, docs(spark, ["a", "c", "d"], "changed"), 2, where)
+    assert rows(S.read_stream_index(spark, small)) == rows(S.read_stream_index(spark, root))
