@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,9 @@ from ..functions.columns import let
 from ..functions.text import BLANKS, TOKEN, n_tokens, paragraphs, strip_ws, tokens
 from ..schemas import CHUNKS, conform
 
+#: Texts to their numbers of tokens.
+Counter = Callable[[list[str]], list[int]]
+
 # Fixed values.
 MAX_TOKENS = 500
 OVERLAP = 50
@@ -133,12 +137,25 @@ def chunk_documents(
     max_tokens: int = MAX_TOKENS,
     overlap: int = OVERLAP,
     min_tokens: int = MIN_TOKENS,
+    count_tokens: Counter | None = None,
 ) -> DataFrame:
-    """Documents to chunk rows, key included. Documents without content give none."""
-    listed = documents.select(
-        "url", "page_title", chunk_texts(F.col("content"), max_tokens, overlap, min_tokens).alias("chunks")
-    )
-    rows = with_chunk_id(chunk_rows(listed))
+    """Documents to chunk rows, key included. Documents without content give none.
+
+    ``count_tokens`` replaces the counting of non-blank runs by a tokenizer's:
+    it gets a list of texts and returns their numbers of tokens.
+    """
+    if count_tokens is None:
+        listed = chunk_texts(F.col("content"), max_tokens, overlap, min_tokens)
+    else:
+        chunker = _chunker(max_tokens, overlap, min_tokens, count_tokens)
+
+        @F.pandas_udf("array<struct<text:string,n:int>>")
+        def counted(texts: pd.Series) -> pd.Series:
+            found = chunker(texts.tolist())
+            return pd.Series([[{"text": t, "n": n} for t, n in row] for row in found], dtype=object)
+
+        listed = counted(F.col("content"))
+    rows = with_chunk_id(chunk_rows(documents.select("url", "page_title", listed.alias("chunks"))))
     return conform(rows.withColumn("text", F.col("chunk.text")).withColumn("n_tokens", F.col("chunk.n")), CHUNKS)
 
 
@@ -147,36 +164,71 @@ def with_text_alias(chunks: DataFrame, name: str = "text2") -> DataFrame:
     return chunks.select("*", F.col("text").alias(name))
 
 
-def chunk_udf(max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP, min_tokens: int = MIN_TOKENS):
-    """The same chunker as a vectorised function ``string -> array<string>``.
+def _count_runs(texts: list[str]) -> list[int]:
+    return [len(re.findall(TOKEN, t, re.ASCII)) for t in texts]
+
+
+def _windows(words: list[str], costs: list[int], size: int, overlap: int) -> list[tuple[str, int]]:
+    """Windows of words within ``size`` tokens, one word at least; the next goes back by up to ``overlap`` tokens."""
+    found, start = [], 0
+    while True:
+        end, total = start + 1, costs[start]
+        while end < len(words) and total + costs[end] <= size:
+            total += costs[end]
+            end += 1
+        found.append((" ".join(words[start:end]), total))
+        if end == len(words):
+            return found
+        back, shared = end, 0
+        while back > start + 1 and shared + costs[back - 1] <= overlap:
+            back -= 1
+            shared += costs[back]
+        start = back
+
+
+def _chunker(max_tokens: int, overlap: int, min_tokens: int, count_tokens: Counter) -> Callable:
+    """Texts to their chunks with token counts; the counter is called twice per batch, for lines and for words."""
+
+    def chunk(texts: list[str | None]) -> list[list[tuple[str, int]]]:
+        lines = [[p for p in (t or "").split("\n") if p.strip(BLANKS)] for t in texts]
+        counts = iter(count_tokens([p for ps in lines for p in ps]))
+        merged = []
+        for ps in lines:
+            blocks: list[tuple[str, int]] = []
+            for line in ps:
+                n = next(counts)
+                if blocks and blocks[-1][1] + n <= max_tokens // 2:
+                    blocks[-1] = (blocks[-1][0] + "\n" + line, blocks[-1][1] + n)
+                else:
+                    blocks.append((line, n))
+            merged.append([(body, n, re.findall(TOKEN, body, re.ASCII) if n > max_tokens else []) for body, n in blocks])
+        costs = iter(count_tokens([w for blocks in merged for _, _, words in blocks for w in words]))
+        found = []
+        for blocks in merged:
+            pieces: list[tuple[str, int]] = []
+            for body, n, words in blocks:
+                cut = _windows(words, [next(costs) for _ in words], max_tokens, overlap) if words else [(body.strip(BLANKS), n)]
+                pieces += cut
+            found.append([(t, n) for t, n in pieces if n > min_tokens])
+        return found
+
+    return chunk
+
+
+def chunk_udf(
+    max_tokens: int = MAX_TOKENS,
+    overlap: int = OVERLAP,
+    min_tokens: int = MIN_TOKENS,
+    count_tokens: Counter = _count_runs,
+):
+    """The chunker as a vectorised function ``string -> array<string>``, with a tokenizer of the user's own.
 
-    For users who plug in a tokenizer of their own; the expressions above are
-    the default and agree with it.
+    Without one it agrees with the expressions above, which stay the default.
     """
-
-    def chunk(text: str | None) -> list[str]:
-        if text is None:
-            return []
-        blocks: list[tuple[str, int]] = []
-        for line in (p for p in text.split("\n") if p.strip(BLANKS)):
-            n = len(re.findall(TOKEN, line, re.ASCII))
-            if blocks and blocks[-1][1] + n <= max_tokens // 2:
-                blocks[-1] = (blocks[-1][0] + "\n" + line, blocks[-1][1] + n)
-            else:
-                blocks.append((line, n))
-        out = []
-        for body, n in blocks:
-            if n <= max_tokens:
-                out.append((body.strip(BLANKS), n))
-                continue
-            words = re.findall(TOKEN, body, re.ASCII)
-            starts = range(0, n - overlap, max_tokens - overlap)
-            windows = [words[s : s + max_tokens] for s in starts]
-            out.extend((" ".join(w), len(w)) for w in windows)
-        return [body for body, n in out if n > min_tokens]
+    chunker = _chunker(max_tokens, overlap, min_tokens, count_tokens)
 
     @F.pandas_udf("array<string>")
     def chunk_batch(texts: pd.Series) -> pd.Series:
-        return texts.map(chunk)
+        return pd.Series([[t for t, _ in row] for row in chunker(texts.tolist())], dtype=object)
 
     return chunk_batch

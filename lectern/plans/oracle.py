@@ -239,6 +239,7 @@ SELECT url, CAST(w AS INTEGER) AS "window", text, CAST(n AS INTEGER) AS n_tokens
     "chunk_rows": f"WITH RECURSIVE {WITHDRAWN},\n{CHUNKS} SELECT url, chunk_ix, text FROM chunks",
     "text_alias": f"WITH RECURSIVE {DOCS},\n{CHUNKS} SELECT url, page_title, text AS text2 FROM chunks",
     "chunk_documents": CHUNK_QUERY,
+    "chunk_with_counter": CHUNK_QUERY,
     "chunk_pages": f"""WITH RECURSIVE {PAGE_DOCS},
 docs AS (SELECT url, page_title, content FROM page_docs),\n{CHUNKS} SELECT * FROM chunks""",
     "chunk_key": f"WITH RECURSIVE {DOCS},\n{CHUNKS} SELECT chunk_id, url, chunk_ix FROM chunks",

@@ -110,3 +110,25 @@ def test_many_paragraphs(spark):
 def test_null_arrays_give_no_rows(spark):
     df = spark.createDataFrame([(1, ["a", "b"]), (2, []), (3, None)], "url int, chunks array<string>")
     assert [(r.url, r.chunk_ix, r.chunk) for r in C.chunk_rows(df).collect()] == [(1, 0, "a"), (1, 1, "b")]
+
+
+def test_counter_of_the_user(spark):
+    """A quarter of the characters, rounded up: paragraphs merge, long ones are cut between words, small ones go."""
+    text = "\n".join(["aaaa bbbb", "cccc", "d" * 8 + " " + " ".join(["eeeeeeee"] * 20), "x"])
+    rows = [("u", None, text), ("v", None, None), ("w", None, "")]
+    df = spark.createDataFrame(rows, "url string, page_title string, content string")
+    calls = []
+
+    def count(texts):
+        calls.append(len(texts))
+        return [-(-len(t) // 4) for t in texts]
+
+    chunk = C._chunker(12, 4, 1, count)
+    assert calls == []
+    got = chunk([text, None, ""])
+    assert calls == [4, 21] and got[1:] == [[], []]
+    eights = "eeeeeeee eeeeeeee eeeeeeee eeeeeeee eeeeeeee eeeeeeee"
+    assert got[0][:2] == [("aaaa bbbb\ncccc", 4), ("d" * 8 + eights[8:], 12)]
+    assert all(n <= 12 for _, n in got[0]) and got[0][2] == (eights, 12)
+    found = C.chunk_documents(df, 12, 4, 1, count_tokens=count).orderBy("chunk_ix").collect()
+    assert [(r.text, r.n_tokens) for r in found] == got[0] and {r.url for r in found} == {"u"}
