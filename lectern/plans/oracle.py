@@ -190,6 +190,26 @@ def _sparse(with_: str, vectors: str, key: str) -> str:
     return f"WITH RECURSIVE {with_} SELECT {key}, CAST(b AS INTEGER) AS bucket, round(CAST(v AS DOUBLE), 6) AS value FROM {vectors}"
 
 
+def _model_chain(rewritten: str) -> str:
+    """Answers by the stand-in models: the answer is the digest of its prompt."""
+    chain = f"""{DOCS},
+{INDEX},
+{LAST},
+wanted AS (SELECT conv_id, question || CASE WHEN {rewritten} THEN ' policy' ELSE '' END AS search_query
+  FROM last WHERE length(question) % 3 <> 0),
+{_vector("svec", "wanted", "conv_id", "search_query")},
+{_hits("svec", "conv_id", 4)},
+found AS (SELECT h.conv_id, h.rk, c.* FROM hits h JOIN chunks c USING (chunk_id)),
+told AS (SELECT conv_id, string_agg(text, {NL} || {NL} ORDER BY rk) AS context,
+  string_agg(url || ' page:' || coalesce(page_title, 'None'), {NL} ORDER BY rk) AS sources FROM found GROUP BY 1),
+contexts AS (SELECT conv_id, coalesce(context, '') AS context, coalesce(sources, '') AS sources FROM wanted LEFT JOIN told USING (conv_id))"""
+    prompts = _prompt("answer", "one AS (SELECT 1)", "last l JOIN contexts x USING (conv_id)")
+    return f"""WITH RECURSIVE {chain},
+prompts AS ({prompts})
+SELECT conv_id, md5(prompt) AS result, sources FROM prompts JOIN contexts USING (conv_id)
+UNION ALL SELECT conv_id, {_quoted(REFUSAL)}, '' FROM last WHERE length(question) % 3 = 0"""
+
+
 #: Codes of the given vectors: a bit is the side of a direction whose signs are hash digits.
 LSH = """v AS (SELECT vec_id AS id, generate_subscripts(embedding, 1) - 1 AS d, unnest(embedding)::DOUBLE AS x FROM embeddings),
 directions AS (SELECT t, b, d, CASE WHEN md5(t || ':' || b || ':' || d) < '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS s
@@ -315,5 +335,7 @@ FROM judged WHERE question_is_relevant IS DISTINCT FROM 'yes'""",
     "pick_keys": f"WITH {LAST} SELECT conv_id, question, role FROM last",
     "answer_struct": f"WITH RECURSIVE {EXTRACTED} SELECT conv_id, result, CAST(n_sources AS INTEGER) AS n_sources FROM answered",
     "answer_all": f"WITH RECURSIVE {EXTRACTED} SELECT conv_id, result, sources FROM answered",
+    "answer_dialogs": _model_chain("n_turns > 1"),
+    "answer_dialogs_always_rewritten": _model_chain("true"),
     "model_stage": f"""SELECT item_id AS query_id, text, CAST(len({_tokens('text')}) AS VARCHAR) AS reply FROM benchmark""",
 }
