@@ -36,6 +36,8 @@ PLACES = 6
 SENT_QUESTIONS = 4096
 QUESTION_BLOCK = 4096
 ITEM_BLOCK = 65536
+#: Hits that are sent to all tasks: a key, a question key, a score and a rank each, some 100 bytes.
+SENT_HITS = 4 * SENT_QUESTIONS
 SALTS = 16
 HOT_ROWS = 100_000
 LSH_BITS, LSH_TABLES = 8, 16
@@ -301,10 +303,13 @@ def with_item_columns(hits: DataFrame, index: DataFrame, columns: list[str], qid
 
     The hits (at most ``k`` per question) are written once, so the search does
     not run again for each use. The index is first cut to the chunks that were
-    hit. One chunk may be the hit of very many questions: only such chunks are
-    copied, once per ``HOT_ROWS`` hits, so that no task gets all of them.
+    hit. Few hits are sent to the index instead of shuffling it. One chunk may
+    be the hit of very many questions: only such chunks are copied, once per ``HOT_ROWS`` hits, so that no task gets all of them.
     """
     hits = materialise(hits, "hits")
+    if hits.count() <= SENT_HITS:
+        # a bounded number of ids and scores goes to all tasks; the index is scanned and stays where it is
+        return index.select("chunk_id", *columns).join(F.broadcast(hits), "chunk_id")
     counts = hits.groupBy("chunk_id").agg(F.count("*").alias("n"))
     fetched = index.select("chunk_id", *columns).join(counts.select("chunk_id"), "chunk_id", "left_semi")
     hot = counts.where(F.col("n") > HOT_ROWS)

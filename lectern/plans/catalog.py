@@ -385,6 +385,14 @@ def topk_vector(spark, folder):
     return search.topk_vector(asked, given, 4, iid="vec_id")
 
 
+@_query
+def topk_vector_blocks(spark, folder):
+    """The same by pairs of blocks, the form for very many questions."""
+    given = _table(spark, folder, "embeddings")
+    asked = given.select(F.col("vec_id").alias("query_id"), "embedding")
+    return search.topk_vector(asked, given, 4, iid="vec_id", sent_questions=0)
+
+
 @_query
 def topk_text(spark, folder):
     return search.topk_text(_questions(spark, folder), _index(spark, folder))

@@ -220,6 +220,12 @@ CHUNK_QUERY = f"WITH RECURSIVE {DOCS},\n{CHUNKS} SELECT * FROM chunks"
 SYNCED = f"{LABELLED},\ndocs AS ({NOW}),\n{INDEX}"
 INDEX_ROWS = f"SELECT chunk_id, url, page_title, text, {MODEL} AS model FROM chunks JOIN clen USING (chunk_id)"
 
+EXACT = """SELECT query_id, vec_id, score, CAST(rk AS INTEGER) AS rk FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rk FROM (
+    SELECT q.vec_id AS query_id, i.vec_id,
+           round(list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]), 6) AS score
+    FROM embeddings q CROSS JOIN embeddings i)) WHERE rk <= 4"""
+
 ORACLE: dict[str, str] = {
     "table_scan": "SELECT * FROM documents",
     "page_source": "SELECT * FROM pages",
@@ -280,11 +286,8 @@ SELECT model, CAST(dim AS INTEGER) AS dim, count(*) AS n FROM want ANTI JOIN hav
     "latest_version": r"""SELECT regexp_extract(url, '^https?://([^/?#]*)', 1) AS site,
   greatest(1, coalesce(max(CAST(nullif(regexp_extract(url, '/([0-9]+)', 1), '') AS BIGINT)), 1)) AS latest_version
 FROM pages GROUP BY 1""",
-    "topk_vector": """SELECT query_id, vec_id, score, CAST(rk AS INTEGER) AS rk FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rk FROM (
-    SELECT q.vec_id AS query_id, i.vec_id,
-           round(list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]), 6) AS score
-    FROM embeddings q CROSS JOIN embeddings i)) WHERE rk <= 4""",
+    "topk_vector": EXACT,
+    "topk_vector_blocks": EXACT,
     "topk_lsh": f"""WITH {LSH},
 met AS (SELECT DISTINCT q.id AS query_id, i.id AS vec_id FROM codes q JOIN codes i ON q.t = i.t AND q.code = i.code)
 SELECT query_id, vec_id, score, CAST(rk AS INTEGER) AS rk FROM (

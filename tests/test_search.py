@@ -133,9 +133,10 @@ def test_embedding(spark):
         assert abs(sum(x * x for x in v) - 1) < 1e-5
 
 
-@pytest.mark.parametrize("hot", [100_000, 8])
-def test_text_search_with_a_chunk_everyone_hits(spark, monkeypatch, hot):
+@pytest.mark.parametrize("sent, hot", [(16_384, 100_000), (0, 100_000), (0, 8)])
+def test_text_search_with_a_chunk_everyone_hits(spark, monkeypatch, sent, hot):
     monkeypatch.setattr(S, "HOT_ROWS", hot)
+    monkeypatch.setattr(S, "SENT_HITS", sent)
     index = spark.createDataFrame(
         [("a", "u1", None, "visa forms and fees"), ("b", "u2", "T", "dogs and cats")],
         "chunk_id string, url string, page_title string, text string",
@@ -144,6 +145,9 @@ def test_text_search_with_a_chunk_everyone_hits(spark, monkeypatch, hot):
     q = spark.createDataFrame([(i, "visa fees") for i in range(50)], "query_id int, text string")
     rows = S.topk_text(q, index, 1).collect()
     assert len(rows) == 50 and {r.chunk_id for r in rows} == {"a"}
+    if sent:
+        plan = S.topk_text(q, index, 1)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
     docs = S.retrieve(q, index).first().docs
     assert [d.rk for d in docs] == [1, 2]
 
