@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -306,109 +307,112 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def occurrences(lists: list[list[int]], least: int) -> dict[int, int]:
+def occurrences(lists: list, least: int, wanted: np.ndarray | None = None) -> dict[int, int]:
     """Members of at least ``least`` of the sorted lists, with the number of lists: DivideSkip.
 
-    The longest lists stay out of the merge. A heap merges the others; who is
-    in so many of them that the long ones could complete the number is looked
-    up there by binary search, each search starting where the last ended.
+    The longest lists stay out of the merge. Who is in so many of the others
+    that the long ones could complete the number is looked up there by binary
+    search, and dropped as soon as it can't get there. ``wanted`` says which
+    members matter. Lists are Python lists, merged by a heap and probed one by
+    one, or arrays, whose runs a stable sort merges and which are probed for
+    all candidates at once.
     """
     lists = sorted(lists, key=len)
-    longest = len(lists[-1]) if lists else 0
-    n_long = min(least - 1, int(least / (0.01 * np.log2(max(2, longest)) + 1)), len(lists))
+    if len(lists) < least:
+        return {}
+    n_long = min(least - 1, int(least / (0.01 * np.log2(max(2, len(lists[-1]))) + 1)))
     short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
+    if isinstance(lists[0], list):
+        return _by_heap(short, long, least, wanted)
+    member, n = np.unique(np.concatenate(short), return_counts=True)
+    keep = n >= least - n_long if wanted is None else (n >= least - n_long) & wanted[member]
+    member, n = member[keep], n[keep]
+    for k, members in enumerate(long):
+        at = np.minimum(np.searchsorted(members, member), len(members) - 1)
+        n = n + (members[at] == member)
+        keep = n + len(long) - k - 1 >= least
+        member, n = member[keep], n[keep]
+        if not len(member):
+            break
+    return dict(zip(member.tolist(), n.tolist(), strict=True))
+
+
+def _by_heap(short: list[list[int]], long: list[list[int]], least: int, wanted: np.ndarray | None) -> dict[int, int]:
     at, found = [0] * len(long), {}
     for member, same in groupby(heapq.merge(*short)):
         n = sum(1 for _ in same)
-        if n < least - n_long:
+        if n < least - len(long) or (wanted is not None and not wanted[member]):
             continue
         for k, members in enumerate(long):
             if n + len(long) - k < least:
                 break
-            at[k] = _probe(members, member, at[k])
+            at[k] = bisect_left(members, member, at[k])  # members come in order, so each search starts where the last ended
             n += at[k] < len(members) and members[at[k]] == member
         if n >= least:
             found[member] = n
     return found
 
 
-def _probe(members: list[int], wanted: int, at: int) -> int:
-    """First place from ``at`` on with a member of at least ``wanted``, by doubling steps and halving."""
-    step = 1
-    while at + step < len(members) and members[at + step] < wanted:
-        step *= 2
-    low, high = at + step // 2, min(at + step + 1, len(members))
-    while low < high:
-        middle = (low + high) // 2
-        low, high = (middle + 1, high) if members[middle] < wanted else (low, middle)
-    return low
+#: Sets up to which lists are merged by a heap; queries without a find before the rest is taken by components.
+SMALL, MISSES = 64, 8
 
 
 def link(sizes: list[int], keys: list[np.ndarray]) -> list[int]:
-    """For each set the number of a set of its component, the same for all of the component.
-
-    Sets are taken in turn as queries unless they link directly to an earlier
-    query. A link between two sets that were no queries joins the circles of
-    two queries whose Jaccard distance is at most 3/5, as the distance obeys
-    the triangle inequality and each step is at most 1/5. So a query also looks
-    for earlier queries at 2/5 similarity, and where such a pair is still apart
-    at the end, the members of one circle are searched as well.
+    """For each set the smallest number of a set of its component.
+
+    A query finds all links of a set, but for those inside its component, which
+    change nothing. A pair is settled once one of both was a query, or both are
+    in one component. So it ends when all sets that were no query are in one
+    component: first the sets with the least of their own are queries, as they
+    link to most; then those of the smaller components. A block of copies costs
+    few queries, not one per set.
     """
-    root = list(range(len(sizes)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    def join(a: int, b: int) -> None:
-        a, b = find(a), find(b)
-        root[max(a, b)] = min(a, b)
-
+    count = len(sizes)
+    label = np.arange(count)
+    members = {x: [x] for x in range(count)}
+    open_in = dict.fromkeys(range(count), 1)  # sets per component that were no query yet
     lengths = np.array([len(k) for k in keys])
-    owner = np.repeat(np.arange(len(keys)), lengths)
+    owner = np.repeat(np.arange(count), lengths)
     _, number = np.unique(np.concatenate(keys), return_inverse=True)
     by = np.lexsort((owner, number))
     lists = np.split(owner[by], np.cumsum(np.bincount(number))[:-1])
-    cache: dict[int, list[int]] = {}
+    if count <= SMALL:
+        lists = [x.tolist() for x in lists]
     numbers = np.split(number, np.cumsum(lengths)[:-1])
-
-    def inverted(shingle: int) -> list[int]:
-        if shingle not in cache:
-            cache[shingle] = lists[shingle].tolist()
-        return cache[shingle]
-
-    def search(q: int, fifths: int) -> Iterator[tuple[int, int]]:
-        """(set, overlap) of the sets of at least fifths/5 similarity."""
-        least = max(1, -(-fifths * sizes[q] // 5))
-        for x, n in occurrences([inverted(s) for s in numbers[q].tolist()], least).items():
-            if x != q and (5 + fifths) * n >= fifths * (sizes[q] + sizes[x]):
-                yield x, n
-
-    circle: dict[int, list[int]] = {}
-    covered: set[int] = set()
-    apart: list[tuple[int, int]] = []
-    for q in sorted(range(len(sizes)), key=lambda x: (-lengths[x] / sizes[x], -sizes[x], x)):
-        if q in covered:
-            continue
-        circle[q] = [q]
-        for x, n in search(q, 2):
-            if 9 * n >= 4 * (sizes[q] + sizes[x]):
-                join(q, x)
-                if x not in circle and x not in covered:
-                    covered.add(x)
-                    circle[q].append(x)
-            elif x in circle:
-                apart.append((q, x))
-    for pair in apart:
-        a, b = sorted(pair, key=lambda x: len(circle[x]))
-        for member in circle[a]:
-            if find(a) == find(b):
-                break
-            for x, _ in search(member, 4):
-                join(member, x)
-    return [find(x) for x in range(len(sizes))]
+    n_open = count
+    asked = np.zeros(count, dtype=bool)
+
+    def query(q: int) -> bool:
+        nonlocal n_open
+        asked[q] = True
+        open_in[label[q]] -= 1
+        n_open -= open_in[label[q]] == 0
+        mine = [lists[s] for s in numbers[q].tolist()]
+        joined = False
+        for x, n in occurrences(mine, -(-4 * sizes[q] // 5), label != label[q]).items():
+            a, b = int(label[q]), int(label[x])
+            if a != b and 9 * n >= 4 * (sizes[q] + sizes[x]):
+                joined = True
+                n_open -= bool(open_in[a]) and bool(open_in[b])
+                if len(members[a]) < len(members[b]):
+                    a, b = b, a
+                label[members[b]] = a
+                members[a] += members.pop(b)
+                open_in[a] += open_in.pop(b)
+        return joined
+
+    misses = 0
+    for q in sorted(range(count), key=lambda x: (-lengths[x] / sizes[x], -sizes[x], x)):
+        if n_open <= 1 or misses >= MISSES:
+            break
+        misses = 0 if query(q) else misses + 1
+    for q in sorted(range(count), key=lambda x: (len(members[label[x]]), x)):
+        if n_open <= 1:
+            break
+        if not asked[q]:
+            query(q)
+    least = {c: min(m) for c, m in members.items()}
+    return [least[c] for c in label.tolist()]
 
 
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])

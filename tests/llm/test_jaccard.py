@@ -25,7 +25,10 @@ def components(sets):
     return [find(i) for i in range(len(sets))]
 
 
-def test_link_is_all_pairs():
+@pytest.mark.parametrize("small, misses", [(64, 8), (0, 1), (64, 0)])
+def test_link_is_all_pairs(monkeypatch, small, misses):
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "MISSES", misses)
     rng = random.Random(3)
     for _ in range(150):
         bases = [set(rng.sample(range(60), rng.randint(1, 40))) for _ in range(3)]
@@ -44,7 +47,13 @@ def test_occurrences_is_counting():
         lists = [sorted(rng.sample(range(80), rng.randint(0, 60))) for _ in range(rng.randint(1, 25))]
         least = rng.randint(1, len(lists))
         counts = {x: sum(x in members for members in lists) for x in range(80)}
-        assert jaccard.occurrences(lists, least) == {x: n for x, n in counts.items() if n >= least}
+        want = {x: n for x, n in counts.items() if n >= least}
+        assert jaccard.occurrences(lists, least) == want
+        filled = [np.array(x) for x in lists if x]
+        if len(filled) >= least:
+            assert jaccard.occurrences(filled, least) == want
+        odd = np.arange(80) % 2 == 1
+        assert jaccard.occurrences(lists, least, odd) == {x: n for x, n in want.items() if x % 2}
 
 
 def words(text):
