@@ -172,11 +172,25 @@ def _bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
 _SENT = pa.schema(
     [("bucket", pa.int64()), ("sender", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("classes", pa.binary())]
 )
+#: ``part`` rows hold whole keys of the named classes; ``sender`` rows the low bits of one bucket.
 _SHARED = pa.schema(
-    [("sender", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("ranks", pa.binary())]
+    [("sender", pa.int64()), ("part", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("ranks", pa.binary()), ("classes", pa.binary())]
 )
 
 
+def _by_part(keys: np.ndarray, ranks: np.ndarray, cls: np.ndarray, size: np.ndarray, parts: int) -> list[tuple]:
+    """Rows of ``_SHARED``, one per part that has some of the classes; a class is in one part."""
+    part = cls.astype(np.uint64) % np.uint64(parts)
+    by = np.lexsort((cls, part))
+    rows = []
+    for value, at in _cuts(part[by]):
+        mine = by[at]
+        first, n = _runs(cls[mine])
+        named = np.stack([cls[mine][first], size[mine][first], n], axis=1).astype("<i8")
+        rows.append((None, value, None, keys[mine].astype("<i8").tobytes(), ranks[mine].tobytes(), named.tobytes()))
+    return rows
+
+
 def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -213,98 +227,112 @@ def _rank(counts: np.ndarray) -> np.ndarray:
     return np.minimum(255, np.floor(8 * np.log2(counts))).astype("u1")
 
 
-def _count(table: pa.Table) -> pa.Table:
-    """What is shared in a bucket: to the class that was named, else to the sender; a class counts once."""
-    bucket = table.column("bucket")[0].as_py()
-    keys, weight, cls, size, sender = [], [], [], [], []
-    for name, data, counts, named in zip(*(table.column(c).to_pylist() for c in ("sender", "keys", "counts", "classes")), strict=True):
-        found = _unpacked(data)
-        groups = np.frombuffer(counts, "<u4")
-        triples = np.frombuffer(named, "<i8").reshape(-1, 3)
-        alone = len(found) - len(groups)
-        keys.append(found)
-        weight.append(np.concatenate([np.ones(alone, np.int64), groups]))
-        cls.append(np.concatenate([np.repeat(triples[:, 0], triples[:, 2]), np.full(len(groups), name)]))
-        size.append(np.concatenate([np.repeat(triples[:, 1], triples[:, 2]), np.zeros(len(groups), np.int64)]))
-    keys, weight, cls, size = map(np.concatenate, (keys, weight, cls, size))
-    by = np.lexsort((size, cls, keys))
-    keys, weight, cls, size = keys[by], weight[by], cls[by], size[by]
-    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (cls[1:] != cls[:-1]) | (size[1:] != size[:-1])])
-    keys, weight, cls, size = keys[new], weight[new], cls[new], size[new]
-    starts, lengths = _runs(keys)
-    total = np.repeat(np.add.reduceat(weight, starts), lengths)
-    shared = total > 1
-    keys, cls, size, rank = keys[shared], cls[shared], size[shared], _rank(total[shared])
-    by = np.lexsort((keys, size, cls))
-    rows = []
-    for _, part in _cuts(cls[by]):
-        at = by[part]
-        to_sender = size[at[0]] == 0
-        who = int(cls[at[0]])
-        rows.append((
-            who if to_sender else None, None if to_sender else who, int(size[at[0]]), bucket, _packed(keys[at]), rank[at].tobytes()
-        ))
-    return pa.Table.from_batches([_table(rows, _SHARED)] if rows else [], schema=_SHARED)
+def _count(parts: int):
+    """What is shared in a bucket: for the part of a class that was named, else for the sender; a class counts once."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        keys, weight, cls, size = [], [], [], []
+        for name, data, counts, named in zip(*(table.column(c).to_pylist() for c in ("sender", "keys", "counts", "classes")), strict=True):
+            found = _unpacked(data)
+            groups = np.frombuffer(counts, "<u4")
+            triples = np.frombuffer(named, "<i8").reshape(-1, 3)
+            alone = len(found) - len(groups)
+            keys.append(found)
+            weight.append(np.concatenate([np.ones(alone, np.int64), groups]))
+            cls.append(np.concatenate([np.repeat(triples[:, 0], triples[:, 2]), np.full(len(groups), name)]))
+            size.append(np.concatenate([np.repeat(triples[:, 1], triples[:, 2]), np.zeros(len(groups), np.int64)]))
+        keys, weight, cls, size = map(np.concatenate, (keys, weight, cls, size))
+        by = np.lexsort((size, cls, keys))
+        keys, weight, cls, size = keys[by], weight[by], cls[by], size[by]
+        new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (cls[1:] != cls[:-1]) | (size[1:] != size[:-1])])
+        keys, weight, cls, size = keys[new], weight[new], cls[new], size[new]
+        starts, lengths = _runs(keys)
+        total = np.repeat(np.add.reduceat(weight, starts), lengths)
+        shared = total > 1
+        keys, cls, size, rank = keys[shared], cls[shared], size[shared], _rank(total[shared])
+        own = size > 0
+        rows = _by_part(keys[own] | np.uint64(bucket) << np.uint64(40), rank[own], cls[own], size[own], parts)
+        keys, cls, rank = keys[~own], cls[~own], rank[~own]
+        by = np.lexsort((keys, cls))
+        for sender, at in _cuts(cls[by]):
+            rows.append((sender, None, bucket, _packed(keys[by[at]]), rank[by[at]].tobytes(), b""))
+        return pa.Table.from_batches([_table(rows, _SHARED)] if rows else [], schema=_SHARED)
+
+    return run
 
 
-_LOCAL = pa.schema([("sender", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary())])
+_LOCAL = pa.schema([("sender", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("classes", pa.binary())])
 
 
 def _keep(buckets: int):
-    """The same scan again: the shingles that several classes of a batch share, by class and bucket."""
+    """The same scan again: the shingles that several classes of a batch share, by bucket, with their classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, classes, sizes, owner, hashes in _batches(batches):
             starts, lengths = _runs(hashes)
             several = np.repeat(lengths > 1, lengths)
             owner, hashes = owner[several], hashes[several]
-            if not len(hashes):
-                continue
             bucket = _bucket_of(hashes, buckets)
-            by = np.lexsort((hashes, bucket, owner))
+            by = np.lexsort((hashes, owner, bucket))
             owner, hashes, bucket = owner[by], hashes[by] & _LOW, bucket[by]
-            rows = [
-                (name, int(classes[o]), int(sizes[o]), b, _packed(hashes[part]))
-                for value, part in _cuts(owner * buckets + bucket)
-                for o, b in [divmod(value, buckets)]
-            ]
-            for at in range(0, len(rows), 10_000):
-                yield _table(rows[at : at + 10_000], _LOCAL)
+            for value, at in _cuts(bucket):
+                first, n = _runs(owner[at])
+                who = owner[at][first]
+                named = np.stack([classes[who], sizes[who], n], axis=1).astype("<i8")
+                yield _table([(name, value, _packed(hashes[at]), named.tobytes())], _LOCAL)
 
     return run
 
 
-def _returned(local: pa.Table, counted: pa.Table) -> pa.Table:
-    """The shared shingles of a sender's classes with the ranks that the buckets gave them."""
-    ranks = {b: (_unpacked(k), np.frombuffer(r, "u1")) for b, k, r in zip(*(counted.column(c).to_pylist() for c in ("bucket", "keys", "ranks")), strict=True)}
-    rows = []
-    for sender, cls, n, bucket, data in zip(*(local.column(c).to_pylist() for c in _LOCAL.names), strict=True):
-        known, rank = ranks[bucket]
-        rows.append((sender, cls, n, bucket, data, rank[np.searchsorted(known, _unpacked(data))].tobytes()))
-    return pa.Table.from_batches([_table(rows, _SHARED)] if rows else [], schema=_SHARED)
+def _returned(parts: int):
+    """The shared shingles of a sender's classes with the ranks that the buckets gave them, by part."""
+
+    def run(local: pa.Table, counted: pa.Table) -> pa.Table:
+        ranks = {
+            b: (_unpacked(k), np.frombuffer(r, "u1"))
+            for b, k, r in zip(*(counted.column(c).to_pylist() for c in ("bucket", "keys", "ranks")), strict=True)
+        }
+        keys, rank, triples = [], [], []
+        for bucket, data, named in zip(*(local.column(c).to_pylist() for c in ("bucket", "keys", "classes")), strict=True):
+            known, value = ranks[bucket]
+            low = _unpacked(data)
+            keys.append(low | np.uint64(bucket) << np.uint64(40))
+            rank.append(value[np.searchsorted(known, low)])
+            triples.append(np.frombuffer(named, "<i8").reshape(-1, 3))
+        if not keys:
+            return _SHARED.empty_table()
+        named = np.concatenate(triples)
+        cls, size = (np.repeat(named[:, c], named[:, 2]) for c in (0, 1))
+        return pa.Table.from_batches([_table(_by_part(np.concatenate(keys), np.concatenate(rank), cls, size, parts), _SHARED)])
 
+    return run
 
-_KEPT = "cls long, n long, keys array<long>, prefix array<long>"
 
+_KEPT = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Classes of which at least 4/5 is shared: all shared shingles, and the rarest that must meet a partner."""
-    for batch in batches:
-        rows = []
-        for cls, n, parts in zip(*(batch.column(c).to_pylist() for c in ("cls", "n", "parts")), strict=True):
-            keys = np.concatenate([_unpacked(p["keys"]) | np.uint64(p["bucket"]) << np.uint64(40) for p in parts]).astype(np.int64)
-            ranks = np.concatenate([np.frombuffer(p["ranks"], "u1") for p in parts])
-            keys, at = np.unique(keys, return_index=True)
-            if 5 * len(keys) < 4 * n:
-                continue
-            differ = n - -(-4 * n // 5) - (n - len(keys))  # shared ones that a partner may lack
-            prefix = keys[np.lexsort((keys, ranks[at]))[: differ + 1]]
-            rows.append((cls, n, keys, prefix))
-        if rows:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)],
-                ["cls", "n", "keys", "prefix"],
-            )
+
+def _gather(table: pa.Table) -> pa.Table:
+    """Of a part, the classes of which at least 4/5 is shared: all shared shingles, and the rarest that must meet a partner.
+
+    A class comes once from each bucket and once from each sender that held it.
+    """
+    named = np.concatenate([np.frombuffer(x, "<i8").reshape(-1, 3) for x in table.column("classes").to_pylist()])
+    keys = np.concatenate([np.frombuffer(x, "<i8") for x in table.column("keys").to_pylist()])
+    ranks = np.concatenate([np.frombuffer(x, "u1") for x in table.column("ranks").to_pylist()])
+    cls, size = (np.repeat(named[:, c], named[:, 2]) for c in (0, 1))
+    by = np.lexsort((keys, cls))
+    cls, size, keys, ranks = cls[by], size[by], keys[by], ranks[by]
+    new = np.concatenate([[True], (cls[1:] != cls[:-1]) | (keys[1:] != keys[:-1])])
+    cls, size, keys, ranks = cls[new], size[new], keys[new], ranks[new]
+    rows = []
+    for value, at in _cuts(cls):
+        n, mine = int(size[at][0]), keys[at]
+        if 5 * len(mine) < 4 * n:
+            continue
+        differ = n - -(-4 * n // 5) - (n - len(mine))  # shared ones that a partner may lack
+        rows.append((value, n, mine, mine[np.lexsort((mine, ranks[at]))[: differ + 1]]))
+    return pa.Table.from_batches([_table(rows, _KEPT)] if rows else [], schema=_KEPT)
 
 
 def occurrences(lists: list, least: int, wanted: np.ndarray | None = None) -> dict[int, int]:
@@ -433,15 +461,12 @@ def _candidates(df: DataFrame, text_col: str, buckets: int) -> DataFrame:
     """(cls, n, keys, prefix) of the classes that may have links, written."""
     texts = narrow(df, text=text_col)
     sent = texts.mapInArrow(_send(buckets), "bucket long, sender long, keys binary, counts binary, classes binary")
-    shared = "sender long, cls long, n long, bucket long, keys binary, ranks binary"
-    counted = materialise(sent.groupBy("bucket").applyInArrow(_count, shared), "counted")
-    local = texts.mapInArrow(_keep(buckets), "sender long, cls long, n long, bucket long, keys binary")
-    returned = local.groupBy("sender").cogroup(counted.where("sender IS NOT NULL").groupBy("sender")).applyInArrow(_returned, shared)
-    parts = counted.where("cls IS NOT NULL").unionByName(returned).select(
-        "cls", "n", F.struct("bucket", "keys", "ranks").alias("part"), (F.octet_length("ranks")).alias("shared")
-    )
-    whole = parts.groupBy("cls", "n").agg(F.sum("shared").alias("shared"), F.collect_list("part").alias("parts"))
-    return materialise(whole.where("5 * shared >= 4 * n").select("cls", "n", "parts").mapInArrow(_gather, _KEPT), "candidates")
+    shared = "sender long, part long, bucket long, keys binary, ranks binary, classes binary"
+    counted = materialise(sent.groupBy("bucket").applyInArrow(_count(buckets), shared), "counted")
+    local = texts.mapInArrow(_keep(buckets), "sender long, bucket long, keys binary, classes binary")
+    returned = local.groupBy("sender").cogroup(counted.where("sender IS NOT NULL").groupBy("sender")).applyInArrow(_returned(buckets), shared)
+    parts = counted.where("part IS NOT NULL").unionByName(returned).select("part", "keys", "ranks", "classes")
+    return materialise(parts.groupBy("part").applyInArrow(_gather, "cls long, n long, keys array<long>, prefix array<long>"), "candidates")
 
 
 def links(df: DataFrame, text_col: str = "text", n_shingles: int = 0) -> DataFrame:
