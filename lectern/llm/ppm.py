@@ -7,11 +7,13 @@ the symbols already ruled out are excluded. With fixed counts everything that
 exclusion needs is a sum per context, so the trie is kept as sorted arrays,
 one level per order, and whole batches of bytes are scored with lookups.
 
-A node stays in the trie if at least 2^-``SHARE_BITS`` of the training bytes
-pass it. So a level has at most 2^``SHARE_BITS`` nodes, for any corpus; what
-falls below the share is escape mass. The word counts of the base score are
-split the same way: words of at least that share travel with the tasks, all
-others are joined.
+Every counted gram is in the model. Only grams of at least 2^-``HEAD_BITS`` of
+the training bytes travel with the tasks, each with its final value, which is
+at most 2^``HEAD_BITS`` of them for any corpus; what else a text holds is
+joined. The values of those grams are found in groups of equal last context
+bytes: all that a group backs off to is in the group, or of order ``LOW`` at
+most, and such short contexts are the same few for every corpus. The word counts
+of the base score are split the same way, by 2^-``SHARE_BITS``.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ from pyspark.sql import functions as F
 from ..session import materialise
 from .common import narrow
 
-ORDER, SHARE_BITS = 5, 20
+ORDER, SHARE_BITS, HEAD_BITS = 5, 20, 22
+#: Longest context of which every task that finds values has all counts.
+LOW = 2
 #: Bytes that no UTF-8 text contains: before its start, and its end.
 PAD, END = 0xFE, 0xFF
 #: Bytes coded at once; a longer text is coded in pieces that see the bytes before.
@@ -199,8 +203,51 @@ class Trie:
         return sums
 
 
+def _level(grams: np.ndarray, n: np.ndarray, order: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Nodes and contexts of one order of counted grams."""
+    keys, counts = _merged([grams & ((1 << 8 * (order + 1)) - 1)], [n])
+    above, sums = _merged([keys >> 8], [counts])
+    return (keys, counts.astype(float)), (above, sums.astype(float))
+
+
+def head(grams: DataFrame, head_bits: int = HEAD_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """(grams, log10 probabilities) of the counted grams that are frequent enough to travel, sorted."""
+    total = grams.agg(F.sum("n").alias("n")).first().n or 0
+    contexts = grams.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.sum("n").alias("whole"), F.count("*").alias("kinds"))
+    frequent = grams.where(F.col("n") >= F.lit(total / 2.0**head_bits)).withColumn("context", F.shiftright("gram", 8))
+    value = F.log10("n") - F.log10(F.col("whole") + F.col("kinds"))
+    rows = frequent.join(contexts, "context").select("gram", value.alias("value")).toArrow()
+    keys, values = (rows.column(c).to_numpy() for c in ("gram", "value"))
+    by = np.argsort(keys)
+    return keys[by], values[by]
+
+
+def values(grams: DataFrame, asked: DataFrame) -> DataFrame:
+    """(gram, value) of each row of ``asked`` (gram), distinct and written: its log10 probability by all counts of ``grams``."""
+    known = F.expr(f"gram & {(1 << 8 * (LOW + 1)) - 1}L")
+    rows = grams.groupBy(known.alias("gram")).agg(F.sum("n").alias("n")).toArrow()
+    keys, n = (rows.column(c).to_numpy() for c in ("gram", "n"))
+    low = [_level(keys, n, order) for order in range(LOW + 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches, pa.schema([("gram", pa.int64()), ("n", pa.int64()), ("asked", pa.bool_())]))
+        keys, n, wanted = (table.column(c).to_numpy() for c in ("gram", "n", "asked"))
+        levels = [*low, *[_level(keys[n > 0], n[n > 0], order) for order in range(LOW + 1, ORDER + 1)]]
+        model = Trie([nodes for nodes, _ in levels], [contexts for _, contexts in levels])
+        keys = keys[wanted]
+        for at in range(0, len(keys), PIECE):
+            some = keys[at : at + PIECE]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(model.log_probabilities(some))], ["gram", "value"])
+
+    counted = grams.select("gram", "n", F.lit(False).alias("asked"))
+    every = counted.unionByName(asked.select("gram", F.lit(0).cast("long").alias("n"), F.lit(True).alias("asked")))
+    one = every.groupBy("gram").agg(F.sum("n").alias("n"), F.max("asked").alias("asked"))
+    context = F.expr(f"shiftright(gram, 8) & {(1 << 8 * (LOW + 1)) - 1}L")  # such a group has at most 2^24 grams
+    return materialise(one.repartition(context).mapInArrow(run, "gram long, value double"), "values")
+
+
 def trie(counts: DataFrame, share_bits: int = SHARE_BITS) -> Trie:
-    """The trie of counted grams; the driver gets at most 2^share_bits nodes per order."""
+    """The trie of the counted grams of at least 2^-share_bits of all bytes; the rest is escape mass."""
     grams = counts.where("gram IS NOT NULL")
     total = grams.agg(F.sum("n").alias("n")).first().n or 0
     orders = F.explode(F.sequence(F.lit(0), F.lit(ORDER)))
@@ -229,17 +276,22 @@ def trie(counts: DataFrame, share_bits: int = SHARE_BITS) -> Trie:
 
 
 def score(
-    df: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", share_bits: int = SHARE_BITS
+    df: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", share_bits: int | None = None,
+    head_bits: int = HEAD_BITS,
 ) -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score, score of every row of ``df``, learnt from all rows of ``training``.
 
     ``base_score`` is the smoothed unigram log10 probability of the words and
     the end; ``score`` is the trie's of all bytes and the end. A null text is
     empty. Rows with equal id and text are equal, and repeat. Without training
-    rows every byte has the same probability.
+    rows every byte has the same probability. With ``share_bits`` the trie is
+    the smaller one of the grams that have that share; by default all count.
     """
     counts = count(training, text_col)
-    model = trie(counts, share_bits)
+    grams = counts.where("gram IS NOT NULL").select("gram", "n")
+    model = None if share_bits is None else trie(counts, share_bits)
+    known_grams, known_values = head(grams, head_bits) if model is None else (None, None)
+    share_bits = SHARE_BITS if share_bits is None else share_bits
     words = counts.where("word IS NOT NULL").select("word", "n")
     whole = words.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.max(F.when(F.length("word") == 0, F.col("n"))).alias("ends")).first()
     n, v, ends = whole.n or 0, whole.v, whole.ends or 0
@@ -249,10 +301,31 @@ def score(
     end_score = float(np.log10((ends + 0.5) / spread))
     schema = (
         f"id {dict(df.dtypes)[id_col]}, print long, n_tokens long, known long, base double, score double, "
-        "rare array<struct<word:binary,times:int>>"
+        "rare array<struct<word:binary,times:int>>, tail array<struct<gram:long,times:int>>"
     )
     rare_type = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32())]))
 
+    def by_head(texts: list[bytes]) -> tuple[np.ndarray, pa.Array]:
+        """Sums of the values at hand; all other grams of each text and how often it has them."""
+        sums, parts = np.zeros(len(texts)), [np.zeros((3, 0), dtype=np.int64)]
+        for found, owner in pieces(texts):
+            at, hit = Trie._find(known_grams, found)
+            sums += np.bincount(owner[hit], known_values[at[hit]], len(texts))
+            distinct, where = np.unique(found[~hit], return_inverse=True)
+            pairs, times = np.unique(owner[~hit] * len(distinct) + where, return_counts=True)
+            if len(pairs):
+                parts.append(np.stack([pairs // len(distinct), distinct[pairs % len(distinct)], times]))
+        owner, gram, times = np.concatenate(parts, axis=1)  # in the order of the texts
+        offsets = np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)
+        listed = pa.StructArray.from_arrays([pa.array(gram), pa.array(times.astype(np.int32))], ["gram", "times"])
+        return sums, pa.ListArray.from_arrays(pa.array(offsets), listed)
+
+    def by_trie(texts: list[bytes]) -> tuple[np.ndarray, pa.Array]:
+        tail_type = pa.list_(pa.struct([("gram", pa.int64()), ("times", pa.int32())]))
+        return model.score(texts), pa.nulls(len(texts), tail_type)
+
+    sums_and_tails = by_head if model is None else by_trie
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [lowered(t) for t in batch.column(2).to_pylist()]
@@ -271,9 +344,10 @@ def score(
                 known.append(hits)
                 base.append(sums)
                 rare.append(others)
-            columns = [pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(model.score(texts)), pa.array(rare, rare_type)]
+            scores, tails = sums_and_tails(texts)
+            columns = [pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(scores), pa.array(rare, rare_type), tails]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *columns], ["id", "print", "n_tokens", "known", "base", "score", "rare"]
+                [batch.column(0), batch.column(1), *columns], ["id", "print", "n_tokens", "known", "base", "score", "rare", "tail"]
             )
 
     rows = narrow(df, id=id_col, text=text_col).select("id", F.xxhash64("text").alias("print"), "text")
@@ -285,12 +359,21 @@ def score(
         "id", "print", F.lit(0).alias("row"), F.lit(None).cast("long").alias("n_tokens"), F.lit(None).cast("double").alias("score"),
         F.when(F.col("c") > 0, F.col("times")).otherwise(0).cast("long").alias("known"), value.alias("base"),
     )
-    heads = scored.select("id", "print", F.lit(1).alias("row"), "n_tokens", "score", "known", "base")
-    together = heads.unionByName(parts).groupBy("id", "print").agg(
-        F.sum("row").alias("rows"), F.max("n_tokens").alias("n_tokens"), F.max("score").alias("score"),
+    heads = scored.select("id", "print", F.lit(1).alias("row"), "n_tokens", "score", "known", "base").unionByName(parts)
+    if model is None:
+        tails = scored.select("id", "print", F.explode("tail").alias("t")).select("id", "print", "t.gram", "t.times")
+        valued = tails.join(values(grams, scored.select(F.explode("tail.gram").alias("gram"))), "gram")
+        heads = heads.unionByName(
+            valued.select(
+                "id", "print", F.lit(0).alias("row"), F.lit(None).cast("long").alias("n_tokens"),
+                (F.col("times") * F.col("value")).alias("score"), F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"),
+            )
+        )
+    together = heads.groupBy("id", "print").agg(
+        F.sum("row").alias("rows"), F.max("n_tokens").alias("n_tokens"), F.sum("score").alias("score"),
         F.sum("known").alias("known"), F.sum("base").alias("base"),
     )
     return together.select(
         F.col("id").alias(id_col), "n_tokens", F.expr("known div rows").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") / F.col("rows")).alias("base_score"), "score", F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("row"),
+        (F.col("base") / F.col("rows")).alias("base_score"), (F.col("score") / F.col("rows")).alias("score"), F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("row"),
     ).drop("row")

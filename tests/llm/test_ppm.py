@@ -72,3 +72,25 @@ def test_rare_words_are_joined(frame, monkeypatch):
     want = sorted((r.doc_id, r.n_known, round(r.base_score, 9)) for r in ppm.score(docs, docs.where("doc_id < 3")).collect())
     got = sorted((r.doc_id, r.n_known, round(r.base_score, 9)) for r in ppm.score(docs, docs.where("doc_id < 3"), share_bits=0).collect())
     assert got == want and len(got) == 5
+
+
+@pytest.mark.parametrize("head_bits", [22, 7, 0])
+def test_every_gram_counts(frame, head_bits, monkeypatch):
+    """However small a gram's share, its count is in the score: values at hand or joined give the scores of the whole trie."""
+    monkeypatch.setattr(ppm, "PIECE", 64)
+    rng = random.Random(3)
+    made = ["".join(rng.choices("abcdeÄ \nB", k=rng.randint(0, 70))) for _ in range(40)] + ["", "zzz", None]
+    by_hand = ByHand(made[:25], 60)
+    docs = frame(rows(*made) + rows(*made[:3]))
+    got = ppm.score(docs, frame(rows(*made[:25])), head_bits=head_bits).collect()
+    assert len(got) == len(made) + 3
+    for r in got:
+        assert r.score == pytest.approx(by_hand.score(made[r.doc_id]), rel=1e-9)
+
+
+def test_a_small_share_is_not_dropped(frame):
+    """One rare text beside 2^24 bytes of others: each of its grams has less than one byte in 2^20."""
+    docs = frame(rows("qxzvjw kyqzx", "ab" * (1 << 23)))
+    rare = docs.where("doc_id = 0")
+    assert ppm.score(rare, docs).first().score > -6
+    assert ppm.score(rare, docs, share_bits=20).first().score < -25  # what a bounded trie gives
