@@ -86,7 +86,7 @@ def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark items in documents, also with other numbers, names and units; a row per document and item."""
-    found = decontaminate.find(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    found = decontaminate.find(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), bare=True)
     return found.groupBy("doc_id", "item_id").agg(
         F.max("matched").alias("matched"), F.max("windows").alias("windows"), F.min("exchanged").alias("exchanged")
     )

@@ -4,6 +4,8 @@ Texts become words; numbers, names inside a sentence and units become typed
 placeholders. Windows of the templates are hash-joined, windows that lie on one
 diagonal are evidence of one place, and what stands in the slots must be
 exchanged consistently there: a value of the question has one value in the text.
+Beside the templates, windows are joined by their plain lower-case words, so a
+verbatim copy is found whatever its words become in a template.
 
 Only DataFrame functions are used.
 """
@@ -51,6 +53,16 @@ def template(found: Column) -> Column:
     return F.transform(found, lambda w: F.xxhash64(F.coalesce(slot(w), w)))
 
 
+def plain(found: Column) -> Column:
+    """Words without marks."""
+    return F.transform(found, lambda w: F.replace(w, F.lit(_NAME), F.lit("")))
+
+
+def surface(found: Column) -> Column:
+    """Plain words as hashes; a literal has the hash that it has in a template."""
+    return F.transform(found, lambda w: F.xxhash64(F.replace(w, F.lit(_NAME), F.lit(""))))
+
+
 def _places(found: Column, length: int) -> Column:
     """Where windows of ``length`` begin."""
     return F.when(F.size(found) >= length, F.sequence(F.lit(0), F.size(found) - length)).otherwise(F.array().cast("array<int>"))
@@ -64,7 +76,7 @@ def _keys(hashes: Column, length: int) -> Column:
     return let(hashes, lambda h: F.transform(_places(h, length), lambda i: _key(h, i, length)))
 
 
-def _windows(found: Column, length: int) -> Column:
+def _windows(found: Column, length: int, hashed=template) -> Column:
     """Place, key and words of each window."""
 
     def each(w: Column, h: Column) -> Column:
@@ -73,31 +85,39 @@ def _windows(found: Column, length: int) -> Column:
             lambda i: F.struct(i.alias("place"), _key(h, i, length).alias("key"), F.slice(w, i + 1, F.lit(length)).alias("given")),
         )
 
-    return let(found, lambda w: let(template(w), lambda h: each(w, h)))
+    return let(found, lambda w: let(hashed(w), lambda h: each(w, h)))
 
 
 def _sent(windows: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(windows) if small else windows
 
 
-def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(key, item, at, length, asked, windows) per window with enough literals, written; an item below a window's length is one."""
+def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", bare: bool = False) -> DataFrame:
+    """(key, item, at, length, asked, exact, windows) per window, written; an item below a window's length is one.
+
+    Windows with enough literals are there as templates, and all windows with a
+    literal, or all with a word if ``bare``, as plain words (``exact``).
+    """
     items = narrow(benchmark, item=item_col, text=text_col).distinct().select("item", words(F.col("text")).alias("words"))
     sized = items.withColumn("length", F.least(F.size("words"), F.lit(WINDOW)))
     each = sized.select(
         "item", "words", "length", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("length"))).alias("at")
     ).select("item", "at", "length", F.slice("words", F.col("at") + 1, F.col("length")).alias("asked"))
     literals = F.size(F.filter("asked", lambda w: slot(w).isNull() & (w != "")))
-    plain = each.where(literals >= F.least(F.lit(LITERALS), F.col("length")))
-    keyed = plain.withColumn("key", F.xxhash64(template(F.col("asked")), F.col("length")))
-    whole = keyed.groupBy("item").agg(F.count("*").alias("windows")).withColumnRenamed("item", "__item")
-    joined = keyed.join(whole, F.col("item").eqNullSafe(F.col("__item"))).drop("__item")
+    rich = each.where(literals >= F.least(F.lit(LITERALS), F.col("length"))).withColumn("exact", F.lit(False))
+    worded = each.where(F.forall("asked", lambda w: w != "") if bare else literals > 0)
+    exact = worded.withColumn("asked", plain(F.col("asked"))).withColumn("exact", F.lit(True))
+    keyed = rich.withColumn("key", F.xxhash64(template(F.col("asked")), F.col("length"))).unionByName(
+        exact.withColumn("key", F.xxhash64(surface(F.col("asked")), F.col("length")))
+    )
+    whole = keyed.groupBy("item", "exact").agg(F.count("*").alias("windows")).withColumnsRenamed({"item": "__item", "exact": "__exact"})
+    joined = keyed.join(whole, F.col("item").eqNullSafe(F.col("__item")) & (F.col("exact") == F.col("__exact"))).drop("__item", "__exact")
     return materialise(joined, "windows")
 
 
 def find(
     df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    item_col: str = "item_id", item_text_col: str = "text",
+    item_col: str = "item_id", item_text_col: str = "text", bare: bool = False,
 ) -> DataFrame:
     """A row per document and benchmark item found in it: id, print, item, matched, windows, exchanged.
 
@@ -106,10 +126,13 @@ def find(
     and one there); ``exchanged`` the slot values there that
     differ. ``print`` is a hash of the text: rows with equal ids and different
     texts are different documents, equal rows give one row. Null and empty
-    texts have no windows. Items of which no window has four literal words (or
-    all of a shorter item) are not searched.
+    texts have no windows. Items that the templates do not find, as their
+    windows have less than four literal words (or all of a shorter item), as
+    names stand elsewhere in a sentence or as a value meets two values, are
+    found by windows of equal words, which are counted in the same way. A
+    window without any literal is no evidence unless ``bare``.
     """
-    asked = benchmark_windows(benchmark, item_col, item_text_col)
+    asked = benchmark_windows(benchmark, item_col, item_text_col, bare)
     lengths = sorted(r.length for r in asked.select("length").distinct().collect())  # WINDOW at most
     small = asked.count() <= SENT_WINDOWS
     texts = narrow(df, id=id_col, text=text_col).select("id", F.xxhash64("text").alias("print"), words(F.col("text")).alias("words"))
@@ -117,20 +140,26 @@ def find(
     keys = asked.select("key", "length").distinct()
     touched = None
     for length in lengths:
-        each = texts.select("id", "print", F.explode_outer(_keys(template(F.col("words")), length)).alias("key"))
+        both = F.array_union(_keys(template(F.col("words")), length), _keys(surface(F.col("words")), length))
+        each = texts.select("id", "print", F.explode_outer(both).alias("key"))
         met = each.join(_sent(keys.where(F.col("length") == length), small), "key", "left_semi").select("id", "print")
         touched = met if touched is None else touched.unionByName(met)
     if touched is None:
         touched = texts.select("id", "print").where("false")
     touched = materialise(touched.distinct().withColumnsRenamed({"id": "__id", "print": "__print"}), "touched")
     found_in = texts.join(touched, F.col("id").eqNullSafe(F.col("__id")) & (F.col("print") == F.col("__print")), "left_semi")
-    met = None
-    for length in lengths or [WINDOW]:
-        # the outer form, as the plain one makes the optimizer compute the windows a second time
-        each = found_in.select("id", "print", F.explode_outer(_windows(F.col("words"), length)).alias("w")).select("id", "print", "w.*")
-        part = each.where("key IS NOT NULL").join(_sent(asked.where(F.col("length") == length), small), "key")
-        met = part if met is None else met.unionByName(part)
-    met = met.select("id", "print", "item", "at", (F.col("place") - F.col("at")).alias("diagonal"), "windows", "asked", "given")
+
+    def meetings(hashed, exact: bool) -> DataFrame:
+        met = None
+        wanted = asked.where(F.col("exact") == exact).drop("exact")
+        for length in lengths or [WINDOW]:
+            # the outer form, as the plain one makes the optimizer compute the windows a second time
+            each = found_in.select("id", "print", F.explode_outer(_windows(F.col("words"), length, hashed)).alias("w")).select("id", "print", "w.*")
+            part = each.where("key IS NOT NULL").join(_sent(wanted.where(F.col("length") == length), small), "key")
+            met = part if met is None else met.unionByName(part)
+        return met.select("id", "print", "item", "at", (F.col("place") - F.col("at")).alias("diagonal"), "windows", "asked", "given")
+
+    met = meetings(template, False)
     # different templates with one hash end here
     same = F.forall(F.zip_with("asked", "given", lambda a, b: F.coalesce(slot(a), a) == F.coalesce(slot(b), b)), lambda x: x)
     pairs = F.filter(F.zip_with("asked", "given", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: slot(p["a"]).isNotNull())
@@ -141,8 +170,16 @@ def find(
     )
     consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"])))
     exchanged = F.size(F.filter("pairs", lambda p: p["a"] != p["b"]))
-    found = along.where(consistent & (F.col("matched") >= F.greatest(F.lit(1), F.least(F.lit(WINDOWS), F.col("windows") - 1)))).withColumn("exchanged", exchanged)
-    best = found.groupBy("id", "print", "item").agg(F.max(F.struct("matched", (-F.col("exchanged")).alias("kept"), "windows")).alias("b"))
+    enough = F.col("matched") >= F.greatest(F.lit(1), F.least(F.lit(WINDOWS), F.col("windows") - 1))
+    columns = ["id", "print", "item", "matched", "windows"]
+    found = along.where(consistent & enough).select(*columns, exchanged.alias("exchanged"), F.lit(1).alias("typed"))
+    verbatim = meetings(surface, True).where(F.col("asked") == plain(F.col("given"))).groupBy("id", "print", "item", "diagonal").agg(
+        F.count_distinct("at").alias("matched"), F.max("windows").alias("windows")
+    )
+    found = found.unionByName(verbatim.where(enough).select(*columns, F.lit(0).alias("exchanged"), F.lit(0).alias("typed")))
+    best = found.groupBy("id", "print", "item").agg(
+        F.max(F.struct("typed", "matched", (-F.col("exchanged")).alias("kept"), "windows")).alias("b")  # plain words only if no template is found
+    )
     return best.select(
         F.col("id").alias(id_col), "print", F.col("item").alias(item_col), F.col("b.matched").alias("matched"),
         F.col("b.windows").alias("windows"), (-F.col("b.kept")).cast("long").alias("exchanged"),
@@ -151,6 +188,6 @@ def find(
 
 def clean(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` in which no item is found, columns unchanged."""
-    found = find(df, benchmark, id_col, text_col).select(F.col(id_col).alias("__id"), F.col("print").alias("__print")).distinct()
+    found = find(df, benchmark, id_col, text_col, bare=True).select(F.col(id_col).alias("__id"), F.col("print").alias("__print")).distinct()
     same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__print"))
     return df.join(found, same, "left_anti")

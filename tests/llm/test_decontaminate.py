@@ -60,3 +60,19 @@ def test_no_python_in_the_plan(frame, spark):
     benchmark = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     plan = decontaminate.find(frame(rows(ITEM)), benchmark)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_verbatim_copies_poor_in_literals(frame, spark):
+    """Copies whose windows are nearly all placeholders are found by their plain words, with other values they are not."""
+    items = ("What is 12 times 34?", "Mix 2 cups and 3 grams, 5 cups and 7 grams, 11 cups and 13 grams, 17 cups and 19 grams.", "The Old Man And The Sea By Ernest Hemingway In Havana")
+    text = "Some words before it. {} And some words after."
+    others = "What is 13 times 35?", items[1].replace("2", "4").replace("7", "8").replace("cups", "jars")
+    assert set(found(frame, spark, *[text.format(x) for x in [*items, *others]], items=items)) == {(0, 0), (1, 1), (2, 2)}
+
+
+def test_tables_of_numbers_in_the_corpus(frame, spark):
+    numbers = " ".join(map(str, range(40)))
+    benchmark = spark.createDataFrame([(0, numbers)], "item_id long, text string")
+    docs = frame(rows("so " + numbers, "so 5 6 7 8 9 10 11 1 2"))
+    assert [r.doc_id for r in decontaminate.find(docs, benchmark, bare=True).collect()] == [0]
+    assert [r.doc_id for r in decontaminate.clean(docs, benchmark).collect()] == [1]
