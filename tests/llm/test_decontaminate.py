@@ -76,3 +76,9 @@ def test_tables_of_numbers_in_the_corpus(frame, spark):
     docs = frame(rows("so " + numbers, "so 5 6 7 8 9 10 11 1 2"))
     assert [r.doc_id for r in decontaminate.find(docs, benchmark, bare=True).collect()] == [0]
     assert [r.doc_id for r in decontaminate.clean(docs, benchmark).collect()] == [1]
+
+
+def test_layout_does_not_hide_a_copy(frame, spark):
+    item = "my little brother once asked whether kind old Anna would come to tea"
+    texts = item.replace(" Anna", "\nAnna"), item.upper(), item.lower(), item.replace(" Anna", "  Anna")
+    assert {d for d, _ in found(frame, spark, *texts, items=(item,))} == {0, 1, 2, 3}
