@@ -82,3 +82,9 @@ def test_layout_does_not_hide_a_copy(frame, spark):
     item = "my little brother once asked whether kind old Anna would come to tea"
     texts = item.replace(" Anna", "\nAnna"), item.upper(), item.lower(), item.replace(" Anna", "  Anna")
     assert {d for d, _ in found(frame, spark, *texts, items=(item,))} == {0, 1, 2, 3}
+
+
+def test_one_edited_value_in_a_long_copy(frame, spark):
+    tail = " Then they went home by the river and spoke of nothing else until the evening came."
+    edited = (ITEM + tail).replace("12 coins", "13 coins")
+    assert set(found(frame, spark, edited, items=(ITEM + tail,))) == {(0, 0)}
