@@ -3,7 +3,9 @@
 A run of key-like characters is a candidate. A window slides over it with
 counts that change by one character at each step; where the Shannon entropy
 of the window reaches what random characters of the candidate's class have,
-the windows are a span. Candidates of the allow-list are left alone.
+the windows are a span. Runs of letters and digits within a candidate are
+scanned too, by the limit of their own class, so what a key is glued to does not
+raise its limit. Candidates of the allow-list are left alone.
 """
 
 from __future__ import annotations
@@ -54,6 +56,9 @@ ALLOWED = (
     r"(.)\1+",
 )
 _CANDIDATES = re.compile(rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}")
+#: Parts of a candidate, and the characters whose maximal runs within it are scanned by themselves.
+_PART = re.compile(r"[A-Za-z0-9]+")
+_RUNS = tuple(re.compile(rf"[{chars}]{{{WINDOW},}}") for chars in ("A-Za-z0-9", "0-9a-f", "0-9A-F", "A-Za-z"))
 
 
 def entropy_spans(text: str, bits: float, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -81,12 +86,37 @@ def entropy_spans(text: str, bits: float, window: int = WINDOW) -> list[tuple[in
     return spans
 
 
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Unions of spans that overlap or touch, sorted."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
 def scanner(classes: Sequence[CharacterClass] = CLASSES, allowed: Sequence[str] = ALLOWED):
     """A function from a text to its spans (start, kind number, end), sorted."""
     forms = [(re.compile(p, re.ASCII | (re.IGNORECASE if kind == "assign" else 0)), group, least) for kind, p, group, least in FORMS]
     kinds = [(re.compile(c.pattern), c.bits) for c in classes]
     passes = [re.compile(p) for p in allowed]
 
+    def bits_of(run: str) -> float:
+        return next((bits for pattern, bits in kinds if pattern.fullmatch(run)), math.inf)
+
+    def runs(candidate: str) -> set[tuple[int, int]]:
+        """(start, end) of the runs to scan; a part that the allow-list knows, also by the part before, has none."""
+        found, before = set(), 0
+        for part in _PART.finditer(candidate):
+            if part.end() - part.start() >= WINDOW and not any(
+                p.fullmatch(candidate, at, part.end()) for p in passes for at in (before, part.start())
+            ):
+                found |= {m.span() for run in _RUNS for m in run.finditer(candidate, *part.span())}
+            before = part.start()
+        return found
+
     def scan(text: str) -> list[tuple[int, int, int]]:
         found = []
         for number, (pattern, group, least) in enumerate(forms):
@@ -94,10 +124,15 @@ def scanner(classes: Sequence[CharacterClass] = CLASSES, allowed: Sequence[str]
         known = list(found)
         for m in _CANDIDATES.finditer(text):
             candidate = m[0]
-            bits = next((bits for pattern, bits in kinds if pattern.fullmatch(candidate)), math.inf)
+            bits = bits_of(candidate)
             if bits == math.inf or any(p.fullmatch(candidate) for p in passes):
                 continue
-            for start, end in entropy_spans(candidate, bits):
+            random = entropy_spans(candidate, bits)
+            for a, b in runs(candidate) - {(0, len(candidate))}:
+                limit = bits_of(candidate[a:b])
+                if limit < math.inf:
+                    random += [(a + start, a + end) for start, end in entropy_spans(candidate[a:b], limit)]
+            for start, end in merged(random):
                 start, end = m.start() + start, m.start() + end
                 if not any(s <= start and end <= e for s, _, e in known):
                     found.append((start, len(forms), end))

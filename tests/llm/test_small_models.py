@@ -141,6 +141,19 @@ def test_known_and_unknown_secrets(frame):
     ]
 
 
+def test_glued_keys_have_their_own_limit():
+    """Keys of one case of hex are found as well behind a name as alone; named checksums and slugs are none."""
+    rng, scan = random.Random(4), secrets.scanner()
+    for before in ("", "key=", "id/", "x-", "a_b="):
+        for chars, size in (("0123456789ABCDEF", 32), ("0123456789abcdef", 22)):
+            keys = ["".join(rng.choices(chars, k=size)) for _ in range(200)]
+            hit = sum(any(e == len(before + key) for _, _, e in scan(before + key)) for key in keys)
+            alone = sum(any(e == len(key) for _, _, e in scan(key)) for key in keys)
+            assert hit >= alone - 2 and alone > 190
+    checksum = "see/sha256-" + "0123456789AB" * 3
+    assert all(e < len(checksum) for _, _, e in scan(checksum)) and not scan("id=12345678901234567890123/4")
+
+
 def test_base_of_the_secrets_query(spark):
     got = {r.doc_id: r for r in catalog.op8_secrets(spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect():
