@@ -1,7 +1,8 @@
 """License scans: fingerprints pick candidates, alignment reports what is covered.
 
 Templates are cut into word k-grams; winnowing keeps the smallest hash of each
-window, and an inverted index maps it to its places. Where a text has an
+window, and an inverted index maps it to its places. Short notices keep every
+gram, the shortest also every pair of words. Where a text has an
 indexed gram, the template is aligned to the text in a band around that
 diagonal. The alignment gives the covered share of the template and the span.
 """
@@ -71,6 +72,8 @@ TEMPLATES = (
     ),
 )
 GRAM, WINDOW, BAND = 3, 3, 8
+#: Templates below so many words are not winnowed; those up to so many have pairs: 6 of 8 words may leave no three in a row.
+SHORT, SHORTEST = 20, 8
 #: Least share of a template's words that a match covers.
 MIN_COVERAGE = 0.75
 _WORD = re.compile(r"[^\W_]+")
@@ -123,43 +126,53 @@ class Index:
         self.number = {w: i for i, w in enumerate(sorted({w for words in texts for w in words}))}
         self.templates = [[self.number[w] for w in words] for words in texts]
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.pairs: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for t, words in enumerate(self.templates):
             keys = self.keys(np.array(words, dtype=np.int64)).tolist()
             hashes = [(key * 0x9E3779B97F4A7C15 >> 13) % (1 << 40) for key in keys]
             picked = {min(range(at, at + window), key=lambda j: (hashes[j], -j)) for at in range(len(keys) - window + 1)}
-            for j in sorted(picked or set(range(len(keys)))):
+            for j in range(len(keys)) if len(words) < SHORT else sorted(picked):
                 self.places[keys[j]].append((t, j))
+            if len(words) <= SHORTEST:
+                for j, key in enumerate(self.keys(np.array(words, dtype=np.int64), 2).tolist()):
+                    self.pairs[key].append((t, j))
         self.fingerprints = np.array(sorted(self.places), dtype=np.int64)
+        self.pair_keys = np.array(sorted(self.pairs), dtype=np.int64)
 
-    def keys(self, words: np.ndarray) -> np.ndarray:
+    def keys(self, words: np.ndarray, gram: int | None = None) -> np.ndarray:
         """A number per k-gram, -1 where a word is in no template."""
-        n = len(words) - self.gram + 1
+        gram = gram or self.gram
+        n = len(words) - gram + 1
         if n <= 0:
             return np.empty(0, dtype=np.int64)
-        parts = [words[j : n + j] for j in range(self.gram)]
+        parts = [words[j : n + j] for j in range(gram)]
         key = np.zeros(n, dtype=np.int64)
         for part in parts:
             key = key * len(self.number) + part
         return np.where(np.min(parts, axis=0) < 0, -1, key)
 
+    def hits(self, words: np.ndarray) -> list[tuple[int, int, int]]:
+        """(place in the text, template, place in the template) of indexed grams, in the order of the text."""
+        found = set()
+        for keys, known, places in ((self.keys(words), self.fingerprints, self.places), (self.keys(words, 2), self.pair_keys, self.pairs)):
+            found |= {(i, t, j) for i in np.flatnonzero(np.isin(keys, known)).tolist() for t, j in places[int(keys[i])]}
+        return sorted(found)
+
     def scan(self, text: str, min_coverage: float = MIN_COVERAGE, band: int = BAND) -> list[Match]:
         """Matches in the order of the text; of those that overlap, the best score stays."""
         found = _WORD.findall(text.lower())
         words = np.fromiter(map(self.number.get, found, repeat(-1)), dtype=np.int64, count=len(found))
-        keys = self.keys(words)
-        hits = np.flatnonzero(np.isin(keys, self.fingerprints))
-        if not len(hits):
+        hits = self.hits(words)
+        if not hits:
             return []
         spans = [m.span() for m in _WORD.finditer(text)]
         if len(spans) != len(found):  # lower-casing has changed the words' borders
             found = [text[a:b].lower() for a, b in spans]
             words = np.fromiter(map(self.number.get, found, repeat(-1)), dtype=np.int64, count=len(found))
-            keys = self.keys(words)
-            hits = np.flatnonzero(np.isin(keys, self.fingerprints))
+            hits = self.hits(words)
         seeds = defaultdict(list)
-        for i in hits.tolist():
-            for t, j in self.places[int(keys[i])]:
-                seeds[t].append((i, i - j))
+        for i, t, j in hits:
+            seeds[t].append((i, i - j))
         candidates = []
         for t, places in seeds.items():
             template = self.templates[t]

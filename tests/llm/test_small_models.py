@@ -1,6 +1,7 @@
 """Language, quality, licenses, secrets and rules against brute force or held-out rows."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -109,6 +110,23 @@ def test_license_spans(frame):
     assert 0.9 < got[0].coverage < 1 and got[1].coverage == 1
 
 
+def test_short_notices_with_words_changed():
+    index = licenses.Index()
+    for text, name, coverage in (
+        ("Licensed under a CC BY 4.0 license", "CC-BY-4.0", 1.0), ("Released under MIT License", "MIT", 0.8), ("It is released under an MIT License.", "MIT", 0.8),
+    ):
+        assert [(m.license, m.coverage) for m in index.scan(f"Words before. {text} and words after")] == [(name, coverage)]
+
+
+def test_short_notices_without_any_words_in_the_middle():
+    """Whichever words a short notice loses within the least coverage, it is a candidate."""
+    index = licenses.Index()
+    for t, words in enumerate(index.templates):
+        if len(words) < licenses.SHORT:
+            for lost in itertools.combinations(range(len(words)), len(words) - math.ceil(licenses.MIN_COVERAGE * len(words))):
+                assert any(t == found for _, found, _ in index.hits(np.array([-1 if i in lost else w for i, w in enumerate(words)])))
+
+
 def bits(window):
     return -sum(window.count(c) / len(window) * math.log2(window.count(c) / len(window)) for c in set(window))
 
