@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from zlib import crc32
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cascade, decontaminate, jaccard, langid, licenses, mixing, ppm, quality, secrets, sharding
+from . import cascade, decontaminate, jaccard, langid, licenses, mixing, negatives, packing, ppm, quality, runs, secrets, sharding
 from .common import held_out
 from .oracle import ORACLE
 
@@ -100,6 +101,42 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"))
 
 
+def _stretched(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words that are searched: of every tenth document, by its crc32, the end repeats itself."""
+    known = crc32(str(doc_id).encode()) if doc_id is not None else 1
+    n, g = len(words), known // 10
+    if known % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * (-(-(n - a) // p)))[: n - a]
+
+
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of every document, its strongest run, and digests of all runs and of the text without repeats."""
+    found = runs.scan(_table(spark, folder, "documents"), change=_stretched)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_runs", "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Where every piece of every document's tokens stands in sequences of 1024."""
+    import public_tokenizers
+
+    return packing.pack(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, for each of its positives."""
+    given = _table(spark, folder, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(given.select("vec_id", "embedding", label.alias("label")), anchor="id % 100 = 0")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_licenses": op2_licenses,
@@ -111,4 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_packing": op12_packing,
+    "op13_hard_negatives": op13_hard_negatives,
 }

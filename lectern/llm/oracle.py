@@ -137,4 +137,68 @@ SELECT doc_id, item_id, max(matched) AS matched, max(windows) AS windows, max_by
 FROM g GROUP BY doc_id, item_id
 """
 
-ORACLE: dict[str, str] = {"op3_mixing": OP3, "op7_jaccard_join": OP7, "op9_decontamination": OP9, "op10_quality_rules": OP10}
+_CRC32 = (
+    "xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)), "
+    "lambda c, x: list_reduce(list_prepend(xor(c, x), list_transform(range(8), lambda i: i::UBIGINT)), "
+    "lambda v, i: xor(v >> 1, 3988292384::UBIGINT * (v & 1)))), 4294967295::UBIGINT)::BIGINT"
+)
+#: Words ``period`` apart are equal along a run, so its 8-grams recur there: such pairs, gathered by distance, are the runs.
+OP11 = f"""
+WITH o AS (SELECT doc_id, {_words('text')} AS w, coalesce({_CRC32}, 1) AS h FROM documents
+), a AS (SELECT *, h // 10 AS g, len(w) AS n FROM o
+), b AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM a
+), d AS (
+  SELECT doc_id, n, CASE WHEN h % 10 <> 0 OR n = 0 THEN w
+    ELSE list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END + 1]) END AS w
+  FROM b
+), e AS (SELECT doc_id, i, hash(array_to_string(w[i + 1 : i + 8], ' ')) AS gram FROM (SELECT *, unnest(range(n - 7)) AS i FROM d WHERE n >= 24)
+), p AS (
+  SELECT x.doc_id, x.i, y.i - x.i AS q FROM e x JOIN e y ON x.doc_id = y.doc_id AND x.gram = y.gram AND y.i > x.i
+), s AS (
+  SELECT doc_id, q AS period, min(i) AS start, count(*) + 7 + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM p) GROUP BY doc_id, q, island
+), r AS (
+  SELECT doc_id, start::BIGINT AS start, length::BIGINT AS length, min(period)::BIGINT AS period
+  FROM s WHERE length >= greatest(24, 3 * period) GROUP BY doc_id, start, length
+), t AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+    first(struct_pack(start := start, length := length, period := period) ORDER BY length / period DESC, start, period) AS best
+  FROM r GROUP BY doc_id
+), x AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r
+), k AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(n)) AS i FROM d) LEFT JOIN (SELECT doc_id, i, true AS gone FROM x) USING (doc_id, i)
+  WHERE gone IS NULL GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.start AS start, best.length AS length, best.period AS period,
+  (1000 * best.length // best.period)::BIGINT AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+OP13 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER w::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 5
+"""
+
+ORACLE: dict[str, str] = {
+    "op3_mixing": OP3,
+    "op7_jaccard_join": OP7,
+    "op9_decontamination": OP9,
+    "op10_quality_rules": OP10,
+    "op11_periodic_runs": OP11,
+    "op13_hard_negatives": OP13,
+}

@@ -12,7 +12,7 @@ def con(folder):
 
 
 def test_names():
-    assert [q.split("_")[0] for q in QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [q.split("_")[0] for q in QUERIES] == [f"op{n}" for n in range(1, 14)]
     assert set(ORACLE) <= set(QUERIES)
 
 
