@@ -26,11 +26,14 @@ bundle, and neither the number of documents nor one frequent length changes that
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -141,12 +144,89 @@ class Packer:
             yield made
 
 
-def _tokens(tokenizer: str):
-    """texts -> arrays of ids, by the tokenizer of a file."""
-    from tokenizers import Tokenizer
+#: How the byte-level tokenizer divides a text into words before it merges bytes, a fixed value.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters on which libraries may differ as to what is a letter, a number or blank.
+_DOUBTFUL = re.compile("[\x1c-\x1f\u0800-\U0010ffff]")
+#: Words whose ids a task keeps, and characters of a text that are divided at once.
+HELD_WORDS, SPAN = 400_000, 1 << 20
+_SEAM = re.compile("(?<=[A-Za-z])(?= [A-Za-z])")
 
-    loaded = Tokenizer.from_file(tokenizer)
-    return lambda texts: [np.array(x.ids, dtype="<u4") for x in loaded.encode_batch_fast(texts, add_special_tokens=False)]
+
+class _Numbers(dict):
+    """Words in the order in which they were met; a new word gets the next number."""
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
+
+
+class Encoder:
+    """Texts to token ids by the tokenizer of a file.
+
+    A byte-level tokenizer merges bytes within words only, so each distinct
+    word is encoded once and a text is a lookup of its words. Any other
+    tokenizer gets whole texts, and so do texts that hold one of its special
+    tokens or a character that is not surely divided alike.
+    """
+
+    def __init__(self, path: str):
+        import regex
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        made = json.loads(self.tokenizer.to_str())
+        split = made["pre_tokenizer"] or {}
+        self.by_words = (
+            (split.get("type"), split.get("add_prefix_space"), split.get("use_regex", True)) == ("ByteLevel", False, True)
+            and made["model"]["type"] == "BPE"
+            and not made["normalizer"]
+            and not made["truncation"]
+        )
+        self.words = regex.compile(WORDS)
+        self.ascii_words = re.compile(WORDS.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace(" ?A-Za-z+", " ?[A-Za-z]+").replace(" ?0-9+", " ?[0-9]+"), re.ASCII)
+        special = [t["content"] for t in made["added_tokens"] or [] if t["content"]]
+        self.special = re.compile("|".join(map(re.escape, special)) if special else "(?!)")
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number = _Numbers()
+        self.length, self.start, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, dtype="<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _divided(self, text: str) -> Iterator[np.ndarray]:
+        """Numbers of the words of a text; a blank between two letters always begins a word, so a text can be cut there."""
+        at, find = 0, (self.ascii_words if text.isascii() else self.words).findall
+        while at < len(text):
+            seam = _SEAM.search(text, at + SPAN) if len(text) - at > SPAN else None
+            end = seam.start() if seam else len(text)
+            yield np.fromiter(map(self.number.__getitem__, find(text, at, end)), np.int64)
+            at = end
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.number) > HELD_WORDS:
+            self._clear()
+        known = len(self.number)
+        plain = [self.by_words and not _DOUBTFUL.search(t) and not self.special.search(t) for t in texts]
+        divided = [list(self._divided(t)) if p else None for t, p in zip(texts, plain, strict=True)]
+        rest = iter(self.whole([t for t, p in zip(texts, plain, strict=True) if not p]))
+        words = list(islice(self.number, known, None))
+        if words:
+            new = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            lengths = np.fromiter(map(len, new), np.int64)
+            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(lengths) - lengths])
+            self.length = np.concatenate([self.length, lengths])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(new), np.uint32)])
+        return [next(rest) if spans is None else self._looked_up(spans) for spans in divided]
+
+    def _looked_up(self, spans: list[np.ndarray]) -> np.ndarray:
+        words = np.concatenate([np.zeros(0, np.int64), *spans])
+        lengths = self.length[words]
+        ends = np.cumsum(lengths)
+        at = np.repeat(self.start[words] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+        return self.flat[at].astype("<u4")
 
 
 def sequences(
@@ -200,7 +280,7 @@ def sequences(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has a core, not the machine
-        encode = _tokens(tokenizer)
+        encoder = Encoder(tokenizer)
         packer, held = Packer(capacity), 0
         number = TaskContext.get().partitionId() << 40
         id_type = None
@@ -211,7 +291,7 @@ def sequences(
                 while at + len(texts) < batch.num_rows and (not texts or size < GROUP):
                     texts.append(batch.column(1)[at + len(texts)].as_py() or "")
                     size += len(texts[-1])
-                for row, found in enumerate(encode(texts), at):
+                for row, found in enumerate(encoder.ids(texts), at):
                     n = len(found) + 1
                     document = Piece(batch.column(0)[row].as_py(), n, 0, np.concatenate([found, end]))
                     cut = n - n % capacity

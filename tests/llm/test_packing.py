@@ -94,5 +94,24 @@ def test_small_bundles_and_real_sequences(frame):
             assert (ids == ids_of(texts[p.id])[p.start : p.start + p.length]).all()
 
 
+def test_words_give_the_ids_of_whole_texts(monkeypatch, folder):
+    """Also with special tokens, doubtful characters, long texts cut at seams, and a small memory of words."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(packing, "SPAN", 500)
+    monkeypatch.setattr(packing, "HELD_WORDS", 3000)
+    rng = random.Random(9)
+    signs = "ab Z09 '\n\t  .,<|>_-éß\xa0\x85\u0416\u05d0\x1c\u3000\u65e5\U0001f600's'll don't"
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 200))) for _ in range(2000)]
+    texts += ["", " ", "a<|endoftext|>b", "x" * 3000, "word " * 2000, " lead", "trail  "]
+    texts += [t or "" for t in pq.read_table(f"{folder}/documents.parquet", columns=["text"])["text"].to_pylist()]
+    encoder = packing.Encoder(TOKENIZER)
+    assert encoder.by_words and not packing.Encoder(public_tokenizers.path("word_bpe_49k.json")).by_words
+    for at in range(0, len(texts), 100):
+        some = texts[at : at + 100]
+        for text, one, two in zip(some, encoder.ids(some), encoder.whole(some), strict=True):
+            assert one.tolist() == two.tolist(), text
+
+
 def test_empty(empty):
     assert packing.pack(empty, TOKENIZER).count() == 0
