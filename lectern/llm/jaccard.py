@@ -9,14 +9,19 @@ Two texts link when their shingle sets have a Jaccard similarity of at least
    link; it leaves here. Tasks count what they hold before they send it on, so
    a shingle that very many texts share arrives once per task.
 3. The rarest shared shingles of a class, one more than may differ, must meet
-   each partner. Classes that share one of them are in one block.
+   each partner. Classes that share one of them, and whose sizes do not rule
+   each other out, are in one block.
 4. In a block, inverted lists are searched for the classes that occur often
    enough: the longest lists are left out of the heap merge and probed for
    what it finds (DivideSkip). A class that links directly to an earlier query
    needs no search of its own, see ``link``; so a block of copies costs one
    pass over its lists, not a look at each pair.
-5. Links become components. Blocks above a size are cut into parts, and each
-   pair of parts is searched.
+5. Blocks above a size are cut into parts. Each part is searched by itself,
+   then a few classes of each of its components with those of the other parts.
+   Then most of a large group of copies is one component, inside which nothing
+   is left to find; only the classes outside of the block's largest component
+   are searched in all parts, see ``_completed``.
+6. Links become components.
 """
 
 from __future__ import annotations
@@ -39,8 +44,10 @@ from .common import WORD, narrow
 from .components import components
 
 WORDS = 5
-#: Shingles counted by one task, and postings searched by one.
-BUCKET, BLOCK = 4_000_000, 4_000_000
+#: Shingles of a scan that are sent together, shingles counted together, and postings searched together.
+BATCH, BUCKET, BLOCK = 4_000_000, 1_000_000, 1_000_000
+#: Of each component of a part, the classes that are searched with other parts first.
+HUBS = 8
 #: Bytes hashed at once.
 PIECE = 1 << 20
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
@@ -111,6 +118,22 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return materialise(rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, print long, n long, cls long"), "sets")
 
 
+#: A class, the size of its set, and how many of the keys that follow are its own.
+_NAMED = np.dtype([("cls", "<i8"), ("size", "<u4"), ("n", "<u4")])
+
+
+def _named(cls: np.ndarray, size: np.ndarray, n: np.ndarray) -> np.ndarray:
+    made = np.empty(len(cls), dtype=_NAMED)
+    made["cls"], made["size"], made["n"] = cls, size, n
+    return made
+
+
+def _owners(named: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct classes, their sizes, and for each named key the number of its class."""
+    cls, first, number = np.unique(named["cls"], return_index=True, return_inverse=True)
+    return cls, named["size"][first].astype(np.int64), np.repeat(number.astype(np.uint32), named["n"])
+
+
 def _packed(keys: np.ndarray) -> bytes:
     """40-bit keys as bytes: all low words, then all high bytes."""
     return (keys & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (keys >> np.uint64(32)).astype("u1").tobytes()
@@ -121,7 +144,7 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u4", n).astype(np.uint64) | np.frombuffer(data, "u1", n, 4 * n).astype(np.uint64) << np.uint64(32)
 
 
-def _batches(batches: Iterator[pa.RecordBatch], size: int = BUCKET) -> Iterator[tuple]:
+def _batches(batches: Iterator[pa.RecordBatch], size: int = BATCH) -> Iterator[tuple]:
     """(name, classes, sizes, owner, hash) of up to about ``size`` postings, sorted by hash; each class once.
 
     The name is a digest of the classes, so a task that runs again gives the
@@ -178,16 +201,20 @@ _SHARED = pa.schema(
 )
 
 
-def _by_part(keys: np.ndarray, ranks: np.ndarray, cls: np.ndarray, size: np.ndarray, parts: int) -> list[tuple]:
-    """Rows of ``_SHARED``, one per part that has some of the classes; a class is in one part."""
+def _by_part(keys: np.ndarray, ranks: np.ndarray, owner: np.ndarray, cls: np.ndarray, size: np.ndarray, parts: int) -> list[tuple]:
+    """Rows of ``_SHARED``, one per part that has some of the classes; a class is in one part. ``owner`` numbers the classes."""
     part = cls.astype(np.uint64) % np.uint64(parts)
-    by = np.lexsort((cls, part))
+    order = np.lexsort((cls, part))  # of the classes, which are fewer than the keys
+    place = np.empty(len(cls), dtype=np.uint32)
+    place[order] = np.arange(len(cls), dtype=np.uint32)
+    at = place[owner]
+    by = np.argsort(at, kind="stable")
+    at = at[by]
     rows = []
-    for value, at in _cuts(part[by]):
-        mine = by[at]
-        first, n = _runs(cls[mine])
-        named = np.stack([cls[mine][first], size[mine][first], n], axis=1).astype("<i8")
-        rows.append((None, value, None, keys[mine].astype("<i8").tobytes(), ranks[mine].tobytes(), named.tobytes()))
+    for value, mine in _cuts(part[order][at]):
+        first, n = _runs(at[mine])
+        who = order[at[mine][first]]
+        rows.append((None, value, None, keys[by[mine]].astype("<i8").tobytes(), ranks[by[mine]].tobytes(), _named(cls[who], size[who], n).tobytes()))
     return rows
 
 
@@ -206,14 +233,14 @@ def _send(buckets: int):
         for name, classes, sizes, owner, hashes in _batches(batches):
             starts, lengths = _runs(hashes)
             once = hashes[starts]
-            pairs = np.stack([classes, sizes], axis=1)
             for bucket, part in _cuts(_bucket_of(once, buckets)):
                 who = owner[starts[part]]
                 # those of one class first, by class, so that a class is named once
                 by = np.lexsort((who, lengths[part] > 1))
                 alone = int((lengths[part] == 1).sum())
                 first, n = _runs(who[by][:alone])
-                named = np.concatenate([pairs[who[by][first]], n[:, None]], axis=1).astype("<i8")
+                own = who[by][first]
+                named = _named(classes[own], sizes[own], n)
                 yield _table(
                     [(bucket, name, _packed(once[part][by] & _LOW), lengths[part][by][alone:].astype("<u4").tobytes(), named.tobytes())],
                     _SENT,
@@ -228,35 +255,61 @@ def _rank(counts: np.ndarray) -> np.ndarray:
 
 
 def _count(parts: int):
-    """What is shared in a bucket: for the part of a class that was named, else for the sender; a class counts once."""
+    """What is shared in a bucket: for the part of a class that was named, else for the sender; a class counts once.
+
+    A key of 40 bits and the number of its class of 24 are one number, so
+    the bucket is one array that is sorted in place.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        keys, weight, cls, size = [], [], [], []
-        for name, data, counts, named in zip(*(table.column(c).to_pylist() for c in ("sender", "keys", "counts", "classes")), strict=True):
-            found = _unpacked(data)
-            groups = np.frombuffer(counts, "<u4")
-            triples = np.frombuffer(named, "<i8").reshape(-1, 3)
-            alone = len(found) - len(groups)
-            keys.append(found)
-            weight.append(np.concatenate([np.ones(alone, np.int64), groups]))
-            cls.append(np.concatenate([np.repeat(triples[:, 0], triples[:, 2]), np.full(len(groups), name)]))
-            size.append(np.concatenate([np.repeat(triples[:, 1], triples[:, 2]), np.zeros(len(groups), np.int64)]))
-        keys, weight, cls, size = map(np.concatenate, (keys, weight, cls, size))
-        by = np.lexsort((size, cls, keys))
-        keys, weight, cls, size = keys[by], weight[by], cls[by], size[by]
-        new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (cls[1:] != cls[:-1]) | (size[1:] != size[:-1])])
-        keys, weight, cls, size = keys[new], weight[new], cls[new], size[new]
-        starts, lengths = _runs(keys)
-        total = np.repeat(np.add.reduceat(weight, starts), lengths)
-        shared = total > 1
-        keys, cls, size, rank = keys[shared], cls[shared], size[shared], _rank(total[shared])
-        own = size > 0
-        rows = _by_part(keys[own] | np.uint64(bucket) << np.uint64(40), rank[own], cls[own], size[own], parts)
-        keys, cls, rank = keys[~own], cls[~own], rank[~own]
-        by = np.lexsort((keys, cls))
-        for sender, at in _cuts(cls[by]):
-            rows.append((sender, None, bucket, _packed(keys[by[at]]), rank[by[at]].tobytes(), b""))
+        seen, found, names, groups, weights, senders = set(), [], [], [], [], []
+        for at in range(table.num_rows):
+            name, data, counts, named = (table.column(c)[at].as_py() for c in ("sender", "keys", "counts", "classes"))
+            if name in seen:  # two scans held the same classes
+                continue
+            seen.add(name)
+            keys, several = _unpacked(data), np.frombuffer(counts, "<u4")
+            alone = len(keys) - len(several)
+            found.append(keys[:alone])
+            names.append(np.frombuffer(named, _NAMED))
+            groups.append(keys[alone:])
+            weights.append(several)
+            senders.append(name)
+        cls, size, owner = _owners(np.concatenate(names))
+        pairs = np.concatenate(found)
+        del found, names, table
+        wide = len(cls) >> 24  # more classes than a bucket has keys are not met; sort by two columns then
+        if wide:
+            by = np.lexsort((owner, pairs))
+            pairs, owner = pairs[by], owner[by]
+            new = np.concatenate([[True], (pairs[1:] != pairs[:-1]) | (owner[1:] != owner[:-1])])[: len(pairs)]
+            pairs, owner = pairs[new], owner[new]
+        else:
+            pairs <<= np.uint64(24)
+            pairs |= owner
+            pairs.sort()
+            pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])[: len(pairs)]]
+            owner = (pairs & np.uint64((1 << 24) - 1)).astype(np.uint32)
+            pairs >>= np.uint64(24)
+        starts, lengths = _runs(pairs)
+        alone = pairs[starts]
+        every = np.concatenate(groups)
+        several, where = np.unique(every, return_inverse=True)
+        weight = np.bincount(where, np.concatenate(weights), len(several)).astype(np.int64)
+        met = np.intersect1d(alone, several, assume_unique=True, return_indices=True)
+        total, whole = lengths.copy(), weight.copy()
+        total[met[1]] += weight[met[2]]
+        whole[met[2]] += lengths[met[1]]
+        shared = np.repeat(total > 1, lengths)
+        rank = _rank(np.repeat(total, lengths)[shared])
+        rows = _by_part(pairs[shared] | np.uint64(bucket) << np.uint64(40), rank, owner[shared], cls, size, parts)
+        rank = _rank(whole)[where]
+        ends = np.cumsum([len(g) for g in groups])
+        for name, keys, end in zip(senders, groups, ends.tolist(), strict=True):
+            if len(keys):
+                by = np.argsort(keys)
+                rows.append((name, None, bucket, _packed(keys[by]), rank[end - len(keys) : end][by].tobytes(), b""))
         return pa.Table.from_batches([_table(rows, _SHARED)] if rows else [], schema=_SHARED)
 
     return run
@@ -279,7 +332,7 @@ def _keep(buckets: int):
             for value, at in _cuts(bucket):
                 first, n = _runs(owner[at])
                 who = owner[at][first]
-                named = np.stack([classes[who], sizes[who], n], axis=1).astype("<i8")
+                named = _named(classes[who], sizes[who], n)
                 yield _table([(name, value, _packed(hashes[at]), named.tobytes())], _LOCAL)
 
     return run
@@ -293,18 +346,17 @@ def _returned(parts: int):
             b: (_unpacked(k), np.frombuffer(r, "u1"))
             for b, k, r in zip(*(counted.column(c).to_pylist() for c in ("bucket", "keys", "ranks")), strict=True)
         }
-        keys, rank, triples = [], [], []
+        keys, rank, names = [], [], []
         for bucket, data, named in zip(*(local.column(c).to_pylist() for c in ("bucket", "keys", "classes")), strict=True):
             known, value = ranks[bucket]
             low = _unpacked(data)
             keys.append(low | np.uint64(bucket) << np.uint64(40))
             rank.append(value[np.searchsorted(known, low)])
-            triples.append(np.frombuffer(named, "<i8").reshape(-1, 3))
+            names.append(np.frombuffer(named, _NAMED))
         if not keys:
             return _SHARED.empty_table()
-        named = np.concatenate(triples)
-        cls, size = (np.repeat(named[:, c], named[:, 2]) for c in (0, 1))
-        return pa.Table.from_batches([_table(_by_part(np.concatenate(keys), np.concatenate(rank), cls, size, parts), _SHARED)])
+        cls, size, owner = _owners(np.concatenate(names))
+        return pa.Table.from_batches([_table(_by_part(np.concatenate(keys), np.concatenate(rank), owner, cls, size, parts), _SHARED)])
 
     return run
 
@@ -317,21 +369,19 @@ def _gather(table: pa.Table) -> pa.Table:
 
     A class comes once from each bucket and once from each sender that held it.
     """
-    named = np.concatenate([np.frombuffer(x, "<i8").reshape(-1, 3) for x in table.column("classes").to_pylist()])
+    cls, size, owner = _owners(np.concatenate([np.frombuffer(x, _NAMED) for x in table.column("classes").to_pylist()]))
     keys = np.concatenate([np.frombuffer(x, "<i8") for x in table.column("keys").to_pylist()])
     ranks = np.concatenate([np.frombuffer(x, "u1") for x in table.column("ranks").to_pylist()])
-    cls, size = (np.repeat(named[:, c], named[:, 2]) for c in (0, 1))
-    by = np.lexsort((keys, cls))
-    cls, size, keys, ranks = cls[by], size[by], keys[by], ranks[by]
-    new = np.concatenate([[True], (cls[1:] != cls[:-1]) | (keys[1:] != keys[:-1])])
-    cls, size, keys, ranks = cls[new], size[new], keys[new], ranks[new]
+    by = np.argsort(owner, kind="stable")
     rows = []
-    for value, at in _cuts(cls):
-        n, mine = int(size[at][0]), keys[at]
+    for number, at in _cuts(owner[by]):
+        n = int(size[number])
+        mine, first = np.unique(keys[by[at]], return_index=True)
         if 5 * len(mine) < 4 * n:
             continue
         differ = n - -(-4 * n // 5) - (n - len(mine))  # shared ones that a partner may lack
-        rows.append((value, n, mine, mine[np.lexsort((mine, ranks[at]))[: differ + 1]]))
+        rank = ranks[by[at]][first]
+        rows.append((int(cls[number]), n, mine, mine[np.lexsort((mine, rank))[: differ + 1]]))
     return pa.Table.from_batches([_table(rows, _KEPT)] if rows else [], schema=_KEPT)
 
 
@@ -469,22 +519,106 @@ def _candidates(df: DataFrame, text_col: str, buckets: int) -> DataFrame:
     return materialise(parts.groupBy("part").applyInArrow(_gather, "cls long, n long, keys array<long>, prefix array<long>"), "candidates")
 
 
+def across(
+    sets: tuple[list[int], list[np.ndarray], np.ndarray], queries: tuple[list[int], list[np.ndarray], np.ndarray]
+) -> list[tuple[int, int]]:
+    """(query, set) for a link of each query to each component but its own; both are sizes, keys, component numbers."""
+    (sizes, keys, label), (asked_sizes, asked_keys, asked_label) = sets, queries
+    owner = np.repeat(np.arange(len(sizes)), [len(k) for k in keys])
+    distinct, number = np.unique(np.concatenate(keys), return_inverse=True)
+    by = np.lexsort((owner, number))
+    lists = np.split(owner[by], np.cumsum(np.bincount(number, minlength=len(distinct)))[:-1])
+    found = []
+    for q, (size, mine) in enumerate(zip(asked_sizes, asked_keys, strict=True)):
+        at = np.minimum(np.searchsorted(distinct, mine), len(distinct) - 1)
+        held = [lists[x] for x in at[distinct[at] == mine].tolist()]
+        met = {}
+        for x, n in occurrences(held, -(-4 * size // 5), label != asked_label[q]).items():
+            if 9 * n >= 4 * (size + sizes[x]):
+                met.setdefault(int(label[x]), x)
+        found += [(q, x) for x in met.values()]
+    return found
+
+
+def _across(table: pa.Table, asked: pa.Table) -> pa.Table:
+    if not table.num_rows or not asked.num_rows:
+        return _LINKS.empty_table()
+
+    def side(rows: pa.Table) -> tuple:
+        keys = rows.column("keys").combine_chunks()
+        return rows.column("n").to_pylist(), [keys[i].values.to_numpy() for i in range(rows.num_rows)], rows.column("root").to_numpy()
+
+    found = across(side(table), side(asked))
+    cls, own = table.column("cls").to_pylist(), asked.column("cls").to_pylist()
+    return pa.table({"a": [own[q] for q, _ in found], "b": [cls[x] for _, x in found]}, schema=_LINKS)
+
+
+def _rooted(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """``rows`` with the root of their class by ``edges``."""
+    found = materialise(components(edges), "roots")
+    return rows.join(found, rows["cls"] == found["node"], "left").select(rows["*"], F.coalesce("root", "cls").alias("root"))
+
+
+def _completed(large: DataFrame, first: DataFrame) -> DataFrame:
+    """The links that ``first``, which holds those inside of parts, lacks between the parts of ``large`` blocks.
+
+    A few classes of each component of several are searched without regard to
+    parts. After that, what is in the block's largest component needs no search
+    any more: two of its classes are linked already, and a link to any other
+    class is found by that one's search, which goes through all parts.
+    """
+    hub = F.row_number().over(Window.partitionBy("block", "part", "root").orderBy("cls"))
+    several = F.count("*").over(Window.partitionBy("block", "part", "root"))
+    hubs = _rooted(large, first).withColumn("hub", hub).withColumn("several", several).where(F.col("hub") <= HUBS).where("several > 1")
+    groups = hubs.groupBy("block").agg(F.sum(F.size("keys").cast("long")).alias("postings")).select(
+        "block", F.ceil(F.col("postings") / BLOCK).cast("long").alias("groups")
+    )
+    dealt = hubs.join(groups, "block").withColumn("group", F.pmod(F.xxhash64("cls"), F.col("groups")))
+    second = dealt.select("block", "group", "cls", "n", "keys").groupBy("block", "group").applyInArrow(_search, "a long, b long")
+    known = first.unionByName(materialise(second, "links"))
+
+    rooted = materialise(_rooted(large, known), "rooted")
+    sizes = rooted.groupBy("block", "root").agg(F.count("*").alias("classes"))
+    largest = sizes.groupBy("block").agg(F.max(F.struct("classes", "root")).alias("of")).select("block", F.col("of.root").alias("largest"))
+    asked = rooted.join(largest, "block").where("root <> largest")
+    shares = asked.groupBy("block").agg(F.sum(F.size("keys").cast("long")).alias("postings")).select(
+        "block", F.ceil(F.col("postings") / BLOCK).cast("long").alias("shares")
+    )
+    share = F.pmod(F.xxhash64("cls"), F.col("shares"))
+
+    def every(n: str):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    left = rooted.join(shares, "block").select("block", "part", every("shares").alias("share"), "cls", "n", "keys", "root")
+    right = asked.join(shares, "block").select("block", share.alias("share"), every("parts").alias("part"), "cls", "n", "keys", "root")
+    by = ["block", "part", "share"]
+    third = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_across, "a long, b long")
+    return known.unionByName(materialise(third, "links"))
+
+
 def links(df: DataFrame, text_col: str = "text", n_shingles: int = 0) -> DataFrame:
     """(node, root) of the classes that have a link; ``n_shingles`` sets how many buckets count."""
     kept = _candidates(df, text_col, max(1, -(-n_shingles // BUCKET)))
-    meets = kept.select(F.explode("prefix").alias("key"), F.col("cls").alias("a"))
-    first = meets.groupBy("key").agg(F.min("a").alias("b"), F.count("*").alias("times")).where("times > 1").drop("times")
-    blocks = components(meets.join(first, "key").where("a <> b").select("a", "b").distinct())
+    # sizes of partners differ by a factor of 1.25 at most, so by one level, and are in one pair of levels of the two divisions
+    level = F.floor(F.log(F.col("n")) / F.log(F.lit(1.26)))
+    pairs = F.explode(F.array(F.floor(level / 2) * 2, F.floor((level + 1) / 2) * 2 + 1))
+    meets = kept.select("cls", pairs.alias("sizes"), "prefix").select(F.explode("prefix").alias("key"), "sizes", F.col("cls").alias("a"))
+    first = meets.groupBy("key", "sizes").agg(F.min("a").alias("b"), F.count("*").alias("times")).where("times > 1").drop("times")
+    blocks = components(meets.join(first, ["key", "sizes"]).where("a <> b").select("a", "b").distinct())
     sized = kept.join(blocks, kept["cls"] == blocks["node"]).select("cls", "n", "keys", F.col("root").alias("block"))
-    parts = sized.groupBy("block").agg(F.sum(F.size("keys").cast("long")).alias("postings")).select(
-        "block", F.ceil(F.col("postings") / BLOCK).cast("long").alias("parts")
-    )
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    mine = F.pmod(F.xxhash64("cls"), F.col("parts"))
-    tasks = sized.join(parts, "block").withColumn("mine", mine).withColumn("other", other).select(
-        "block", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "cls", "n", "keys"
+    parts = materialise(
+        sized.groupBy("block").agg(F.sum(F.size("keys").cast("long")).alias("postings")).select(
+            "block", F.ceil(F.col("postings") / BLOCK).cast("long").alias("parts")
+        ),
+        "blocks",
     )
-    return components(tasks.groupBy("block", "i", "j").applyInArrow(_search, "a long, b long"))
+    part = F.pmod(F.xxhash64("cls"), F.col("parts")).alias("part")
+    dealt = sized.join(parts, "block").select("block", "parts", part, "cls", "n", "keys")
+    inside = dealt.select("block", "part", "cls", "n", "keys").groupBy("block", "part").applyInArrow(_search, "a long, b long")
+    found = materialise(inside, "links")
+    if not parts.where("parts > 1").isEmpty():
+        found = _completed(materialise(dealt.where("parts > 1"), "large"), found)
+    return components(found)
 
 
 def _resolved(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -519,10 +653,11 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     and of equal rows any one. Null ids come last.
     """
     _, classes = _resolved(df, id_col, text_col)
-    kept = classes.groupBy("root").agg(F.min("first").alias("f")).select(F.col("f.id").alias("__id"), F.col("f.print").alias("__print"))
-    key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    kept = classes.groupBy("root").agg(F.min("first").alias("f")).select("f.id", "f.print").alias("kept")
+    text = F.col(f"`{text_col}`")
     worded = F.coalesce(text.rlike(WORD), F.lit(False))
-    met = df.where(worded).join(kept, key.eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__print")))
-    turn = F.row_number().over(Window.partitionBy("__id", "__print").orderBy("__print"))
-    once = met.withColumn("__turn", turn).where("__turn = 1")
-    return once.select([F.col(f"`{c}`") for c in df.columns]).unionByName(df.where(~worded))
+    rows = df.where(worded).select(F.struct("*").alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("print"))
+    met = rows.alias("rows").join(kept, F.col("rows.id").eqNullSafe(F.col("kept.id")) & (F.col("rows.print") == F.col("kept.print")), "left_semi")
+    # tasks keep one of the rows that repeat before they send any
+    once = met.groupBy("id", "print").agg(F.first("row").alias("row"))
+    return once.select("row.*").unionByName(df.where(~worded))

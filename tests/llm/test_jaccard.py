@@ -89,6 +89,7 @@ def test_join_is_all_pairs(frame, monkeypatch, bucket, block):
     monkeypatch.setattr(jaccard, "BUCKET", bucket)
     monkeypatch.setattr(jaccard, "BLOCK", block)
     monkeypatch.setattr(jaccard._batches, "__defaults__", (bucket,))
+    monkeypatch.setattr(jaccard, "HUBS", 2)
     made = texts()
     sets = [words(t) for t in made]
     want = components(sets)
@@ -96,6 +97,30 @@ def test_join_is_all_pairs(frame, monkeypatch, bucket, block):
     assert got == {i: (len(s), want[i]) for i, s in enumerate(sets)}
 
 
+def test_across_is_all_pairs():
+    """A query links to each component that has a set similar to it, but for its own."""
+    rng = random.Random(6)
+    for _ in range(100):
+        base = [set(rng.sample(range(50), rng.randint(1, 30))) for _ in range(3)]
+
+        def some(n):
+            made = []
+            for _ in range(n):
+                x = set(rng.choice(base))
+                for _ in range(rng.randint(0, 4)):
+                    x ^= {rng.randrange(50)}
+                made.append(x or {1})
+            return made, np.array([rng.randrange(4) for _ in range(n)])
+
+        (sets, label), (asked, own) = some(rng.randint(1, 20)), some(rng.randint(1, 6))
+        want = {
+            (q, int(label[x])) for q, a in enumerate(asked) for x, b in enumerate(sets)
+            if own[q] != label[x] and 100 * len(a & b) >= 80 * len(a | b)
+        }
+        got = jaccard.across(*[([len(s) for s in of], [np.array(sorted(s)) for s in of], k) for of, k in ((sets, label), (asked, own))])
+        assert {(q, int(label[x])) for q, x in got} == want and len(got) == len(want)
+
+
 def test_words_are_cut_at_ascii_blanks_only():
     assert list(jaccard.shingles("a b c d e f")) == list(jaccard.shingles("A B\tc\n\x0bd  e f"))
     assert len(jaccard.shingles("a b c d e f")) == 1
