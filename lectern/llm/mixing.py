@@ -4,8 +4,9 @@ The mix is a sequence of slots. Slot ``i`` has the point ``i * golden ratio``
 modulo 1; the source on whose stretch of the cumulative targets the point falls
 owns the slot, so that each source comes up evenly. Slots are ranked per
 source, and the slot of rank ``r`` takes the ``r``-th block of the source's
-documents, which are shuffled by a hash and cut into blocks of equally many
-words. A source of which more is wanted than it has begins again.
+documents, which are shuffled by a hash and cut into as many blocks as the
+source has slots, equal but for one word. A source of which more is wanted than
+it has begins again.
 
 All of it is joins, windows and aggregates; running numbers are built from
 counts per bucket, so no window holds a whole source.
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import materialise
-from .common import WORD, narrow
+from .common import WORD
 
 #: Weights of the sources in their order, repeating; the mix's size and a source's largest share, in sizes.
 WEIGHTS, TOTAL, REPEATS = (5, 2, 1), 1.5, 2
@@ -102,9 +103,13 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> Mix:
+def mix(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", identity: Column | None = None
+) -> Mix:
     """Mix all rows of ``df``.
 
+    ``identity`` tells rows of one id apart in ``print``, by default the text.
+
     A document's size is its words; null and empty texts have none, are not
     taken, and keep their row. A null source is a source, the last one. Rows
     with equal ids are documents of their own; equal rows are interchangeable.
@@ -112,13 +117,14 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     one slot at the end.
     """
     mark = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))
+    given = [F.col(f"`{old}`").alias(new) for new, old in (("id", id_col), ("text", text_col), ("source", source_col))]
     documents = materialise(
-        narrow(df, id=id_col, text=text_col, source=source_col).select(
+        df.select(*given, (F.xxhash64(F.col(f"`{text_col}`")) if identity is None else identity).alias("print")).select(
             "id",
             "source",
             F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("src"),
             words(F.col("text")).alias("size"),
-            F.xxhash64("text").alias("print"),
+            "print",
             mark.alias("mark"),
             F.substring(mark, 1, 3).alias("bucket"),
         ),
@@ -132,32 +138,41 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     unmet = sources.where("target >= 1").join(slots.select("src").distinct(), "src", "left_anti")
     slots = slots.unionByName(unmet.select((n_slots + F.col("rank")).cast("long").alias("slot"), "src"))
     per_source = slots.groupBy("src").agg(F.count("*").alias("n_slots"))
-    # blocks of a source are as long as its slots must take to meet the target
+    # the words wanted of a source fill all its slots: the first of them, ``longer`` in number, take one more than the others
+    wanted = F.floor("target")
     sized = sources.join(per_source, "src", "left").select(
-        "src", "source_size", "target", F.ceil(F.col("target") / F.col("n_slots")).cast("long").alias("block_words")
+        "src", "source_size", "target", F.expr("floor(target) div n_slots").alias("block_words"), (wanted % F.col("n_slots")).alias("longer")
     )
     before = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cells.select("src", "bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset")).join(sized, "src")
     within = Window.partitionBy("src", "bucket").orderBy("mark", "id", "size", "print").rowsBetween(Window.unboundedPreceding, -1)
     placed = materialise(
         documents.join(offsets, ["src", "bucket"]).select(
-            "id", "source", "src", "size", "print", "source_size", "target", "block_words",
+            "id", "source", "src", "size", "print", "source_size", "target", "block_words", "longer",
             (F.col("offset") + F.coalesce(F.sum("size").over(within), F.lit(0))).alias("start"),
         ),
         "placed",
     )
     begin = F.col("start") + F.col("cycle") * F.col("source_size")
     end = F.least(begin + F.col("size"), F.floor("target"))
+    long_ones = "longer * (block_words + 1)"
+
+    def block(word: str) -> str:
+        """The block that a word of the source is in."""
+        return f"CASE WHEN {word} < {long_ones} THEN {word} div (block_words + 1) ELSE longer + ({word} - {long_ones}) div block_words END"
+
+    first_word = F.col("block") * F.col("block_words") + F.least("block", "longer")
+    next_first = (F.col("block") + 1) * F.col("block_words") + F.least(F.col("block") + 1, "longer")
     pieces = (
-        placed.where("size > 0 AND block_words > 0")
-        .select("src", "start", "size", "source_size", "target", "block_words", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1))).alias("cycle"))
-        .select("src", "start", "cycle", "block_words", begin.alias("begin"), end.alias("end"))
+        placed.where("size > 0 AND block_words + longer > 0")
+        .select("src", "start", "size", "source_size", "target", "block_words", "longer", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1))).alias("cycle"))
+        .select("src", "start", "cycle", "block_words", "longer", begin.alias("begin"), end.alias("end"))
         .where("begin < end")
-        .select("*", F.explode(F.expr("sequence(begin div block_words, (end - 1) div block_words)")).alias("block"))
+        .select("*", F.explode(F.expr(f"sequence({block('begin')}, {block('(end - 1)')})")).alias("block"))
         .select(
             "src", "start", "cycle", "block",
-            (F.greatest("begin", F.col("block") * F.col("block_words")) - F.col("begin")).alias("from_word"),
-            (F.least("end", (F.col("block") + 1) * F.col("block_words")) - F.col("begin")).alias("to_word"),
+            (F.greatest("begin", first_word) - F.col("begin")).alias("from_word"),
+            (F.least("end", next_first) - F.col("begin")).alias("to_word"),
         )
     )
     spans = pieces.join(_ranked(slots), ["src", "block"]).select("slot", "src", "start", "cycle", "from_word", "to_word")
@@ -179,21 +194,26 @@ def taken(mixed: Mix) -> DataFrame:
 def apply(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``df`` as often as the mix takes their first word: not at all, once or twice; columns unchanged.
 
-    Documents without a word are in no block and stay out. Equal rows share
-    the takes of all of them evenly.
+    They come in the order of the slots, so what is written is the mixed
+    sequence. Documents without a word are in no block and stay out. Equal rows
+    are one row that the mix takes several times; ``df`` has no map column, as
+    maps cannot be compared.
     """
-    mine = taken(mix(df, id_col, text_col, source_col)).groupBy("id", "print").agg(
-        F.sum("copies").alias("__copies"), F.count("*").alias("__equal")
-    )
-    mine = mine.where("__copies > 0").withColumnsRenamed({"id": "__id", "print": "__print"})
-    rows = df.withColumn("__key", F.xxhash64(F.col(f"`{text_col}`")))
-    joined = rows.join(mine, rows[f"`{id_col}`"].eqNullSafe(mine["__id"]) & (F.col("__key") == F.col("__print")))
-    turn = F.row_number().over(Window.partitionBy("__id", "__print").orderBy("__key"))
-    each = F.expr("__copies div __equal + CASE WHEN __turn <= __copies % __equal THEN 1 ELSE 0 END")
-    return (
-        joined.withColumn("__turn", turn)
-        .withColumn("__times", each)
-        .where("__times > 0")
-        .withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-        .select([F.col(f"`{c}`") for c in df.columns])
-    )
+    whole = F.xxhash64(F.struct("*"))
+    mixed = mix(df, id_col, text_col, source_col, whole)
+    first = mixed.spans.where("from_word = 0").select("slot", "cycle", "src", "start")
+    takes = first.join(mixed.documents.where("size > 0").select("id", "print", "src", "start"), ["src", "start"])
+    worded = df.where(F.coalesce(F.col(f"`{text_col}`").rlike(WORD), F.lit(False)))
+    rows = worded.select(F.struct("*").alias("row"), whole.alias("print"), F.col(f"`{id_col}`").alias("id"))
+    # only rows that repeat need a representative, so only they are sorted with their texts
+    again = mixed.documents.where("size > 0").groupBy("id", "print").agg(F.count("*").alias("n")).where("n > 1")
+    again = materialise(again.select("id", "print"), "repeated")
+    same = F.col("rows.id").eqNullSafe(F.col("again.id")) & (F.col("rows.print") == F.col("again.print"))
+
+    def which(how: str) -> DataFrame:
+        return rows.alias("rows").join(again.alias("again"), same, how).select("rows.*")
+
+    single = which("left_anti").unionByName(which("left_semi").groupBy("id", "print").agg(F.first("row").alias("row")).select("row", "print", "id"))
+    met = F.col("one.id").eqNullSafe(F.col("takes.id")) & (F.col("one.print") == F.col("takes.print"))
+    joined = single.alias("one").join(takes.alias("takes"), met).select("one.row", "takes.slot", "takes.cycle", "takes.start")
+    return joined.orderBy("slot", "cycle", "start").select("row.*")

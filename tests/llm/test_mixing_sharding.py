@@ -73,6 +73,37 @@ def test_slots_interleave(frame, monkeypatch):
             assert abs(seen[src] - whole[src] * (slot + 1) / n) < 10
 
 
+def test_every_slot_is_filled_evenly(frame, monkeypatch):
+    """Blocks of a source differ by one word at most, so none of its slots stays empty."""
+    monkeypatch.setattr(mixing, "BLOCK", 8)
+    mixed = mixing.mix(frame(corpus(random.Random(2))))
+    filled = defaultdict(int)
+    for s in mixed.spans.collect():
+        filled[s.src, s.slot] += s.to_word - s.from_word
+    for src in {src for src, _ in filled}:
+        held = [n for (own, _), n in filled.items() if own == src]
+        assert max(held) - min(held) <= 1
+    slots = {slot for _, slot in filled}
+    assert slots == set(range(len(slots)))
+
+
+def test_copies_come_in_slot_order(frame, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 8)
+    docs = frame(corpus(random.Random(3)))
+    mixed = mixing.mix(docs, identity=mixing.F.xxhash64(mixing.F.struct("*")))
+    first = mixed.spans.where("from_word = 0").join(mixed.documents.where("size > 0"), ["src", "start"])
+    want = [r.id for r in sorted(first.collect(), key=lambda r: (r.slot, r.cycle, r.start))]
+    assert [r.doc_id for r in mixing.apply(docs).collect()] == want
+
+
+def test_rows_that_repeat(frame):
+    """Equal rows share their takes; rows of one id and text that differ elsewhere stay apart."""
+    docs = frame(rows("a b c d") * 3 + rows("a b c d", lang="de") + rows("e f", first=1))
+    got = [(r.doc_id, r.lang) for r in mixing.apply(docs).collect()]
+    want = mixing.taken(mixing.mix(docs)).agg({"copies": "sum"}).first()[0]
+    assert len(got) == want and {(0, "en"), (0, "de"), (1, "en")} <= set(got)
+
+
 def test_copies_follow_the_mix(frame):
     docs = frame(corpus(random.Random(3)))
     want = {r.id: r.copies for r in mixing.taken(mixing.mix(docs)).collect() if r.copies}
