@@ -7,13 +7,14 @@ import re
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.html import ANY_TAG
 from ..functions.text import TOKEN, collapse_newlines, n_tokens, paragraphs, strip_ws
-from ..operators import answers, chunks, dialog, embedding, index, models, pages, search
+from ..operators import answers, chunks, dialog, embedding, index, ivf, models, pages, search, store
 from ..schemas import DOCUMENTS, INDEX, INPUTS, RAW_DOCUMENTS
 from ..session import materialise, work_path
 from ..sources import tables
@@ -329,6 +330,25 @@ def sync_index(spark, folder):
     return _sparse(rows, "chunk_id")
 
 
+@_query
+def sync_partitions(spark, folder):
+    """The same in hash partitions, of which a sync writes those that hold a change."""
+    root = work_path(spark, "store")
+    for documents in (_reviewed_then(spark, folder), _reviewed_now(spark, folder)):
+        ingest.sync_documents(spark, documents, root)
+    return _sparse(store.read_store(spark, root), "chunk_id")
+
+
+@_query
+def sync_partition_cost(spark, folder):
+    """What a sync writes when one document in a hundred has changed."""
+    root, documents = work_path(spark, "store"), _documents(spark, folder)
+    ingest.sync_documents(spark, documents, root)
+    note = F.when(F.col("url").cast("long") % 100 == 0, "\nUnder review.").otherwise("")
+    sync = ingest.sync_documents(spark, documents.withColumn("content", F.concat("content", note)), root)
+    return store.sync_cost(spark, root, sync)
+
+
 @_query
 def sync_stream(spark, folder):
     """Two runs of the stream over the document table; the second finds nothing new."""
@@ -419,6 +439,32 @@ def topk_lsh_cost(spark, folder):
     return search.lsh_cost(given.withColumnRenamed("vec_id", "query_id"), given, iid="vec_id")
 
 
+def _fixed_quantiser(given: DataFrame) -> ivf.Quantiser:
+    """Directions and codewords that SQL can name: the first 16 vectors, and residuals of the next 16."""
+    rows = given.where("vec_id < 32").orderBy("vec_id").collect()
+    unit = np.array([r.embedding for r in rows], dtype=np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    made = ivf.Quantiser(unit[:16], np.zeros((8, 16, unit.shape[1] // 8)))
+    words = made.parts(unit[16:] - made.centres[made.cell(unit[16:])])
+    return ivf.Quantiser(made.centres, words.copy())
+
+
+@_query
+def topk_ivf(spark, folder):
+    given = _table(spark, folder, "embeddings")
+    asked = given.select(F.col("vec_id").alias("query_id"), "embedding")
+    quantiser = _fixed_quantiser(given)
+    inverted = ivf.build(given, quantiser, "vec_id")
+    return ivf.topk_ivf(asked, given, inverted, quantiser, 4, n_probes=4, size=16, iid="vec_id")
+
+
+@_query
+def topk_ivf_cost(spark, folder):
+    given = _table(spark, folder, "embeddings")
+    quantiser = _fixed_quantiser(given)
+    return ivf.ivf_cost(given.withColumnRenamed("vec_id", "query_id"), ivf.build(given, quantiser, "vec_id"), quantiser, 4, 16)
+
+
 @_query
 def one_per_url(spark, folder):
     """Sources taken as URLs: very many documents share one."""

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.chunks import chunk_documents
 from ..operators.index import upsert_index
 from ..operators.pages import CONTENT, TITLE, documents_from_pages
+from ..operators.store import Sync, sync_store
 from ..schemas import DOCUMENTS
 from ..session import materialise
 from ..sources.tables import drop_null_content, page_source, read_table, write_table
@@ -37,3 +38,8 @@ def index_documents(spark: SparkSession, documents: DataFrame, root: str, **kw)
     changed and to embed that.
     """
     return upsert_index(spark, root, materialise(chunk_documents(documents), "chunks"), **kw)
+
+
+def sync_documents(spark: SparkSession, documents: DataFrame, root: str, **kw) -> Sync:
+    """Create or sync the partitioned index of a document table: only partitions that hold a change are written."""
+    return sync_store(spark, root, materialise(chunk_documents(documents), "chunks"), **kw)

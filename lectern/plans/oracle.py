@@ -216,10 +216,38 @@ directions AS (SELECT t, b, d, CASE WHEN md5(t || ':' || b || ':' || d) < '8' TH
   FROM range(16) a(t), range(8) c(b), (SELECT DISTINCT d FROM v)),
 sides AS (SELECT id, t, b, sum(x * s) > 0 AS up FROM v JOIN directions USING (d) GROUP BY ALL),
 codes AS (SELECT id, t, sum(CASE WHEN up THEN 1 << CAST(b AS INTEGER) ELSE 0 END) AS code FROM sides GROUP BY ALL)"""
+#: Cells around the first 16 unit vectors; 8 parts of the residual by the nearest of 16 residuals.
+IVF = """e AS (SELECT vec_id AS id, generate_subscripts(embedding, 1) - 1 AS d, unnest(embedding)::DOUBLE AS x FROM embeddings),
+u AS (SELECT id, d, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS x FROM e),
+near AS (SELECT u.id, c.id AS cell, round(sum(u.x * c.x), 9) AS s FROM u JOIN u c ON c.d = u.d AND c.id < 16 GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, cell) AS r FROM near),
+placed AS (SELECT id, cell FROM ranked WHERE r = 1),
+probed AS (SELECT id, cell FROM ranked WHERE r <= 4),
+rest AS (SELECT u.id, u.d // 8 AS part, u.d % 8 AS spot, u.x - c.x AS x FROM u JOIN placed p USING (id) JOIN u c ON c.id = p.cell AND c.d = u.d),
+words AS (SELECT id - 16 AS code, part, spot, x FROM rest WHERE id >= 16 AND id < 32),
+far AS (SELECT r.id, r.part, w.code, round(sum(w.x * w.x - 2 * r.x * w.x), 9) AS f FROM rest r JOIN words w USING (part, spot) GROUP BY ALL),
+coded AS (SELECT id, part, code FROM (SELECT *, row_number() OVER (PARTITION BY id, part ORDER BY f, code) AS r FROM far) WHERE r = 1),
+tables AS (SELECT u.id, w.part, w.code, sum(u.x * w.x) AS s FROM u JOIN words w ON w.part = u.d // 8 AND w.spot = u.d % 8 GROUP BY ALL),
+sums AS (SELECT p.id AS query_id, i.id AS vec_id, sum(t.s) AS s FROM probed p JOIN placed i USING (cell) JOIN coded c ON c.id = i.id
+  JOIN tables t ON t.id = p.id AND t.part = c.part AND t.code = c.code GROUP BY ALL),
+full_sums AS (SELECT query_id, vec_id, round(s + n.raw, 6) AS s FROM sums JOIN placed i ON i.id = vec_id
+  JOIN (SELECT u.id, c.id AS cell, sum(u.x * c.x) AS raw FROM u JOIN u c ON c.d = u.d AND c.id < 16 GROUP BY ALL) n ON n.id = query_id AND n.cell = i.cell),
+short AS (SELECT query_id, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS r FROM full_sums) WHERE r <= 16)"""
 CHUNK_QUERY = f"WITH RECURSIVE {DOCS},\n{CHUNKS} SELECT * FROM chunks"
 SYNCED = f"{LABELLED},\ndocs AS ({NOW}),\n{INDEX}"
 INDEX_ROWS = f"SELECT chunk_id, url, page_title, text, {MODEL} AS model FROM chunks JOIN clen USING (chunk_id)"
 
+#: Chunks before and after one document in a hundred has changed; a chunk's partition is a hash of its key.
+CHANGED = f"""before AS (WITH RECURSIVE {DOCS},\n{CHUNKS} SELECT * FROM chunks),
+after AS (WITH RECURSIVE docs AS (SELECT CAST(doc_id AS VARCHAR) AS url, source AS page_title,
+    text || CASE WHEN doc_id % 100 = 0 THEN {NL} || 'Under review.' ELSE '' END AS content FROM documents),
+  {CHUNKS} SELECT * FROM chunks),
+known AS (SELECT chunk_id, text FROM before WHERE regexp_matches(lower(text), '[a-z0-9]')),
+given AS (SELECT chunk_id, text FROM after WHERE regexp_matches(lower(text), '[a-z0-9]')),
+changes AS (SELECT coalesce(k.chunk_id, g.chunk_id) AS chunk_id FROM known k FULL OUTER JOIN given g ON k.chunk_id = g.chunk_id
+  WHERE k.text IS DISTINCT FROM g.text),
+written AS (SELECT DISTINCT CAST('0x' || substr(md5(chunk_id), 1, 8) AS BIGINT) % 256 AS bucket FROM changes)"""
+
 EXACT = """SELECT query_id, vec_id, score, CAST(rk AS INTEGER) AS rk FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rk FROM (
     SELECT q.vec_id AS query_id, i.vec_id,
@@ -277,6 +305,11 @@ SELECT chunk_id, url, page_title, text, {MODEL} AS model, 64 AS dim FROM chunks
     "upsert_index": _sparse(SYNCED, "cvec", "chunk_id"),
     "sync_stream_changes": _sparse(SYNCED, "cvec", "chunk_id"),
     "sync_index": _sparse(SYNCED, "cvec", "chunk_id"),
+    "sync_partitions": _sparse(SYNCED, "cvec", "chunk_id"),
+    "sync_partition_cost": f"""WITH {CHANGED}
+SELECT 256 AS n_buckets, CAST((SELECT count(*) FROM written) AS INTEGER) AS n_written, count(*) AS n_rows,
+  (SELECT count(*) FROM changes) AS n_changed,
+  count(*) FILTER (CAST('0x' || substr(md5(chunk_id), 1, 8) AS BIGINT) % 256 IN (SELECT bucket FROM written)) AS n_rewritten FROM given""",
     "sync_stream": f"WITH RECURSIVE {DOCS},\n{INDEX} {INDEX_ROWS}",
     "check_models": f"""WITH RECURSIVE {DOCS},\n{INDEX},\n{QVEC},
 have AS (SELECT DISTINCT {MODEL} AS model, 64 AS dim FROM clen),
@@ -298,6 +331,16 @@ SELECT query_id, vec_id, score, CAST(rk AS INTEGER) AS rk FROM (
 cells AS (SELECT count(*) AS n FROM codes GROUP BY t, code)
 SELECT (SELECT count(*) FROM embeddings) AS n_questions, (SELECT count(*) FROM embeddings) AS n_items,
   CAST(sum(n * n) AS BIGINT) AS n_scored FROM cells""",
+    "topk_ivf": f"""WITH {IVF}
+SELECT query_id, vec_id, score, CAST(rk AS INTEGER) AS rk FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rk FROM (
+    SELECT query_id, i.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]), 6) AS score
+    FROM short JOIN embeddings q ON q.vec_id = query_id JOIN embeddings i ON i.vec_id = short.vec_id)) WHERE rk <= 4""",
+    "topk_ivf_cost": f"""WITH {IVF},
+held AS (SELECT cell, count(*) AS n FROM placed GROUP BY 1),
+each AS (SELECT p.id, coalesce(sum(n), 0) AS n FROM probed p LEFT JOIN held USING (cell) GROUP BY 1)
+SELECT count(*) AS n_questions, (SELECT count(*) FROM embeddings) AS n_items, CAST(sum(n) AS BIGINT) AS n_scored,
+  CAST(sum(least(n, 16)) AS BIGINT) AS n_exact FROM each""",
     "one_per_url": """SELECT url, page_title, content FROM (
   SELECT source AS url, CAST(doc_id AS VARCHAR) AS page_title, text AS content,
     row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, md5(text) DESC, CAST(doc_id AS VARCHAR) DESC) AS r FROM documents)
