@@ -144,10 +144,15 @@ class Packer:
             yield made
 
 
-#: How the byte-level tokenizer divides a text into words before it merges bytes, a fixed value.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters on which libraries may differ as to what is a letter, a number or blank.
-_DOUBTFUL = re.compile("[\x1c-\x1f\u0800-\U0010ffff]")
+#: How the byte-level tokenizer divides a text into words before it merges bytes, a fixed value, in the classes of ``re``.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+#: Characters that libraries may not agree on, whether they are letters, numbers or blank. Not among them: Latin, Greek and
+#: Cyrillic letters, the usual dashes, quotes and symbols, kana, and the common ideographs and Hangul syllables.
+_DOUBTFUL = re.compile(
+    "[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0500-\u200f\u2028-\u202f\u205f-\u3040\u3097-\u30a0\u30fb-\u4dff\u9fa6-\uabff\ud7a4-\U0010ffff]"
+)
+#: New words that are encoded as one text.
+JOINED = 200
 #: Words whose ids a task keeps, and characters of a text that are divided at once.
 HELD_WORDS, SPAN = 400_000, 1 << 20
 _SEAM = re.compile("(?<=[A-Za-z])(?= [A-Za-z])")
@@ -171,7 +176,6 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -183,8 +187,13 @@ class Encoder:
             and not made["normalizer"]
             and not made["truncation"]
         )
-        self.words = regex.compile(WORDS)
-        self.ascii_words = re.compile(WORDS.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace(" ?A-Za-z+", " ?[A-Za-z]+").replace(" ?0-9+", " ?[0-9]+"), re.ASCII)
+        self.words = re.compile(WORDS)
+        if self.by_words:
+            # a byte is one character of a token's name
+            names = made["model"]["vocab"]
+            self.bytes = np.zeros(max(names.values(), default=0) + 1, np.int64)
+            for name, number in names.items():
+                self.bytes[number] = len(name)
         special = [t["content"] for t in made["added_tokens"] or [] if t["content"]]
         self.special = re.compile("|".join(map(re.escape, special)) if special else "(?!)")
         self._clear()
@@ -198,7 +207,7 @@ class Encoder:
 
     def _divided(self, text: str) -> Iterator[np.ndarray]:
         """Numbers of the words of a text; a blank between two letters always begins a word, so a text can be cut there."""
-        at, find = 0, (self.ascii_words if text.isascii() else self.words).findall
+        at, find = 0, self.words.findall
         while at < len(text):
             seam = _SEAM.search(text, at + SPAN) if len(text) - at > SPAN else None
             end = seam.start() if seam else len(text)
@@ -214,13 +223,33 @@ class Encoder:
         rest = iter(self.whole([t for t, p in zip(texts, plain, strict=True) if not p]))
         words = list(islice(self.number, known, None))
         if words:
-            new = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, new), np.int64)
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(lengths) - lengths])
-            self.length = np.concatenate([self.length, lengths])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(new), np.uint32)])
+            # a blank and letters stay words of their own when they follow each other
+            simple = np.fromiter((w[0] == " " and w[1:].isalpha() for w in words), bool)
+            lengths, starts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+            held, at = [self.flat], len(self.flat)
+            for which, encode in ((np.flatnonzero(simple), self._joined), (np.flatnonzero(~simple), self._single)):
+                lengths[which], flat = encode([words[i] for i in which.tolist()])
+                ends = np.cumsum(lengths[which])
+                starts[which] = at + ends - lengths[which]
+                at += len(flat)
+                held.append(flat)
+            self.start, self.length = np.concatenate([self.start, starts]), np.concatenate([self.length, lengths])
+            self.flat = np.concatenate(held)
         return [next(rest) if spans is None else self._looked_up(spans) for spans in divided]
 
+    def _single(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each word, and the ids."""
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.fromiter(map(len, found), np.int64), np.fromiter(chain.from_iterable(found), np.uint32)
+
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words that can be written one after the other; their bytes tell them apart again."""
+        texts = ["".join(words[at : at + JOINED]) for at in range(0, len(words), JOINED)]
+        flat = self._single(texts)[1]
+        ends = np.cumsum(np.fromiter((len(w.encode()) for w in words), np.int64))
+        last = np.searchsorted(np.cumsum(self.bytes[flat]), ends) + 1
+        return np.diff(last, prepend=0), flat
+
     def _looked_up(self, spans: list[np.ndarray]) -> np.ndarray:
         words = np.concatenate([np.zeros(0, np.int64), *spans])
         lengths = self.length[words]

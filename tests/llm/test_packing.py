@@ -94,6 +94,19 @@ def test_small_bundles_and_real_sequences(frame):
             assert (ids == ids_of(texts[p.id])[p.start : p.start + p.length]).all()
 
 
+def test_classes_of_characters_agree():
+    """All that is not doubtful is a letter, a number or blank to both."""
+    import re
+
+    import regex
+
+    for one, two in ((r"[^\W\d_]", r"\p{L}"), (r"\d", r"\p{N}"), (r"\s", r"\s")):
+        a, b = re.compile(one), regex.compile(two)
+        for c in map(chr, range(0x110000)):
+            if not packing._DOUBTFUL.match(c) and not "\ud800" <= c <= "\udfff":
+                assert bool(a.match(c)) == bool(b.match(c)), hex(ord(c))
+
+
 def test_words_give_the_ids_of_whole_texts(monkeypatch, folder):
     """Also with special tokens, doubtful characters, long texts cut at seams, and a small memory of words."""
     import pyarrow.parquet as pq
@@ -101,7 +114,7 @@ def test_words_give_the_ids_of_whole_texts(monkeypatch, folder):
     monkeypatch.setattr(packing, "SPAN", 500)
     monkeypatch.setattr(packing, "HELD_WORDS", 3000)
     rng = random.Random(9)
-    signs = "ab Z09 '\n\t  .,<|>_-éß\xa0\x85\u0416\u05d0\x1c\u3000\u65e5\U0001f600's'll don't"
+    signs = "ab Z09 '\n\t  .,<|>_-éß\xa0\x85\u0416\u05d0\x1c\u3000\u65e5\U0001f600's'll don't“ab”—…あア一字한²"
     texts = ["".join(rng.choices(signs, k=rng.randint(0, 200))) for _ in range(2000)]
     texts += ["", " ", "a<|endoftext|>b", "x" * 3000, "word " * 2000, " lead", "trail  "]
     texts += [t or "" for t in pq.read_table(f"{folder}/documents.parquet", columns=["text"])["text"].to_pylist()]
