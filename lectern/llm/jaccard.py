@@ -45,7 +45,7 @@ from .components import components
 
 WORDS = 5
 #: Shingles of a scan that are sent together, shingles counted together, and postings searched together.
-BATCH, BUCKET, BLOCK = 4_000_000, 1_000_000, 1_000_000
+BATCH, BUCKET, BLOCK = 2_000_000, 1_000_000, 1_000_000
 #: Of each component of a part, the classes that are searched with other parts first.
 HUBS = 8
 #: Bytes hashed at once.
@@ -109,10 +109,13 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t) for t in batch.column(2).to_pylist()]
-            n = pa.array([len(s) for s in sets], pa.int64())
-            cls = pa.array([_class(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, cls], ["id", "print", "n", "cls"])
+            n, cls = [], []
+            for text in batch.column(2):  # one at a time, as only numbers of each are kept
+                found = shingles(text.as_py())
+                n.append(len(found))
+                cls.append(_class(found) if len(found) else None)
+            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "print", "n", "cls"])
 
     rows = narrow(df, id=id_col, text=text_col).select("id", F.xxhash64("text").alias("print"), "text")
     return materialise(rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, print long, n long, cls long"), "sets")
@@ -157,20 +160,20 @@ def _batches(batches: Iterator[pa.RecordBatch], size: int = BATCH) -> Iterator[t
         classes = np.array(list(held), dtype=np.int64)
         sizes = np.array([len(s) for s in held.values()], dtype=np.int64)
         hashes = np.concatenate(list(held.values()))
-        by = np.argsort(hashes, kind="stable")
-        return _class(classes), classes, sizes, np.repeat(np.arange(len(classes)), sizes)[by], hashes[by]
+        held.clear()
+        by = np.argsort(hashes, kind="stable").astype(np.uint32)
+        return _class(classes), classes, sizes, np.repeat(np.arange(len(classes), dtype=np.uint32), sizes)[by], hashes[by]
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            found = shingles(text)
+        for text in batch.column(0):
+            found = shingles(text.as_py())
             cls = _class(found) if len(found) else None
             if cls is not None and cls not in held:
                 held[cls] = found
                 total += len(found)
                 if total >= size:
-                    yield out()
-                    held.clear()
                     total = 0
+                    yield out()
     if held:
         yield out()
 
