@@ -31,7 +31,7 @@ import os
 import re
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain, islice
 
@@ -49,15 +49,15 @@ CAPACITY, BUNDLE, END_ID = 1024, 16_384, 0
 GROUP = 4 << 20
 
 
-def reach(lengths: list[int], counts: list[int], target: int) -> list[int]:
-    """Of each length how many to take, so that their sum comes closest to ``target`` without exceeding it.
+def reach(lengths: Iterable[tuple[int, int]], target: int) -> dict[int, int]:
+    """How many to take of each of (length, count), so that their sum comes closest to ``target`` without exceeding it.
 
     Bit ``s`` of a bitset says that the sum ``s`` is reached with the lengths
     so far; a length that may be taken ``c`` times is added in powers of two.
     """
     mask = (1 << target + 1) - 1
-    bits, states = 1, [1]
-    for length, count in zip(lengths, counts, strict=True):
+    bits, states, seen = 1, [1], []
+    for length, count in lengths:
         left, step = min(count, target // length), 1
         while left:
             step = min(step, left)
@@ -65,13 +65,14 @@ def reach(lengths: list[int], counts: list[int], target: int) -> list[int]:
             left -= step
             step *= 2
         states.append(bits)
+        seen.append(length)
         if bits >> target & 1:
             break  # filled; further lengths cannot do better
-    total, taken = bits.bit_length() - 1, [0] * len(lengths)
-    for i in range(len(states) - 2, -1, -1):
+    total, taken = bits.bit_length() - 1, {}
+    for i in range(len(seen) - 1, -1, -1):
         while not states[i] >> total & 1:
-            total -= lengths[i]
-            taken[i] += 1
+            total -= seen[i]
+            taken[seen[i]] = taken.get(seen[i], 0) + 1
     return taken
 
 
@@ -119,15 +120,15 @@ class Packer:
         """Full sequences as long as there is enough for one."""
         while self.total >= self.capacity:
             lengths = sorted(self.by_length, reverse=True)
-            counts = [len(self.by_length[x]) for x in lengths]
-            counts[0] -= 1
-            taken = reach(lengths, counts, self.capacity - lengths[0])
-            taken[0] += 1
-            slack = self.capacity - sum(a * b for a, b in zip(lengths, taken, strict=True))
+            first = lengths[0]
+            counts = ((x, len(self.by_length[x]) - (x == first)) for x in lengths)
+            taken = reach(counts, self.capacity - first)
+            taken[first] = taken.get(first, 0) + 1
+            slack = self.capacity - sum(x * n for x, n in taken.items())
             # a pattern with slack is closed by a cut, which changes the lengths
-            times = 1 if slack else min(len(self.by_length[x]) // n for x, n in zip(lengths, taken, strict=True) if n)
+            times = 1 if slack else min(len(self.by_length[x]) // n for x, n in taken.items())
             for _ in range(times):
-                made = [self._take(x) for x, n in zip(lengths, taken, strict=True) for _ in range(n)]
+                made = [self._take(x) for x, n in taken.items() for _ in range(n)]
                 if slack:
                     made.append(self._cut(max(self.by_length), slack))
                 yield made
@@ -246,7 +247,8 @@ class Encoder:
         """The same for words that can be written one after the other; their bytes tell them apart again."""
         texts = ["".join(words[at : at + JOINED]) for at in range(0, len(words), JOINED)]
         flat = self._single(texts)[1]
-        ends = np.cumsum(np.fromiter((len(w.encode()) for w in words), np.int64))
+        sizes = map(len, words) if all(map(str.isascii, texts)) else (len(w.encode()) for w in words)
+        ends = np.cumsum(np.fromiter(sizes, np.int64))
         last = np.searchsorted(np.cumsum(self.bytes[flat]), ends) + 1
         return np.diff(last, prepend=0), flat
 

@@ -50,9 +50,9 @@ def test_reach_is_the_best_subset_sum():
         sums = {0}
         for length, count in zip(lengths, counts, strict=True):
             sums = {s + k * length for s in sums for k in range(count + 1)}
-        taken = reach(lengths, counts, target)
-        assert all(0 <= t <= c for t, c in zip(taken, counts, strict=True))
-        assert sum(a * b for a, b in zip(lengths, taken, strict=True)) == max(s for s in sums if s <= target)
+        taken = reach(zip(lengths, counts, strict=True), target)
+        assert all(n <= dict(zip(lengths, counts, strict=True))[x] for x, n in taken.items())
+        assert sum(x * n for x, n in taken.items()) == max(s for s in sums if s <= target)
 
 
 @pytest.mark.parametrize("sizes", [[7] * 100, [900] * 30, list(range(1, 200)), [1], [1023, 1], [1000, 1000]])
