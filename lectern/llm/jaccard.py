@@ -45,7 +45,9 @@ from .components import components
 
 WORDS = 5
 #: Shingles of a scan that are sent together, shingles counted together, and postings searched together.
-BATCH, BUCKET, BLOCK = 2_000_000, 1_000_000, 1_000_000
+BATCH, BUCKET, BLOCK = 4_000_000, 4_000_000, 1_000_000
+#: A bucket is counted range by range of its keys, so that memory is a fraction of it.
+RANGES = 4
 #: Of each component of a part, the classes that are searched with other parts first.
 HUBS = 8
 #: Bytes hashed at once.
@@ -121,20 +123,24 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return materialise(rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, print long, n long, cls long"), "sets")
 
 
-#: A class, the size of its set, and how many of the keys that follow are its own.
-_NAMED = np.dtype([("cls", "<i8"), ("size", "<u4"), ("n", "<u4")])
+#: A class and how many of the keys that follow are its own; a longer run is named again.
+_NAMED = np.dtype([("cls", "<i8"), ("n", "<u2")])
+_MOST = 65_535
 
 
-def _named(cls: np.ndarray, size: np.ndarray, n: np.ndarray) -> np.ndarray:
-    made = np.empty(len(cls), dtype=_NAMED)
-    made["cls"], made["size"], made["n"] = cls, size, n
-    return made
+def _named(cls: np.ndarray, n: np.ndarray) -> bytes:
+    times = -(-n // _MOST)
+    made = np.empty(int(times.sum()), dtype=_NAMED)
+    made["cls"] = np.repeat(cls, times)
+    before = np.arange(len(made)) - np.repeat(np.cumsum(times) - times, times)
+    made["n"] = np.minimum(np.repeat(n, times) - before * _MOST, _MOST)
+    return made.tobytes()
 
 
-def _owners(named: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct classes, their sizes, and for each named key the number of its class."""
-    cls, first, number = np.unique(named["cls"], return_index=True, return_inverse=True)
-    return cls, named["size"][first].astype(np.int64), np.repeat(number.astype(np.uint32), named["n"])
+def _owners(named: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct classes, and for each entry the number of its class."""
+    cls, number = np.unique(named["cls"], return_inverse=True)
+    return cls, number.astype(np.uint32)
 
 
 def _packed(keys: np.ndarray) -> bytes:
@@ -148,7 +154,7 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def _batches(batches: Iterator[pa.RecordBatch], size: int = BATCH) -> Iterator[tuple]:
-    """(name, classes, sizes, owner, hash) of up to about ``size`` postings, sorted by hash; each class once.
+    """(name, classes, owner, hash) of up to about ``size`` postings, sorted by hash; each class once.
 
     The name is a digest of the classes, so a task that runs again gives the
     same names.
@@ -162,7 +168,7 @@ def _batches(batches: Iterator[pa.RecordBatch], size: int = BATCH) -> Iterator[t
         hashes = np.concatenate(list(held.values()))
         held.clear()
         by = np.argsort(hashes, kind="stable").astype(np.uint32)
-        return _class(classes), classes, sizes, np.repeat(np.arange(len(classes), dtype=np.uint32), sizes)[by], hashes[by]
+        return _class(classes), classes, np.repeat(np.arange(len(classes), dtype=np.uint32), sizes)[by], hashes[by]
 
     for batch in batches:
         for text in batch.column(0):
@@ -191,8 +197,15 @@ def _cuts(values: np.ndarray) -> Iterator[tuple[int, slice]]:
         yield int(values[at]), slice(at, at + n)
 
 
-def _bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+def _buckets(ordered: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
+    """(bucket, slice) of sorted hashes; a bucket is a range of their first 24 bits."""
+    at = 0
+    while at < len(ordered):
+        bucket = (int(ordered[at]) >> 40) * buckets >> 24
+        end = -(-(bucket + 1 << 24) // buckets) << 40  # the first hash beyond it
+        to = len(ordered) if end >> 64 else int(np.searchsorted(ordered, np.uint64(end)))
+        yield bucket, slice(at, to)
+        at = to
 
 
 _SENT = pa.schema(
@@ -204,7 +217,7 @@ _SHARED = pa.schema(
 )
 
 
-def _by_part(keys: np.ndarray, ranks: np.ndarray, owner: np.ndarray, cls: np.ndarray, size: np.ndarray, parts: int) -> list[tuple]:
+def _by_part(keys: np.ndarray, ranks: np.ndarray, owner: np.ndarray, cls: np.ndarray, parts: int) -> list[tuple]:
     """Rows of ``_SHARED``, one per part that has some of the classes; a class is in one part. ``owner`` numbers the classes."""
     part = cls.astype(np.uint64) % np.uint64(parts)
     order = np.lexsort((cls, part))  # of the classes, which are fewer than the keys
@@ -217,7 +230,7 @@ def _by_part(keys: np.ndarray, ranks: np.ndarray, owner: np.ndarray, cls: np.nda
     for value, mine in _cuts(part[order][at]):
         first, n = _runs(at[mine])
         who = order[at[mine][first]]
-        rows.append((None, value, None, keys[by[mine]].astype("<i8").tobytes(), ranks[by[mine]].tobytes(), _named(cls[who], size[who], n).tobytes()))
+        rows.append((None, value, None, keys[by[mine]].astype("<i8").tobytes(), ranks[by[mine]].tobytes(), _named(cls[who], n)))
     return rows
 
 
@@ -233,21 +246,16 @@ def _send(buckets: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, classes, sizes, owner, hashes in _batches(batches):
-            starts, lengths = _runs(hashes)
-            once = hashes[starts]
-            for bucket, part in _cuts(_bucket_of(once, buckets)):
-                who = owner[starts[part]]
+        for name, classes, owner, hashes in _batches(batches):
+            for bucket, at in _buckets(hashes, buckets):
+                starts, lengths = _runs(hashes[at])
+                who, once = owner[at][starts], hashes[at][starts] & _LOW
                 # those of one class first, by class, so that a class is named once
-                by = np.lexsort((who, lengths[part] > 1))
-                alone = int((lengths[part] == 1).sum())
+                by = np.lexsort((who, lengths > 1))
+                alone = int((lengths == 1).sum())
                 first, n = _runs(who[by][:alone])
-                own = who[by][first]
-                named = _named(classes[own], sizes[own], n)
-                yield _table(
-                    [(bucket, name, _packed(once[part][by] & _LOW), lengths[part][by][alone:].astype("<u4").tobytes(), named.tobytes())],
-                    _SENT,
-                )
+                named = _named(classes[who[by][first]], n)
+                yield _table([(bucket, name, _packed(once[by]), lengths[by][alone:].astype("<u4").tobytes(), named)], _SENT)
 
     return run
 
@@ -260,60 +268,70 @@ def _rank(counts: np.ndarray) -> np.ndarray:
 def _count(parts: int):
     """What is shared in a bucket: for the part of a class that was named, else for the sender; a class counts once.
 
-    A key of 40 bits and the number of its class of 24 are one number, so
-    the bucket is one array that is sorted in place.
+    A key of 40 bits and the number of its class of 24 are one number, so a
+    range of the bucket is one array that is sorted in place.
     """
 
-    def run(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        seen, found, names, groups, weights, senders = set(), [], [], [], [], []
-        for at in range(table.num_rows):
-            name, data, counts, named = (table.column(c)[at].as_py() for c in ("sender", "keys", "counts", "classes"))
-            if name in seen:  # two scans held the same classes
-                continue
-            seen.add(name)
+    def one_range(rows: list[tuple], number: list[np.ndarray], at: int) -> tuple:
+        """Shared keys of one class each with their owners and ranks, then for each sender's other keys in range their places and ranks."""
+        found, owners, places, keys_of, weights = [], [], [], [], []
+        for (_, data, counts, named), own in zip(rows, number, strict=True):
             keys, several = _unpacked(data), np.frombuffer(counts, "<u4")
             alone = len(keys) - len(several)
-            found.append(keys[:alone])
-            names.append(np.frombuffer(named, _NAMED))
-            groups.append(keys[alone:])
-            weights.append(several)
-            senders.append(name)
-        cls, size, owner = _owners(np.concatenate(names))
-        pairs = np.concatenate(found)
-        del found, names, table
-        wide = len(cls) >> 24  # more classes than a bucket has keys are not met; sort by two columns then
-        if wide:
+            mine = keys[:alone] >> np.uint64(38) == at
+            found.append(keys[:alone][mine])
+            owners.append(np.repeat(own, named["n"])[mine])
+            place = np.flatnonzero(keys[alone:] >> np.uint64(38) == at)
+            places.append(place)
+            keys_of.append(keys[alone:][place])
+            weights.append(several[place])
+        pairs, owner = np.concatenate(found), np.concatenate(owners)
+        if owner.max(initial=0) >> 24:  # more classes than a bucket is meant to have keys
             by = np.lexsort((owner, pairs))
             pairs, owner = pairs[by], owner[by]
             new = np.concatenate([[True], (pairs[1:] != pairs[:-1]) | (owner[1:] != owner[:-1])])[: len(pairs)]
             pairs, owner = pairs[new], owner[new]
         else:
-            pairs <<= np.uint64(24)
-            pairs |= owner
+            pairs = pairs << np.uint64(24) | owner
             pairs.sort()
             pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])[: len(pairs)]]
             owner = (pairs & np.uint64((1 << 24) - 1)).astype(np.uint32)
             pairs >>= np.uint64(24)
         starts, lengths = _runs(pairs)
-        alone = pairs[starts]
-        every = np.concatenate(groups)
-        several, where = np.unique(every, return_inverse=True)
+        several, where = np.unique(np.concatenate(keys_of), return_inverse=True)
         weight = np.bincount(where, np.concatenate(weights), len(several)).astype(np.int64)
-        met = np.intersect1d(alone, several, assume_unique=True, return_indices=True)
+        _, alone, both = np.intersect1d(pairs[starts], several, assume_unique=True, return_indices=True)
         total, whole = lengths.copy(), weight.copy()
-        total[met[1]] += weight[met[2]]
-        whole[met[2]] += lengths[met[1]]
+        total[alone] += weight[both]
+        whole[both] += lengths[alone]
         shared = np.repeat(total > 1, lengths)
-        rank = _rank(np.repeat(total, lengths)[shared])
-        rows = _by_part(pairs[shared] | np.uint64(bucket) << np.uint64(40), rank, owner[shared], cls, size, parts)
-        rank = _rank(whole)[where]
-        ends = np.cumsum([len(g) for g in groups])
-        for name, keys, end in zip(senders, groups, ends.tolist(), strict=True):
-            if len(keys):
+        return pairs[shared], owner[shared], _rank(np.repeat(total, lengths)[shared]), places, np.split(_rank(whole)[where], np.cumsum([len(p) for p in places])[:-1])
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        rows = {}
+        for at in range(table.num_rows):
+            name, data, counts, named = (table.column(c)[at] for c in ("sender", "keys", "counts", "classes"))
+            # two scans that held the same classes have one name; the bytes stay where they are
+            rows[name.as_py()] = (name.as_py(), data.as_buffer(), counts.as_buffer(), np.frombuffer(named.as_buffer(), _NAMED))
+        rows = list(rows.values())
+        cls, number = _owners(np.concatenate([r[3] for r in rows]))
+        numbers = np.split(number, np.cumsum([len(r[3]) for r in rows])[:-1])
+        ranks = [np.zeros(len(r[2]) // 4, dtype="u1") for r in rows]
+        made = []
+        for at in range(RANGES):
+            *alone, places, given = one_range(rows, numbers, at)
+            made.append(alone)
+            for rank, place, value in zip(ranks, places, given, strict=True):
+                rank[place] = value
+        keys, owner, rank = map(np.concatenate, zip(*made, strict=True))
+        out = _by_part(keys | np.uint64(bucket) << np.uint64(40), rank, owner, cls, parts)
+        for (name, data, _, _), rank in zip(rows, ranks, strict=True):
+            if len(rank):
+                keys = _unpacked(data)[-len(rank) :]
                 by = np.argsort(keys)
-                rows.append((name, None, bucket, _packed(keys[by]), rank[end - len(keys) : end][by].tobytes(), b""))
-        return pa.Table.from_batches([_table(rows, _SHARED)] if rows else [], schema=_SHARED)
+                out.append((name, None, bucket, _packed(keys[by]), rank[by].tobytes(), b""))
+        return pa.Table.from_batches([_table(out, _SHARED)] if out else [], schema=_SHARED)
 
     return run
 
@@ -325,18 +343,15 @@ def _keep(buckets: int):
     """The same scan again: the shingles that several classes of a batch share, by bucket, with their classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, classes, sizes, owner, hashes in _batches(batches):
-            starts, lengths = _runs(hashes)
-            several = np.repeat(lengths > 1, lengths)
-            owner, hashes = owner[several], hashes[several]
-            bucket = _bucket_of(hashes, buckets)
-            by = np.lexsort((hashes, owner, bucket))
-            owner, hashes, bucket = owner[by], hashes[by] & _LOW, bucket[by]
-            for value, at in _cuts(bucket):
-                first, n = _runs(owner[at])
-                who = owner[at][first]
-                named = _named(classes[who], sizes[who], n)
-                yield _table([(name, value, _packed(hashes[at]), named.tobytes())], _LOCAL)
+        for name, classes, owner, hashes in _batches(batches):
+            for bucket, at in _buckets(hashes, buckets):
+                lengths = _runs(hashes[at])[1]
+                several = np.repeat(lengths > 1, lengths)
+                who, keys = owner[at][several], hashes[at][several]
+                if len(keys):
+                    by = np.lexsort((keys, who))
+                    first, n = _runs(who[by])
+                    yield _table([(name, bucket, _packed(keys[by] & _LOW), _named(classes[who[by][first]], n))], _LOCAL)
 
     return run
 
@@ -358,8 +373,10 @@ def _returned(parts: int):
             names.append(np.frombuffer(named, _NAMED))
         if not keys:
             return _SHARED.empty_table()
-        cls, size, owner = _owners(np.concatenate(names))
-        return pa.Table.from_batches([_table(_by_part(np.concatenate(keys), np.concatenate(rank), owner, cls, size, parts), _SHARED)])
+        named = np.concatenate(names)
+        cls, number = _owners(named)
+        owner = np.repeat(number, named["n"])
+        return pa.Table.from_batches([_table(_by_part(np.concatenate(keys), np.concatenate(rank), owner, cls, parts), _SHARED)])
 
     return run
 
@@ -367,12 +384,19 @@ def _returned(parts: int):
 _KEPT = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
 
 
-def _gather(table: pa.Table) -> pa.Table:
-    """Of a part, the classes of which at least 4/5 is shared: all shared shingles, and the rarest that must meet a partner.
+def _gather(table: pa.Table, sizes: pa.Table) -> pa.Table:
+    """Of a part with the sizes of its classes, the classes of which at least 4/5 is shared: all shared shingles, and the rarest that must meet a partner.
 
     A class comes once from each bucket and once from each sender that held it.
     """
-    cls, size, owner = _owners(np.concatenate([np.frombuffer(x, _NAMED) for x in table.column("classes").to_pylist()]))
+    if not table.num_rows:
+        return _KEPT.empty_table()
+    named = np.concatenate([np.frombuffer(x, _NAMED) for x in table.column("classes").to_pylist()])
+    cls, number = _owners(named)
+    owner = np.repeat(number, named["n"])
+    known, size = sizes.column("cls").to_numpy(), sizes.column("n").to_numpy()
+    by = np.argsort(known)
+    size = size[by][np.searchsorted(known[by], cls)]
     keys = np.concatenate([np.frombuffer(x, "<i8") for x in table.column("keys").to_pylist()])
     ranks = np.concatenate([np.frombuffer(x, "u1") for x in table.column("ranks").to_pylist()])
     by = np.argsort(owner, kind="stable")
@@ -510,8 +534,13 @@ def _search(table: pa.Table) -> pa.Table:
     return pa.table({"a": [p[0] for p in pairs], "b": [p[1] for p in pairs]}, schema=_LINKS)
 
 
-def _candidates(df: DataFrame, text_col: str, buckets: int) -> DataFrame:
-    """(cls, n, keys, prefix) of the classes that may have links, written."""
+def _part(cls: str, parts: int):
+    """The part of a class: its number without a sign, modulo ``parts``."""
+    return F.expr(f"(shiftrightunsigned({cls}, 1) % {parts} * 2 + ({cls} & 1)) % {parts}").cast("long")
+
+
+def _candidates(df: DataFrame, text_col: str, buckets: int, classes: DataFrame) -> DataFrame:
+    """(cls, n, keys, prefix) of the classes that may have links, written; ``classes`` has their sizes (cls, n)."""
     texts = narrow(df, text=text_col)
     sent = texts.mapInArrow(_send(buckets), "bucket long, sender long, keys binary, counts binary, classes binary")
     shared = "sender long, part long, bucket long, keys binary, ranks binary, classes binary"
@@ -519,7 +548,9 @@ def _candidates(df: DataFrame, text_col: str, buckets: int) -> DataFrame:
     local = texts.mapInArrow(_keep(buckets), "sender long, bucket long, keys binary, classes binary")
     returned = local.groupBy("sender").cogroup(counted.where("sender IS NOT NULL").groupBy("sender")).applyInArrow(_returned(buckets), shared)
     parts = counted.where("part IS NOT NULL").unionByName(returned).select("part", "keys", "ranks", "classes")
-    return materialise(parts.groupBy("part").applyInArrow(_gather, "cls long, n long, keys array<long>, prefix array<long>"), "candidates")
+    sizes = classes.select("cls", "n", _part("cls", buckets).alias("part")).groupBy("part")
+    gathered = parts.groupBy("part").cogroup(sizes).applyInArrow(_gather, "cls long, n long, keys array<long>, prefix array<long>")
+    return materialise(gathered, "candidates")
 
 
 def across(
@@ -599,9 +630,9 @@ def _completed(large: DataFrame, first: DataFrame) -> DataFrame:
     return known.unionByName(materialise(third, "links"))
 
 
-def links(df: DataFrame, text_col: str = "text", n_shingles: int = 0) -> DataFrame:
-    """(node, root) of the classes that have a link; ``n_shingles`` sets how many buckets count."""
-    kept = _candidates(df, text_col, max(1, -(-n_shingles // BUCKET)))
+def links(df: DataFrame, text_col: str, n_shingles: int, classes: DataFrame) -> DataFrame:
+    """(node, root) of the classes that have a link; ``n_shingles`` sets how many buckets count, ``classes`` are all (cls, n)."""
+    kept = _candidates(df, text_col, max(1, -(-n_shingles // BUCKET)), classes)
     # sizes of partners differ by a factor of 1.25 at most, so by one level, and are in one pair of levels of the two divisions
     level = F.floor(F.log(F.col("n")) / F.log(F.lit(1.26)))
     pairs = F.explode(F.array(F.floor(level / 2) * 2, F.floor((level + 1) / 2) * 2 + 1))
@@ -629,8 +660,8 @@ def _resolved(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     rows = documents(df, id_col, text_col)
     total = rows.agg(F.sum("n").alias("n")).first().n or 0
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "print")).alias("first")
-    classes = rows.where("cls IS NOT NULL").groupBy("cls").agg(first)
-    linked = links(df, text_col, total)
+    classes = materialise(rows.where("cls IS NOT NULL").groupBy("cls").agg(first, F.first("n").alias("n")), "firsts")
+    linked = links(df, text_col, total, classes)
     grouped = classes.join(linked, classes["cls"] == linked["node"], "left")
     return rows, materialise(grouped.select("cls", F.coalesce("root", "cls").alias("root"), "first"), "classes")
 
