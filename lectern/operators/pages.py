@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.html import block_text, first_scope, hrefs, inline_text, scopes
+from ..functions.html import block_text, first_scope, hrefs, inline_text, with_scopes
 from ..functions.urls import resolve_url
 from ..schemas import DOCUMENTS, conform
 
@@ -21,8 +21,9 @@ def extract_links(pages: DataFrame, scope: str = LINK_SCOPE) -> DataFrame:
 
     Nested matching elements repeat their links, as a search per element does.
     """
-    links = F.flatten(F.transform(scopes(F.col("html"), scope), hrefs))
-    return pages.select("page_id", F.col("url").alias("src_url"), F.posexplode(links).alias("pos", "href"))
+    found = with_scopes(pages.select("page_id", "url", "html"), scope, "found")
+    links = F.flatten(F.transform("found", hrefs))
+    return found.select("page_id", F.col("url").alias("src_url"), F.posexplode(links).alias("pos", "href"))
 
 
 def resolve_links(links: DataFrame, base: Column | None = None) -> DataFrame:
@@ -71,6 +72,12 @@ def documents_from_pages(pages: DataFrame, title: str = TITLE, content: str = CO
     )
 
 
+def element_texts(pages: DataFrame, selector: str) -> DataFrame:
+    """``(page_id, pos, text)`` of each matching element, in document order, its text nodes joined; see ``with_scopes``."""
+    found = with_scopes(pages.select("page_id", "html"), selector, "found")
+    return found.select("page_id", F.posexplode(F.transform("found", inline_text)).alias("pos", "text"))
+
+
 def content_counts(documents: DataFrame) -> DataFrame:
     """Pages with and without content."""
     kept = F.col("content").isNotNull()

@@ -14,11 +14,13 @@ from pyspark.sql import types as T
 
 from ..functions.html import ANY_TAG
 from ..functions.text import TOKEN, collapse_newlines, n_tokens, paragraphs, strip_ws
-from ..operators import answers, chunks, dialog, embedding, index, ivf, models, pages, search, store
+from ..operators import (
+    answers, bounded, chunks, dialog, digests, embedding, index, ivf, lexical, models, pages, search, seen, splitting, store,
+)
 from ..schemas import DOCUMENTS, INDEX, INPUTS, RAW_DOCUMENTS
 from ..session import materialise, work_path
 from ..sources import tables
-from ..streaming import sync
+from ..streaming import state, sync
 from . import answering, ingest
 
 # The given pages have no class or id to select by.
@@ -160,6 +162,27 @@ def snapshot_diff(spark, folder):
     return index.snapshot_diff(old, new, "url", ["page_title", "content"])
 
 
+@_query
+def tree_diff(spark, folder):
+    """The same between stored snapshots, by the leaves whose digests differ."""
+    old, new = work_path(spark, "snapshot"), work_path(spark, "snapshot")
+    for path, documents in ((old, _reviewed_then(spark, folder)), (new, _reviewed_now(spark, folder))):
+        digests.write_snapshot(documents, path, "url", ["page_title", "content"])
+    return digests.tree_diff(spark, old, new, "url", ["page_title", "content"]).changes
+
+
+@_query
+def tree_diff_cost(spark, folder):
+    """How much of the tree and of the rows is read when one document in a hundred has changed."""
+    old, new, documents = work_path(spark, "snapshot"), work_path(spark, "snapshot"), _documents(spark, folder)
+    note = F.when(F.col("url").cast("long") % 100 == 0, "\nUnder review.").otherwise("")
+    for path, rows in ((old, documents), (new, documents.withColumn("content", F.concat("content", note)))):
+        digests.write_snapshot(rows, path, "url", ["page_title", "content"])
+    found = digests.tree_diff(spark, old, new, "url", ["page_title", "content"])
+    counts = [F.lit(found.n_leaves).alias("n_leaves"), F.lit(found.compared).alias("n_compared"), F.lit(len(found.leaves)).alias("n_read")]
+    return found.changes.agg(F.count("*").alias("n_changed")).select(*counts, "n_changed")
+
+
 # ---- page extraction
 
 
@@ -188,11 +211,25 @@ def frontier_distinct(spark, folder):
     return pages.frontier_distinct(pages.toc_urls(_pages(spark, folder), LINKS))
 
 
+@_query
+def frontier_unseen(spark, folder):
+    """Links of all pages to URLs that a crawl of every second page has not seen."""
+    root, frontier = work_path(spark, "seen"), pages.toc_urls(_pages(spark, folder), LINKS)
+    seen.note_seen(spark, root, frontier.where("page_id % 2 = 0"), 1)
+    return seen.unseen(spark, root, frontier)
+
+
 @_query
 def page_title(spark, folder):
     return _pages(spark, folder).select("page_id", pages.extract_title(F.col("html"), TITLE).alias("page_title"))
 
 
+@_query
+def nested_elements(spark, folder):
+    """Link texts by a selector of elements within each other."""
+    return pages.element_texts(_pages(spark, folder), "nav li > a")
+
+
 @_query
 def page_content(spark, folder):
     content = pages.extract_content(F.col("html"), CONTENT)
@@ -273,6 +310,20 @@ def chunk_with_counter(spark, folder):
     return chunks.chunk_documents(_documents(spark, folder), count_tokens=count)
 
 
+@_query
+def recursive_chunks(spark, folder):
+    """Chunks by separators from paragraphs down to words, with overlap."""
+    return splitting.chunk_recursively(_documents(spark, folder))
+
+
+@_query
+def recursive_parts(spark, folder):
+    """What whole documents are cut into for a small budget."""
+    parts = splitting.parts_of(F.col("content"), 40)
+    rows = _documents(spark, folder).select("url", F.posexplode(parts).alias("pos", "p"))
+    return rows.select("url", "pos", F.col("p.text").alias("text"), F.col("p.n").alias("n_tokens"))
+
+
 @_query
 def chunk_pages(spark, folder):
     documents = pages.documents_from_pages(_pages(spark, folder), TITLE, CONTENT)
@@ -310,6 +361,12 @@ def build_index(spark, folder):
     )
 
 
+@_query
+def index_vectors(spark, folder):
+    """The vectors of a fresh index."""
+    return _sparse(index.build_index(_chunks(spark, folder)), "chunk_id")
+
+
 def _synced(spark, folder) -> DataFrame:
     """An index of the earlier documents, brought in step with the later ones."""
     root = work_path(spark, "index")
@@ -377,6 +434,20 @@ def sync_stream_changes(spark, folder):
     return _sparse(sync.read_stream_index(spark, small), "chunk_id")
 
 
+@_query
+def sync_stream_versions(spark, folder):
+    """The same with versions in a state store: the earlier documents come last, and too late."""
+    root, checkpoint, source = (work_path(spark, n) for n in ("stream", "checkpoint", "source"))
+    then, now = _reviewed_then(spark, folder), _reviewed_now(spark, folder)
+    gone = then.withColumn("content", F.lit(None).cast("string"))
+    schema = T.StructType([*DOCUMENTS.fields, T.StructField("seen", T.IntegerType())])
+    for versions in ([(0, then)], [(2, gone), (3, now)], [(1, then)]):
+        for at, rows in versions:
+            rows.withColumn("seen", F.lit(at)).write.mode("append").parquet(source)
+        state.sync_stream_state(spark, source, schema, root, checkpoint, lambda df: df)
+    return _sparse(sync.read_stream_index(spark, root), "chunk_id")
+
+
 @_query
 def check_models(spark, folder):
     """Given vectors and questions against the index: which models it lacks."""
@@ -413,11 +484,26 @@ def topk_vector_blocks(spark, folder):
     return search.topk_vector(asked, given, 4, iid="vec_id", sent_questions=0)
 
 
+@_query
+def topk_bounded(spark, folder):
+    """The same, leaving out blocks of items that cannot be near."""
+    given = _table(spark, folder, "embeddings")
+    asked = given.select(F.col("vec_id").alias("query_id"), "embedding")
+    blocks = bounded.block(given, ivf.fit(given, "vec_id", cells=16, codes=1, rounds=3).centres, "vec_id")
+    return bounded.topk_bounded(asked, blocks, 4, iid="vec_id")
+
+
 @_query
 def topk_text(spark, folder):
     return search.topk_text(_questions(spark, folder), _index(spark, folder))
 
 
+@_query
+def topk_lexical(spark, folder):
+    """BM25 over posting lists, with the blocks skipped that cannot matter."""
+    return lexical.topk_lexical(_questions(spark, folder), lexical.build_lexical(_chunks(spark, folder), range_size=64), 4)
+
+
 @_query
 def retrieve(spark, folder):
     found = search.retrieve(_questions(spark, folder), _index(spark, folder))
@@ -659,3 +745,14 @@ def answer_dialogs(spark, folder):
 @_query
 def answer_dialogs_always_rewritten(spark, folder):
     return _answered(spark, folder, True)
+
+
+@_query
+def model_batches(spark, folder):
+    """A stand-in model on every turn, asked once per distinct text and in batches of like length."""
+
+    def count(texts: list[str]) -> list[str]:
+        return [str(len(re.findall(TOKEN, t, re.ASCII))) for t in texts]
+
+    turns = _turns(spark, folder).select("conv_id", "turn", "text")
+    return models.model_batches(turns, count, "text", "reply", budget=2000).select("conv_id", "turn", "reply")

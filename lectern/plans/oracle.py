@@ -87,6 +87,40 @@ chunks AS (SELECT md5(url || '#' || chunk_ix) AS chunk_id, url, d.page_title, CA
            text, CAST(n AS INTEGER) AS n_tokens FROM kept JOIN docs d USING (url))"""
 
 
+def _cut_parts(budget: int) -> str:
+    """``parts(url, i, p, n)``: documents cut behind separators, coarse ones first, as far as the budget asks for it."""
+    levels = [f"level0 AS (SELECT url, [0] AS place, content AS p, len({_tokens('content')}) AS n FROM docs WHERE content <> '')"]
+    for k, separator in enumerate((f"{NL} || {NL}", NL, "'. '", "' '"), 1):
+        levels.append(f"""level{k} AS (
+  SELECT url, place || [CAST(j AS INTEGER)] AS place, p, len({_tokens('p')}) AS n FROM (
+    SELECT url, place, j, CASE WHEN j < len(ps) THEN ps[j] || {separator} ELSE ps[j] END AS p FROM (
+      SELECT url, place, ps, unnest(range(1, len(ps) + 1)) AS j FROM (
+        SELECT url, place, string_split(p, {separator}) AS ps FROM level{k - 1} WHERE n > {budget}))) WHERE p <> ''
+  UNION ALL SELECT url, place, p, n FROM level{k - 1} WHERE n <= {budget})""")
+    numbered = "parts AS (SELECT url, row_number() OVER (PARTITION BY url ORDER BY place) AS i, p, n FROM level4)"
+    return ",\n".join([*levels, numbered])
+
+
+RECURSIVE = f"""{_cut_parts(500)},
+sums AS (SELECT url, list_prepend(0, list(total ORDER BY i)) AS sums FROM (
+  SELECT url, i, CAST(sum(n) OVER (PARTITION BY url ORDER BY i) AS INTEGER) AS total FROM parts) GROUP BY url),
+walked AS (
+  SELECT url, 1::BIGINT AS i, 1::BIGINT AS first, NULL::BIGINT AS closed FROM sums
+  UNION ALL
+  SELECT url, i + 1,
+    CASE WHEN fits THEN first ELSE greatest(first + 1, len(list_filter(sums, lambda t: t < sums[i + 1] - greatest(0, least(50, 500 - x)))) + 1) END,
+    CASE WHEN fits THEN NULL ELSE first END
+  FROM (SELECT w.url, w.i, w.first, s.sums, s.sums[w.i + 2] - s.sums[w.i + 1] AS x,
+          s.sums[w.i + 1] - s.sums[w.first] = 0 OR s.sums[w.i + 2] - s.sums[w.first] <= 500 AS fits
+        FROM walked w JOIN sums s USING (url) WHERE w.i + 1 < len(s.sums))),
+bounds AS (
+  SELECT url, closed AS first, i - 1 AS last FROM walked WHERE closed IS NOT NULL
+  UNION ALL SELECT url, first, i FROM walked JOIN sums USING (url) WHERE i + 1 = len(sums)),
+bodies AS (SELECT b.url, b.first, trim(string_agg(p, '' ORDER BY i), {STRIP}) AS text, CAST(sum(n) AS INTEGER) AS n
+  FROM bounds b JOIN parts q ON q.url = b.url AND q.i BETWEEN b.first AND b.last GROUP BY b.url, b.first),
+chunks AS (SELECT url, text, n, row_number() OVER (PARTITION BY url ORDER BY first) - 1 AS chunk_ix FROM bodies WHERE n > 20)"""
+
+
 def _vector(name: str, source: str, key: str, text: str) -> str:
     """``name(key, b, v)``: the non-zero entries of the hashed word vectors."""
     return f"""{name}_counts AS (
@@ -268,6 +302,19 @@ SELECT * FROM (SELECT coalesce(a.url, b.url) AS url,
   CASE WHEN a.url IS NULL THEN 'insert' WHEN b.url IS NULL THEN 'delete'
        WHEN a.page_title IS DISTINCT FROM b.page_title OR a.content IS DISTINCT FROM b.content THEN 'update' END AS change_type
   FROM a FULL OUTER JOIN b ON a.url = b.url) WHERE change_type IS NOT NULL""",
+    "tree_diff": f"""WITH {LABELLED}, a AS ({THEN}), b AS ({NOW})
+SELECT * FROM (SELECT coalesce(a.url, b.url) AS url,
+  CASE WHEN a.url IS NULL THEN 'insert' WHEN b.url IS NULL THEN 'delete'
+       WHEN a.page_title IS DISTINCT FROM b.page_title OR a.content IS DISTINCT FROM b.content THEN 'update' END AS change_type
+  FROM a FULL OUTER JOIN b ON a.url = b.url) WHERE change_type IS NOT NULL""",
+    "tree_diff_cost": """WITH leaves AS (
+  SELECT CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 256 AS leaf, doc_id % 100 = 0 AS changed FROM documents),
+touched AS (SELECT DISTINCT leaf FROM leaves WHERE changed)
+SELECT 256 AS n_leaves, CAST((SELECT count(*) FROM touched) AS INTEGER) AS n_read, count(*) FILTER (changed) AS n_changed,
+  CAST(1 + count(DISTINCT leaf // 16) + count(DISTINCT leaf) FILTER (leaf // 16 IN (SELECT leaf // 16 FROM touched)) AS INTEGER) AS n_compared
+FROM leaves""",
+    "frontier_unseen": f"""WITH {LINKS} SELECT page_id, src_url, CAST(pos AS INTEGER) AS pos, url FROM resolved
+WHERE url NOT IN (SELECT url FROM resolved WHERE page_id % 2 = 0)""",
     "page_links": f"WITH {LINKS} SELECT page_id, src_url, CAST(pos AS INTEGER) AS pos, href FROM links",
     "resolve_url": f"WITH {LINKS} SELECT page_id, src_url, CAST(pos AS INTEGER) AS pos, href, url FROM resolved",
     "toc_urls": f"WITH {LINKS} SELECT page_id, src_url, CAST(pos AS INTEGER) AS pos, url FROM resolved",
@@ -276,6 +323,9 @@ ORDER BY page_id, pos LIMIT 50""",
     "frontier_distinct": f"""WITH {LINKS} SELECT url, page_id, CAST(pos AS INTEGER) AS pos FROM (
   SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id, pos) AS r FROM resolved) WHERE r = 1""",
     "page_title": f"WITH {PAGE_DOCS} SELECT page_id, page_title FROM page_docs",
+    "nested_elements": rf"""WITH {SEEN},
+texts AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '(?is)<nav\b[^>]*>(.*?)</nav>', 1), '<a href="[^"]*">([^<]*)</a>', 1) AS ts FROM seen)
+SELECT page_id, CAST(generate_subscripts(ts, 1) - 1 AS INTEGER) AS pos, {_clean_entities("unnest(ts)")} AS text FROM texts""",
     "page_content": f"WITH {PAGE_DOCS} SELECT page_id, content FROM page_docs",
     "collapse_newlines_of_pages": rf"""SELECT page_id,
   regexp_replace(regexp_replace(html, '<[^>]+>', {NL}, 'g'), '\n{{2,}}', {NL}, 'g') AS lines FROM pages""",
@@ -294,6 +344,13 @@ SELECT url, CAST(w AS INTEGER) AS "window", text, CAST(n AS INTEGER) AS n_tokens
     "text_alias": f"WITH RECURSIVE {DOCS},\n{CHUNKS} SELECT url, page_title, text AS text2 FROM chunks",
     "chunk_documents": CHUNK_QUERY,
     "chunk_with_counter": CHUNK_QUERY,
+    "recursive_chunks": f"""WITH RECURSIVE {DOCS},
+{RECURSIVE}
+SELECT md5(url || '#' || chunk_ix) AS chunk_id, url, page_title, CAST(chunk_ix AS INTEGER) AS chunk_ix, text, n AS n_tokens
+FROM chunks JOIN docs USING (url)""",
+    "recursive_parts": f"""WITH {DOCS},
+{_cut_parts(40)}
+SELECT url, CAST(i - 1 AS INTEGER) AS pos, p AS text, CAST(n AS INTEGER) AS n_tokens FROM parts""",
     "chunk_pages": f"""WITH RECURSIVE {PAGE_DOCS},
 docs AS (SELECT url, page_title, content FROM page_docs),\n{CHUNKS} SELECT * FROM chunks""",
     "chunk_key": f"WITH RECURSIVE {DOCS},\n{CHUNKS} SELECT chunk_id, url, chunk_ix FROM chunks",
@@ -302,8 +359,10 @@ docs AS (SELECT url, page_title, content FROM page_docs),\n{CHUNKS} SELECT * FRO
     "embed_questions": _sparse(QVEC, "qvec", "query_id"),
     "build_index": f"""WITH RECURSIVE {DOCS},\n{INDEX}
 SELECT chunk_id, url, page_title, text, {MODEL} AS model, 64 AS dim FROM chunks JOIN clen USING (chunk_id)""",
+    "index_vectors": _sparse(f"{DOCS},\n{INDEX}", "cvec", "chunk_id"),
     "upsert_index": _sparse(SYNCED, "cvec", "chunk_id"),
     "sync_stream_changes": _sparse(SYNCED, "cvec", "chunk_id"),
+    "sync_stream_versions": _sparse(SYNCED, "cvec", "chunk_id"),
     "sync_index": _sparse(SYNCED, "cvec", "chunk_id"),
     "sync_partitions": _sparse(SYNCED, "cvec", "chunk_id"),
     "sync_partition_cost": f"""WITH {CHANGED}
@@ -321,6 +380,7 @@ SELECT model, CAST(dim AS INTEGER) AS dim, count(*) AS n FROM want ANTI JOIN hav
 FROM pages GROUP BY 1""",
     "topk_vector": EXACT,
     "topk_vector_blocks": EXACT,
+    "topk_bounded": EXACT,
     "topk_lsh": f"""WITH {LSH},
 met AS (SELECT DISTINCT q.id AS query_id, i.id AS vec_id FROM codes q JOIN codes i ON q.t = i.t AND q.code = i.code)
 SELECT query_id, vec_id, score, CAST(rk AS INTEGER) AS rk FROM (
@@ -347,6 +407,19 @@ SELECT count(*) AS n_questions, (SELECT count(*) FROM embeddings) AS n_items, CA
 WHERE r = 1""",
     "topk_text": f"""WITH RECURSIVE {TEXT_HITS}
 SELECT query_id, CAST(rk AS INTEGER) AS rk, score, chunk_id, url, page_title, text FROM hits JOIN chunks USING (chunk_id)""",
+    "topk_lexical": f"""WITH RECURSIVE {DOCS},
+{CHUNKS},
+said AS (SELECT chunk_id, {_words("text")} AS ws FROM chunks),
+sizes AS (SELECT chunk_id, len(ws) AS l FROM said WHERE len(ws) > 0),
+counts AS (SELECT chunk_id, w, count(*) AS c FROM (SELECT chunk_id, unnest(ws) AS w FROM said) GROUP BY ALL),
+held AS (SELECT w, count(*) AS df FROM counts GROUP BY 1),
+wanted AS (SELECT DISTINCT item_id, unnest({_words("text")}) AS w FROM benchmark),
+scored AS (SELECT item_id AS query_id, chunk_id, round(sum(
+    ln(1 + ((SELECT count(*) FROM sizes) - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))
+    * c * 2.2::DOUBLE / (c + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / (SELECT avg(l) FROM sizes)))), 6) AS score
+  FROM wanted JOIN counts USING (w) JOIN held USING (w) JOIN sizes USING (chunk_id) GROUP BY ALL)
+SELECT query_id, chunk_id, score, CAST(rk AS INTEGER) AS rk FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rk FROM scored) WHERE rk <= 4""",
     "retrieve": f"""WITH RECURSIVE {RETRIEVED}
 SELECT query_id, CAST(rk AS INTEGER) AS rk, text, url, page_title FROM hits JOIN chunks USING (chunk_id)""",
     "result_rows": f"""WITH RECURSIVE {TEXT_HITS}
@@ -383,5 +456,6 @@ FROM judged WHERE question_is_relevant IS DISTINCT FROM 'yes'""",
     "answer_all": f"WITH RECURSIVE {EXTRACTED} SELECT conv_id, result, sources FROM answered",
     "answer_dialogs": _model_chain("n_turns > 1"),
     "answer_dialogs_always_rewritten": _model_chain("true"),
+    "model_batches": f"SELECT conv_id, turn, CAST(len({_tokens('text')}) AS VARCHAR) AS reply FROM conversations",
     "model_stage": f"""SELECT item_id AS query_id, text, CAST(len({_tokens('text')}) AS VARCHAR) AS reply FROM benchmark""",
 }
