@@ -36,6 +36,8 @@ LOW = 2
 PAD, END = 0xFE, 0xFF
 #: Bytes coded at once; a longer text is coded in pieces that see the bytes before.
 PIECE = 1 << 20
+#: Grams that are valued together, if their groups allow it.
+GROUP = 1 << 21
 #: Distinct words and grams that a task keeps before it passes them on.
 HELD_WORDS, HELD_GRAMS = 500_000, 4_000_000
 _COUNTS = pa.schema([("word", pa.binary()), ("gram", pa.int64()), ("n", pa.int64())])
@@ -229,21 +231,41 @@ def values(grams: DataFrame, asked: DataFrame) -> DataFrame:
     keys, n = (rows.column(c).to_numpy() for c in ("gram", "n"))
     low = [_level(keys, n, order) for order in range(LOW + 1)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches, pa.schema([("gram", pa.int64()), ("n", pa.int64()), ("asked", pa.bool_())]))
-        keys, n, wanted = (table.column(c).to_numpy() for c in ("gram", "n", "asked"))
+    def valued(keys: np.ndarray, n: np.ndarray, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Values of whole groups of grams."""
         levels = [*low, *[_level(keys[n > 0], n[n > 0], order) for order in range(LOW + 1, ORDER + 1)]]
         model = Trie([nodes for nodes, _ in levels], [contexts for _, contexts in levels])
-        keys = keys[wanted]
-        for at in range(0, len(keys), PIECE):
-            some = keys[at : at + PIECE]
+        asked = np.sort(keys[wanted])
+        for at in range(0, len(asked), PIECE):
+            some = asked[at : at + PIECE]
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(model.log_probabilities(some))], ["gram", "value"])
 
+    mask = (1 << 8 * (LOW + 1)) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Groups come one after the other; as many as make a piece are valued together."""
+        held: list[list[np.ndarray]] = [[], [], []]
+        size = 0
+        for batch in batches:
+            for column, values in zip(held, batch.columns, strict=True):
+                column.append(values.to_numpy(zero_copy_only=False))
+            size += batch.num_rows
+            if size >= GROUP:
+                columns = [np.concatenate(c) for c in held]
+                group = columns[0] >> 8 & mask
+                ends = np.flatnonzero(group[1:] != group[:-1]) + 1
+                if len(ends):
+                    yield from valued(*(c[: ends[-1]] for c in columns))
+                    columns = [c[ends[-1] :] for c in columns]
+                held, size = [[c] for c in columns], len(columns[0])
+        if size:
+            yield from valued(*(np.concatenate(c) for c in held))
+
     counted = grams.select("gram", "n", F.lit(False).alias("asked"))
     every = counted.unionByName(asked.select("gram", F.lit(0).cast("long").alias("n"), F.lit(True).alias("asked")))
     one = every.groupBy("gram").agg(F.sum("n").alias("n"), F.max("asked").alias("asked"))
     context = F.expr(f"shiftright(gram, 8) & {(1 << 8 * (LOW + 1)) - 1}L")  # such a group has at most 2^24 grams
-    return materialise(one.repartition(context).mapInArrow(run, "gram long, value double"), "values")
+    return materialise(one.repartition(context).sortWithinPartitions(context).mapInArrow(run, "gram long, value double"), "values")
 
 
 def trie(counts: DataFrame, share_bits: int = SHARE_BITS) -> Trie:
@@ -303,18 +325,21 @@ def score(
         f"id {dict(df.dtypes)[id_col]}, print long, n_tokens long, known long, base double, score double, "
         "rare array<struct<word:binary,times:int>>, tail array<struct<gram:long,times:int>>"
     )
-    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32())]))
 
     def by_head(texts: list[bytes]) -> tuple[np.ndarray, pa.Array]:
         """Sums of the values at hand; all other grams of each text and how often it has them."""
         sums, parts = np.zeros(len(texts)), [np.zeros((3, 0), dtype=np.int64)]
         for found, owner in pieces(texts):
-            at, hit = Trie._find(known_grams, found)
-            sums += np.bincount(owner[hit], known_values[at[hit]], len(texts))
-            distinct, where = np.unique(found[~hit], return_inverse=True)
-            pairs, times = np.unique(owner[~hit] * len(distinct) + where, return_counts=True)
+            # each gram is looked up once, and in order, which is what memory likes best
+            distinct, where = np.unique(found, return_inverse=True)
+            at, hit = Trie._find(known_grams, distinct)
+            value = np.zeros(len(distinct))
+            value[hit] = known_values[at[hit]]
+            sums += np.bincount(owner, value[where], len(texts))
+            others, number, rest = distinct[~hit], np.cumsum(~hit) - 1, ~hit[where]
+            pairs, times = np.unique(owner[rest] * len(others) + number[where[rest]], return_counts=True)
             if len(pairs):
-                parts.append(np.stack([pairs // len(distinct), distinct[pairs % len(distinct)], times]))
+                parts.append(np.stack([pairs // len(others), others[pairs % len(others)], times]))
         owner, gram, times = np.concatenate(parts, axis=1)  # in the order of the texts
         offsets = np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)
         listed = pa.StructArray.from_arrays([pa.array(gram), pa.array(times.astype(np.int32))], ["gram", "times"])
@@ -329,23 +354,23 @@ def score(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [lowered(t) for t in batch.column(2).to_pylist()]
-            tokens, known, base, rare = [], [], [], []
-            for text in texts:
-                seen = Counter(text.split())
-                sums, hits, others = end_score, int(ends > 0), []
-                for word, times in seen.items():
-                    value = common.get(word)
-                    if value is None:
-                        others.append({"word": word, "times": times})
-                    else:
-                        sums += times * value
-                        hits += times
-                tokens.append(seen.total() + 1)
-                known.append(hits)
-                base.append(sums)
-                rare.append(others)
+            split = [t.split() for t in texts]
+            counts = np.array([len(w) for w in split])
+            numbers: dict[bytes, int] = {}
+            flat = np.fromiter((numbers.setdefault(w, len(numbers)) for words in split for w in words), np.int64, int(counts.sum()))
+            del split
+            value = np.fromiter((common.get(w, np.nan) for w in numbers), float, len(numbers))[flat]
+            owner, found = np.repeat(np.arange(len(texts)), counts), ~np.isnan(value)
+            base = end_score + np.bincount(owner[found], value[found], len(texts))
+            known = int(ends > 0) + np.bincount(owner[found], minlength=len(texts))
+            pairs, times = np.unique(owner[~found] * len(numbers) + flat[~found], return_counts=True)
+            of, which = (pairs // len(numbers), pairs % len(numbers)) if len(pairs) else (pairs, pairs)
+            others = pa.StructArray.from_arrays(
+                [pa.array(list(numbers), pa.binary()).take(pa.array(which)), pa.array(times.astype(np.int32))], ["word", "times"]
+            )
+            rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(texts) + 1)).astype(np.int32)), others)
             scores, tails = sums_and_tails(texts)
-            columns = [pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(scores), pa.array(rare, rare_type), tails]
+            columns = [pa.array(counts + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(scores), rare, tails]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *columns], ["id", "print", "n_tokens", "known", "base", "score", "rare", "tail"]
             )
