@@ -3,9 +3,14 @@
 Texts become words; numbers, names inside a sentence and units become typed
 placeholders. Windows of the templates are hash-joined, windows that lie on one
 diagonal are evidence of one place, and what stands in the slots must be
-exchanged consistently there: a value of the question has one value in the text.
-Beside the templates, windows are joined by their plain lower-case words, so a
-verbatim copy is found whatever its words become in a template.
+exchanged consistently there: a name or unit of the question has one value in
+the text. A number may stand for two things, and then has a value for each.
+Beside the templates, windows are joined
+
+* by looser templates, in which a capitalised word at the beginning of a
+  sentence is a name as well, since questions often begin with one;
+* by their plain lower-case words, so that a verbatim copy is found whatever its
+  words become in a template.
 
 Only DataFrame functions are used.
 """
@@ -23,7 +28,9 @@ from .common import narrow
 WINDOW, LITERALS, WINDOWS = 8, 4, 6
 #: Windows of the benchmark that may be sent to all tasks (16 bytes of key and place each, and their words).
 SENT_WINDOWS = 1 << 17
-_NAME = "\x01"
+_NAME, _FIRST = "\x01", "\x02"
+#: Kinds of windows: by template, by looser template, by plain words.
+STRICT, LOOSE, EXACT = 0, 1, 2
 #: Fixed lists: number words and units.
 NUMBERS = "two three four five six seven eight nine ten eleven twelve hundred thousand million billion".split()
 UNITS = (
@@ -34,9 +41,15 @@ UNITS = (
 
 
 def words(text: Column) -> Column:
-    """Lower-case words of a text; a capitalised word that follows another within a sentence keeps a mark in front."""
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), r"([\p{Ll}\p{Nd},;)] )(\p{Lu})", f"$1{_NAME}$2")
-    return F.split(F.trim(F.regexp_replace(F.lower(marked), r"[^\p{L}\p{Nd}\x01]+", " ")), " ")
+    """Lower-case words of a text with their marks: a capitalised word has one, and another one if it follows a word of its sentence."""
+    named = F.regexp_replace(F.coalesce(text, F.lit("")), r"([\p{Ll}\p{Nd},;)] )(\p{Lu})", f"$1{_NAME}$2")
+    marked = F.regexp_replace(named, r"([^\p{L}\p{Nd}\x01]|^)(\p{Lu})", f"$1{_FIRST}$2")
+    return F.split(F.trim(F.regexp_replace(F.lower(marked), r"[^\p{L}\p{Nd}\x01\x02]+", " ")), " ")
+
+
+def unmarked(word: Column) -> Column:
+    """A word as strict templates see it."""
+    return F.replace(word, F.lit(_FIRST), F.lit(""))
 
 
 def slot(word: Column) -> Column:
@@ -48,19 +61,33 @@ def slot(word: Column) -> Column:
     )
 
 
+def loose_slot(word: Column) -> Column:
+    """The same where a capitalised word is a name anywhere."""
+    return F.coalesce(slot(unmarked(word)), F.when(word.startswith(_FIRST), "<name>"))
+
+
+def _entry(word: Column, loose: bool) -> Column:
+    """What stands for a word in a template."""
+    return F.coalesce(loose_slot(word), word) if loose else F.coalesce(slot(word), word)
+
+
 def template(found: Column) -> Column:
-    """Words with placeholders, as hashes."""
-    return F.transform(found, lambda w: F.xxhash64(F.coalesce(slot(w), w)))
+    """Words with placeholders, as hashes; the words have no marks of beginnings."""
+    return F.transform(found, lambda w: F.xxhash64(_entry(w, False)))
+
+
+def loose_template(found: Column) -> Column:
+    return F.transform(found, lambda w: F.xxhash64(_entry(w, True)))
 
 
 def plain(found: Column) -> Column:
     """Words without marks."""
-    return F.transform(found, lambda w: F.replace(w, F.lit(_NAME), F.lit("")))
+    return F.transform(found, lambda w: F.translate(w, _NAME + _FIRST, ""))
 
 
 def surface(found: Column) -> Column:
     """Plain words as hashes; a literal has the hash that it has in a template."""
-    return F.transform(found, lambda w: F.xxhash64(F.replace(w, F.lit(_NAME), F.lit(""))))
+    return F.transform(found, lambda w: F.xxhash64(F.translate(w, _NAME + _FIRST, "")))
 
 
 def _places(found: Column, length: int) -> Column:
@@ -93,26 +120,43 @@ def _sent(windows: DataFrame, small: bool) -> DataFrame:
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", bare: bool = False) -> DataFrame:
-    """(key, item, at, length, asked, exact, windows) per window, written; an item below a window's length is one.
+    """(key, item, at, length, asked, kind, windows, wide) per window, written; an item below a window's length is one.
 
-    Windows with enough literals are there as templates, and all windows with a
-    literal, or all with a word if ``bare``, as plain words (``exact``).
+    Windows with enough literals are there as templates, as looser ones where a
+    word begins a sentence, and all windows with a literal, or all with a word
+    if ``bare``, as plain words. ``windows`` is how many the item has by
+    templates or by plain words, ``wide`` by templates of either kind.
     """
     items = narrow(benchmark, item=item_col, text=text_col).distinct().select("item", words(F.col("text")).alias("words"))
     sized = items.withColumn("length", F.least(F.size("words"), F.lit(WINDOW)))
     each = sized.select(
         "item", "words", "length", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("length"))).alias("at")
-    ).select("item", "at", "length", F.slice("words", F.col("at") + 1, F.col("length")).alias("asked"))
-    literals = F.size(F.filter("asked", lambda w: slot(w).isNull() & (w != "")))
-    rich = each.where(literals >= F.least(F.lit(LITERALS), F.col("length"))).withColumn("exact", F.lit(False))
-    worded = each.where(F.forall("asked", lambda w: w != "") if bare else literals > 0)
-    exact = worded.withColumn("asked", plain(F.col("asked"))).withColumn("exact", F.lit(True))
-    keyed = rich.withColumn("key", F.xxhash64(template(F.col("asked")), F.col("length"))).unionByName(
-        exact.withColumn("key", F.xxhash64(surface(F.col("asked")), F.col("length")))
+    ).select("item", "at", "length", F.slice("words", F.col("at") + 1, F.col("length")).alias("marked"))
+    each = each.withColumn("asked", F.transform("marked", unmarked))
+
+    def literals(column: str, slot_of) -> Column:
+        return F.size(F.filter(column, lambda w: slot_of(w).isNull() & (w != "")))
+
+    def of_kind(rows: DataFrame, asked: Column, kind: int, hashed) -> DataFrame:
+        key = F.xxhash64(hashed(F.col("asked")), F.col("length"))
+        return rows.select("item", "at", "length", asked.alias("asked"), F.lit(kind).alias("kind")).withColumn("key", key)
+
+    enough = F.least(F.lit(LITERALS), F.col("length"))
+    begins = F.exists("marked", lambda w: w.startswith(_FIRST))
+    worded = each.where(F.forall("asked", lambda w: w != "") if bare else literals("asked", slot) > 0)
+    keyed = (
+        of_kind(each.where(literals("asked", slot) >= enough), F.col("asked"), STRICT, template)
+        .unionByName(of_kind(each.where(begins & (literals("marked", loose_slot) >= enough)), F.col("marked"), LOOSE, loose_template))
+        .unionByName(of_kind(worded, plain(F.col("asked")), EXACT, surface))
     )
-    whole = keyed.groupBy("item", "exact").agg(F.count("*").alias("windows")).withColumnsRenamed({"item": "__item", "exact": "__exact"})
-    joined = keyed.join(whole, F.col("item").eqNullSafe(F.col("__item")) & (F.col("exact") == F.col("__exact"))).drop("__item", "__exact")
-    return materialise(joined, "windows")
+
+    def places(name: str, *kinds: int) -> Column:
+        return F.count_distinct(F.when(F.col("kind").isin(*kinds), F.col("at"))).alias(name)
+
+    whole = keyed.groupBy(F.col("item").alias("whole")).agg(places("strict", STRICT), places("wide", STRICT, LOOSE), places("exact", EXACT))
+    joined = keyed.join(whole, F.col("item").eqNullSafe(F.col("whole")))
+    windows = F.when(F.col("kind") == EXACT, F.col("exact")).otherwise(F.col("strict")).alias("windows")
+    return materialise(joined.select("key", "item", "at", "length", "asked", "kind", windows, "wide"), "windows")
 
 
 def find(
@@ -126,57 +170,76 @@ def find(
     and one there); ``exchanged`` the slot values there that
     differ. ``print`` is a hash of the text: rows with equal ids and different
     texts are different documents, equal rows give one row. Null and empty
-    texts have no windows. Items that the templates do not find, as their
-    windows have less than four literal words (or all of a shorter item), as
-    names stand elsewhere in a sentence or as a value meets two values, are
-    found by windows of equal words, which are counted in the same way. A
-    window without any literal is no evidence unless ``bare``.
+    texts have no windows. Windows by templates are counted by themselves, and
+    with those by looser templates. Items that neither finds, as their windows
+    have less than four literal words (or all of a shorter item) or as a name
+    meets two names, are found by windows of equal words, which are counted in
+    the same way. A window without any literal is no evidence unless ``bare``.
     """
     asked = benchmark_windows(benchmark, item_col, item_text_col, bare)
     lengths = sorted(r.length for r in asked.select("length").distinct().collect())  # WINDOW at most
     small = asked.count() <= SENT_WINDOWS
-    texts = narrow(df, id=id_col, text=text_col).select("id", F.xxhash64("text").alias("print"), words(F.col("text")).alias("words"))
+    texts = narrow(df, id=id_col, text=text_col).select("id", F.xxhash64("text").alias("print"), words(F.col("text")).alias("marked"))
+    texts = texts.withColumn("words", F.transform("marked", unmarked))
     # which texts share a window at all: only hashes are exploded and joined
     keys = asked.select("key", "length").distinct()
     touched = None
     for length in lengths:
-        both = F.array_union(_keys(template(F.col("words")), length), _keys(surface(F.col("words")), length))
-        each = texts.select("id", "print", F.explode_outer(both).alias("key"))
+        every = F.array_union(_keys(template(F.col("words")), length), _keys(surface(F.col("words")), length))
+        every = F.array_union(every, _keys(loose_template(F.col("marked")), length))
+        each = texts.select("id", "print", F.explode_outer(every).alias("key"))
         met = each.join(_sent(keys.where(F.col("length") == length), small), "key", "left_semi").select("id", "print")
         touched = met if touched is None else touched.unionByName(met)
     if touched is None:
         touched = texts.select("id", "print").where("false")
-    touched = materialise(touched.distinct().withColumnsRenamed({"id": "__id", "print": "__print"}), "touched")
-    found_in = texts.join(touched, F.col("id").eqNullSafe(F.col("__id")) & (F.col("print") == F.col("__print")), "left_semi")
+    touched = materialise(touched.distinct(), "touched").alias("touched")
+    here = F.col("texts.id").eqNullSafe(F.col("touched.id")) & (F.col("texts.print") == F.col("touched.print"))
+    found_in = texts.alias("texts").join(touched, here, "left_semi")
 
-    def meetings(hashed, exact: bool) -> DataFrame:
+    def meetings(kind: int, column: str, hashed) -> DataFrame:
         met = None
-        wanted = asked.where(F.col("exact") == exact).drop("exact")
+        wanted = asked.where(F.col("kind") == kind)
         for length in lengths or [WINDOW]:
             # the outer form, as the plain one makes the optimizer compute the windows a second time
-            each = found_in.select("id", "print", F.explode_outer(_windows(F.col("words"), length, hashed)).alias("w")).select("id", "print", "w.*")
+            each = found_in.select("id", "print", F.explode_outer(_windows(F.col(column), length, hashed)).alias("w")).select("id", "print", "w.*")
             part = each.where("key IS NOT NULL").join(_sent(wanted.where(F.col("length") == length), small), "key")
             met = part if met is None else met.unionByName(part)
-        return met.select("id", "print", "item", "at", (F.col("place") - F.col("at")).alias("diagonal"), "windows", "asked", "given")
-
-    met = meetings(template, False)
-    # different templates with one hash end here
-    same = F.forall(F.zip_with("asked", "given", lambda a, b: F.coalesce(slot(a), a) == F.coalesce(slot(b), b)), lambda x: x)
-    pairs = F.filter(F.zip_with("asked", "given", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: slot(p["a"]).isNotNull())
-    along = met.where(same).groupBy("id", "print", "item", "diagonal").agg(
-        F.count_distinct("at").alias("matched"),
-        F.max("windows").alias("windows"),
-        F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"),  # an item's slots at most
-    )
-    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"])))
-    exchanged = F.size(F.filter("pairs", lambda p: p["a"] != p["b"]))
-    enough = F.col("matched") >= F.greatest(F.lit(1), F.least(F.lit(WINDOWS), F.col("windows") - 1))
-    columns = ["id", "print", "item", "matched", "windows"]
-    found = along.where(consistent & enough).select(*columns, exchanged.alias("exchanged"), F.lit(1).alias("typed"))
-    verbatim = meetings(surface, True).where(F.col("asked") == plain(F.col("given"))).groupBy("id", "print", "item", "diagonal").agg(
+        return met.select("id", "print", "item", "at", (F.col("place") - F.col("at")).alias("diagonal"), "windows", "wide", "asked", "given")
+
+    def typed(loose: bool) -> DataFrame:
+        """Windows of one template, each with the values in its slots."""
+        met = meetings(LOOSE, "marked", loose_template) if loose else meetings(STRICT, "words", template)
+        kind_of = loose_slot if loose else slot
+        # different templates with one hash end here
+        same = F.forall(F.zip_with("asked", "given", lambda a, b: _entry(a, loose) == _entry(b, loose)), lambda x: x)
+        pair = F.zip_with("asked", "given", lambda a, b: F.struct(kind_of(a).alias("kind"), unmarked(a).alias("a"), unmarked(b).alias("b")))
+        return met.where(same).select(
+            "id", "print", "item", "at", "diagonal", "windows", "wide", F.filter(pair, lambda p: p["kind"].isNotNull()).alias("pairs")
+        )
+
+    def enough(windows: str) -> Column:
+        return F.col("matched") >= F.greatest(F.lit(1), F.least(F.lit(WINDOWS), F.col(windows) - 1))
+
+    def accepted(met: DataFrame, windows: str) -> DataFrame:
+        along = met.groupBy("id", "print", "item", "diagonal").agg(
+            F.count_distinct("at").alias("matched"),
+            F.max(windows).alias("windows"),
+            F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),  # an item's slots at most
+        )
+        told = F.filter("pairs", lambda p: p["kind"] != "<number>")
+        consistent = F.size(told) == F.size(F.array_distinct(F.transform(told, lambda p: p["a"])))
+        exchanged = F.size(F.filter("pairs", lambda p: p["a"] != p["b"]))
+        return along.where(consistent & enough("windows")).select(
+            "id", "print", "item", "matched", "windows", exchanged.alias("exchanged"), F.lit(1).alias("typed")
+        )
+
+    strict = materialise(typed(False), "strict")
+    found = accepted(strict, "windows").unionByName(accepted(strict.unionByName(typed(True)), "wide"))
+    verbatim = meetings(EXACT, "words", surface).where(F.col("asked") == plain(F.col("given"))).groupBy("id", "print", "item", "diagonal").agg(
         F.count_distinct("at").alias("matched"), F.max("windows").alias("windows")
     )
-    found = found.unionByName(verbatim.where(enough).select(*columns, F.lit(0).alias("exchanged"), F.lit(0).alias("typed")))
+    columns = ["id", "print", "item", "matched", "windows"]
+    found = found.unionByName(verbatim.where(enough("windows")).select(*columns, F.lit(0).alias("exchanged"), F.lit(0).alias("typed")))
     best = found.groupBy("id", "print", "item").agg(
         F.max(F.struct("typed", "matched", (-F.col("exchanged")).alias("kept"), "windows")).alias("b")  # plain words only if no template is found
     )
@@ -188,6 +251,7 @@ def find(
 
 def clean(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` in which no item is found, columns unchanged."""
-    found = find(df, benchmark, id_col, text_col, bare=True).select(F.col(id_col).alias("__id"), F.col("print").alias("__print")).distinct()
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__print"))
-    return df.join(found, same, "left_anti")
+    found = find(df, benchmark, id_col, text_col, bare=True).select(F.col(id_col).alias("id"), "print").distinct().alias("found")
+    rows = df.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("print")).alias("rows")
+    same = F.col("rows.id").eqNullSafe(F.col("found.id")) & (F.col("rows.print") == F.col("found.print"))
+    return rows.join(found, same, "left_anti").select("row.*")

@@ -98,14 +98,52 @@ def _in(word: str, listed: str) -> str:
 
 
 def _template_words(text: str) -> str:
-    marked = f"regexp_replace(coalesce({text}, ''), '([\\p{{Ll}}\\p{{Nd}},;)] )(\\p{{Lu}})', '\\1' || chr(1) || '\\2', 'g')"
-    return f"string_split(trim(regexp_replace(lower({marked}), '[^\\p{{L}}\\p{{Nd}}\\x01]+', ' ', 'g')), ' ')"
+    """Words with a mark (1) in front of names within a sentence and another (2) of other capitalised words."""
+    named = f"regexp_replace(coalesce({text}, ''), '([\\p{{Ll}}\\p{{Nd}},;)] )(\\p{{Lu}})', '\\1' || chr(1) || '\\2', 'g')"
+    marked = f"regexp_replace({named}, '([^\\p{{L}}\\p{{Nd}}\\x01]|^)(\\p{{Lu}})', '\\1' || chr(2) || '\\2', 'g')"
+    return f"string_split(trim(regexp_replace(lower({marked}), '[^\\p{{L}}\\p{{Nd}}\\x01\\x02]+', ' ', 'g')), ' ')"
 
 
+_UNMARKED = "replace(x, chr(2), '')"
+_PLAIN = f"replace({_UNMARKED}, chr(1), '')"
 _SLOT = (
-    "CASE WHEN starts_with(x, chr(1)) THEN '<name>' WHEN x >= '0' AND x < ':' OR "
-    + _in("x", _NUMBERS) + " THEN '<number>' WHEN " + _in("x", _UNITS) + " THEN '<unit>' END"
+    f"CASE WHEN starts_with({_UNMARKED}, chr(1)) THEN '<name>' WHEN {_UNMARKED} >= '0' AND {_UNMARKED} < ':' OR "
+    + _in(_UNMARKED, _NUMBERS) + " THEN '<number>' WHEN " + _in(_UNMARKED, _UNITS) + " THEN '<unit>' END"
 )
+_LOOSE = f"coalesce({_SLOT}, CASE WHEN starts_with(x, chr(2)) THEN '<name>' END)"
+
+
+def _all(words: str, each: str) -> str:
+    return f"list_transform({words}, lambda x: {each})"
+
+
+def _key(words: str) -> str:
+    """The key of a window: by template (kind 0), by looser template (1), by plain words (2)."""
+    strict, loose = _all(words, f"coalesce({_SLOT}, {_UNMARKED})"), _all(words, f"coalesce({_LOOSE}, x)")
+    return f"CASE kind WHEN 0 THEN {strict} WHEN 1 THEN {loose} ELSE {_all(words, _PLAIN)} END"
+
+
+def _slots(slot_of: str) -> str:
+    kinds, a, b = _all("asked", slot_of), _all("asked", _UNMARKED), _all("given", _UNMARKED)
+    return f"list_transform(range(1, len(asked) + 1), lambda i: [{kinds}[i], {a}[i], {b}[i]])"
+
+
+def _accepted(name: str, kinds: str, windows: str) -> str:
+    """``name``: diagonals with enough windows of the kinds, whose names and units are exchanged one for one."""
+    return f"""{name}_pairs AS (
+  SELECT DISTINCT doc_id, item_id, diagonal, pair[1] AS slot, pair[2] AS a, pair[3] AS b
+  FROM (SELECT doc_id, item_id, diagonal, unnest(pairs) AS pair FROM m WHERE kind IN {kinds}) WHERE pair[1] IS NOT NULL
+), {name}_told AS (
+  SELECT doc_id, item_id, diagonal, count(*) FILTER (slot <> '<number>') = count(DISTINCT a) FILTER (slot <> '<number>') AS fine,
+    count(*) FILTER (a <> b) AS exchanged FROM {name}_pairs GROUP BY ALL
+), {name} AS (
+  SELECT doc_id, item_id, matched, windows, coalesce(exchanged, 0) AS exchanged, 1 AS typed
+  FROM (SELECT doc_id, item_id, diagonal, count(DISTINCT spot) AS matched, max({windows}) AS windows FROM m WHERE kind IN {kinds} GROUP BY ALL)
+    LEFT JOIN {name}_told USING (doc_id, item_id, diagonal)
+  WHERE coalesce(fine, true) AND matched >= greatest(1, least(6, windows - 1))
+)"""
+
+
 OP9 = f"""
 WITH i AS (SELECT item_id, {_template_words('text')} AS w FROM benchmark
 ), d AS (SELECT doc_id, {_template_words('text')} AS w FROM documents
@@ -113,28 +151,29 @@ WITH i AS (SELECT item_id, {_template_words('text')} AS w FROM benchmark
   SELECT item_id, spot, length, w[spot + 1 : spot + length] AS asked
   FROM (SELECT *, least(len(w), 8) AS length, unnest(range(0, len(w) - least(len(w), 8) + 1)) AS spot FROM i)
 ), ik AS (
-  SELECT *, list_transform(asked, lambda x: coalesce({_SLOT}, x)) AS key, count(*) OVER (PARTITION BY item_id) AS windows FROM iw
-  WHERE len(list_filter(asked, lambda x: ({_SLOT}) IS NULL AND x <> '')) >= least(4, length)
+  SELECT *, {_key('asked')} AS key FROM iw, (VALUES (0), (1), (2)) k(kind)
+  WHERE CASE kind WHEN 0 THEN len(list_filter(asked, lambda x: ({_SLOT}) IS NULL AND x <> '')) >= least(4, length)
+    WHEN 1 THEN len(list_filter(asked, lambda x: starts_with(x, chr(2)))) > 0
+      AND len(list_filter(asked, lambda x: ({_LOOSE}) IS NULL AND x <> '')) >= least(4, length)
+    ELSE len(list_filter(asked, lambda x: {_UNMARKED} = '')) = 0 END
+), whole AS (
+  SELECT item_id, count(DISTINCT spot) FILTER (kind = 0) AS strict, count(DISTINCT spot) FILTER (kind < 2) AS wide,
+    count(DISTINCT spot) FILTER (kind = 2) AS exact FROM ik GROUP BY 1
 ), dw AS (
   SELECT doc_id, place, w[place + 1 : place + length] AS given
   FROM (SELECT *, unnest(range(0, len(w) - length + 1)) AS place FROM d, (SELECT DISTINCT length FROM ik) WHERE len(w) >= length)
 ), m AS (
-  SELECT doc_id, item_id, place - spot AS diagonal, spot, windows, list_zip(asked, given) AS pairs
-  FROM (SELECT *, list_transform(given, lambda x: coalesce({_SLOT}, x)) AS key FROM dw) JOIN ik USING (key)
-), s AS (
-  SELECT DISTINCT doc_id, item_id, diagonal, pair[1] AS a, pair[2] AS b
-  FROM (SELECT doc_id, item_id, diagonal, unnest(pairs) AS pair FROM m)
-  WHERE list_transform([pair[1]], lambda x: {_SLOT})[1] IS NOT NULL
-), c AS (
-  SELECT doc_id, item_id, diagonal, count(*) = count(DISTINCT a) AS fine, count(*) FILTER (a <> b) AS exchanged FROM s GROUP BY ALL
-), f AS (
-  SELECT doc_id, item_id, diagonal, count(DISTINCT spot) AS matched, max(windows) AS windows FROM m GROUP BY ALL
-), g AS (
-  SELECT doc_id, item_id, matched, windows, coalesce(exchanged, 0) AS exchanged
-  FROM f LEFT JOIN c USING (doc_id, item_id, diagonal) WHERE coalesce(fine, true) AND matched >= greatest(1, least(6, windows - 1))
-)
-SELECT doc_id, item_id, max(matched) AS matched, max(windows) AS windows, max_by(exchanged, matched * 1000 - exchanged)::BIGINT AS exchanged
-FROM g GROUP BY doc_id, item_id
+  SELECT doc_id, item_id, kind, place - spot AS diagonal, spot, strict, wide, exact,
+    CASE kind WHEN 0 THEN {_slots(_SLOT)} WHEN 1 THEN {_slots(_LOOSE)} END AS pairs
+  FROM (SELECT *, {_key('given')} AS key FROM dw, (VALUES (0), (1), (2)) k(kind)) JOIN ik USING (kind, key) JOIN whole USING (item_id)
+), {_accepted('tight', '(0)', 'strict')}, {_accepted('broad', '(0, 1)', 'wide')},
+verbatim AS (
+  SELECT doc_id, item_id, matched, windows, 0 AS exchanged, 0 AS typed
+  FROM (SELECT doc_id, item_id, diagonal, count(DISTINCT spot) AS matched, max(exact) AS windows FROM m WHERE kind = 2 GROUP BY ALL)
+  WHERE matched >= greatest(1, least(6, windows - 1))
+), g AS (SELECT * FROM tight UNION ALL SELECT * FROM broad UNION ALL SELECT * FROM verbatim)
+SELECT doc_id, item_id, matched, windows, exchanged::BIGINT AS exchanged FROM g
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY typed DESC, matched DESC, exchanged, windows DESC) = 1
 """
 
 _CRC32 = (

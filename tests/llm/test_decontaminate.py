@@ -88,3 +88,70 @@ def test_one_edited_value_in_a_long_copy(frame, spark):
     tail = " Then they went home by the river and spoke of nothing else until the evening came."
     edited = (ITEM + tail).replace("12 coins", "13 coins")
     assert set(found(frame, spark, edited, items=(ITEM + tail,))) == {(0, 0)}
+
+
+def test_names_at_beginnings_and_numbers_of_two_things(frame, spark):
+    items = ("Tom has 5 marbles. Sam gives him 3 more.", "Mix 2 cups of flour and 2 eggs in the old bowl, then wait for an hour.")
+    texts = (
+        "So: Anna has 8 marbles. Lily gives him 7 more. The end.",
+        "Mix 3 cups of flour and 4 eggs in the old bowl, then wait for an hour.",
+        "Anna has 8 marbles. Lily keeps them in a box at home for the winter.",
+    )
+    assert set(found(frame, spark, *texts, items=items)) == {(0, 0), (1, 1)}
+
+
+def planted(rng):
+    """Questions with names at beginnings and within, numbers and units; each comes back in a text with others."""
+    people, units = ["Anna", "Boris", "Clara", "Dmitri", "Elena", "Farid", "Grete", "Hugo"], ["kg", "miles", "minutes", "liters"]
+    verbs, things = ["carries", "sells", "counts", "paints", "finds", "hides"], ["apples", "bricks", "letters", "lamps", "ropes", "stones"]
+    items, texts = [], []
+    for _ in range(60):
+        v, t, w = rng.sample(verbs, 2), rng.sample(things, 2), rng.sample("quickly slowly gladly sadly rarely often".split(), 2)
+
+        def question():
+            a, b = rng.sample(people, 2)
+            n, m, u = rng.randint(2, 99), rng.randint(2, 99), rng.choice(units)
+            return (
+                f"{a} {v[0]} {n} {t[0]} {w[0]} on the way to the market. {b} {v[1]} {m} {t[1]} there and walks for {n} {u} {w[1]}. "
+                f"How many {t[0]} does {a} have at the end?"
+            )
+
+        items.append(question())
+        texts.append(f"Some talk before it came up. {question()} And so they went on.")
+    return items, texts
+
+
+def test_recall_on_other_parameters(frame, spark):
+    """Names stand in several places of a question; the same texts with other words in between are left alone."""
+    import random
+
+    items, texts = planted(random.Random(7))
+    got = found(frame, spark, *texts, items=items)
+    assert sum((i, i) in got for i in range(60)) >= 54
+    clean = [" ".join(w if k % 4 else "other" for k, w in enumerate(t.split())) for t in texts]
+    assert not found(frame, spark, *clean, items=items)
+
+
+def test_sql_agrees_on_hard_cases(frame, spark):
+    """The SQL of the query over a table of copies, exchanges, tables of numbers, layouts and beginnings."""
+    import random
+
+    import duckdb
+
+    from lectern.llm.oracle import OP9
+
+    items, texts = planted(random.Random(8))
+    items = [*items[:10], ITEM, "What is 12 times 34?", "Tom has 5 marbles. Sam gives him 3 more.", " ".join(map(str, range(40))), "the sky", "", "...", "A B C D E F G H I"]
+    texts = [*texts[:10], SWAPPED, ITEM.upper(), ITEM.replace(" Anna", "\nAnna"), "so What is 12 times 34? yes", "Anna has 8 marbles. Lily gives him 7 more.",
+             "so " + " ".join(map(str, range(5, 30))), "Blue is The Sky", "", "a b c d e f g h i", *items, "I I I am. Who? WHO-ELSE 3.Anna"]
+    docs = frame(rows(*texts))
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = decontaminate.find(docs, benchmark, bare=True).groupBy("doc_id", "item_id").agg({"matched": "max", "windows": "max", "exchanged": "min"})
+    got = sorted((r.doc_id, r.item_id, r["max(matched)"], r["max(windows)"], r["min(exchanged)"]) for r in got.collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", list(enumerate(items)))
+    want = con.execute(f"SELECT doc_id, item_id, matched, windows, exchanged FROM ({OP9})").fetchall()
+    assert got == sorted(want) and len(got) > 25
