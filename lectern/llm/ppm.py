@@ -36,6 +36,8 @@ LOW = 2
 PAD, END = 0xFE, 0xFF
 #: Bytes coded at once; a longer text is coded in pieces that see the bytes before.
 PIECE = 1 << 20
+#: Bytes of texts that are looked at together.
+SLICE = 4 << 20
 #: Grams that are valued together, if their groups allow it.
 GROUP = 1 << 21
 #: Distinct words and grams that a task keeps before it passes them on.
@@ -48,6 +50,19 @@ def lowered(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "replace").lower()
 
 
+def slices(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """(place, lower-case texts) of a column, about ``SLICE`` bytes at a time."""
+    texts, at, size = [], 0, 0
+    for value in column:
+        texts.append(lowered(value.as_py()))
+        size += len(texts[-1])
+        if size >= SLICE:
+            yield at, texts
+            texts, at, size = [], at + len(texts), 0
+    if texts:
+        yield at, texts
+
+
 def pieces(texts: Iterable[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(grams, number of the text) for groups of about ``PIECE`` bytes; a gram is a byte and the ``ORDER`` before it."""
     start, held, owners, size = bytes([PAD]) * ORDER, [], [], 0
@@ -98,8 +113,7 @@ def count(df: DataFrame, text_col: str = "text") -> DataFrame:
             columns = [pa.nulls(len(keys[0]), pa.binary()), pa.array(keys[0]), pa.array(counts[0])]
             return pa.RecordBatch.from_arrays(columns, schema=_COUNTS)
 
-        for batch in batches:
-            texts = [lowered(t) for t in batch.column(0).to_pylist()]
+        for _, texts in (x for batch in batches for x in slices(batch.column(0))):
             for text in texts:
                 words.update(text.split())
                 words[b""] += 1
@@ -352,8 +366,7 @@ def score(
     sums_and_tails = by_head if model is None else by_trie
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [lowered(t) for t in batch.column(2).to_pylist()]
+        for batch, at, texts in ((b, at, texts) for b in batches for at, texts in slices(b.column(2))):
             split = [t.split() for t in texts]
             counts = np.array([len(w) for w in split])
             numbers: dict[bytes, int] = {}
@@ -372,7 +385,7 @@ def score(
             scores, tails = sums_and_tails(texts)
             columns = [pa.array(counts + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(scores), rare, tails]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *columns], ["id", "print", "n_tokens", "known", "base", "score", "rare", "tail"]
+                [*(batch.column(c).slice(at, len(texts)) for c in (0, 1)), *columns], ["id", "print", "n_tokens", "known", "base", "score", "rare", "tail"]
             )
 
     rows = narrow(df, id=id_col, text=text_col).select("id", F.xxhash64("text").alias("print"), "text")

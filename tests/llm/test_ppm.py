@@ -79,6 +79,7 @@ def test_every_gram_counts(frame, head_bits, group, monkeypatch):
     """However small a gram's share, its count is in the score: values at hand or joined give the scores of the whole trie."""
     monkeypatch.setattr(ppm, "PIECE", 64)
     monkeypatch.setattr(ppm, "GROUP", group)
+    monkeypatch.setattr(ppm, "SLICE", 150)
     rng = random.Random(3)
     made = ["".join(rng.choices("abcdeÄ \nB", k=rng.randint(0, 70))) for _ in range(40)] + ["", "zzz", None]
     by_hand = ByHand(made[:25], 60)
