@@ -11,17 +11,20 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import bounded_sample, narrow
+from ..session import materialise
+from .common import narrow
 
 UNKNOWN = "und"
-#: Bytes of dictionary per language, training rows per language, characters taken from each.
-DICT_BYTES, SAMPLE_ROWS, SAMPLE_CHARS = 32 * 1024, 200, 4000
-#: More labels than this are no languages; fitting refuses them.
-MAX_LANGUAGES = 256
+#: Bytes of dictionary per language, and the labelled rows that fill it at most.
+DICT_BYTES, SAMPLE_ROWS = 32 * 1024, 200
+#: Languages up to which a task prepares all dictionaries; with more it loads each as it is used.
+PREPARED = 64
 #: A win by less than this share of the runner-up's size is rejected.
 MIN_MARGIN = 0.01
 BLOCK, LEVEL = 4096, 6
@@ -38,6 +41,31 @@ def signature(text: str) -> bytes:
     return " ".join(dict.fromkeys(words)).encode("utf-8", "replace")
 
 
+def _signatures(size: int):
+    """Rows (lang, h, text) to (lang, h, words): of the distinct words of a whole text what a dictionary can hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [signature(text.as_py())[:size] for text in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.binary())], ["lang", "h", "words"])
+
+    return run
+
+
+def _filled(size: int):
+    """The dictionary of one language from its sampled rows."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        words = b""
+        for row in sorted(zip(rows.column("h").to_pylist(), rows.column("words").to_pylist(), strict=True)):
+            words += row[1] + b" "
+            if len(words) >= size:
+                break
+        return pa.table({"lang": rows.column("lang").slice(0, 1), "n": rows.column("n").slice(0, 1), "words": pa.array([words[:size]], pa.binary())})
+
+    return run
+
+
 def fit(
     df: DataFrame,
     text_col: str = "text",
@@ -45,40 +73,30 @@ def fit(
     id_col: str = "doc_id",
     dict_bytes: int = DICT_BYTES,
     sample_rows: int = SAMPLE_ROWS,
-    sample_chars: int = SAMPLE_CHARS,
 ) -> list[tuple[str, int, bytes]]:
     """(language, labelled rows, dictionary) for each non-null label of ``df``.
 
-    A dictionary is filled from a bounded sample: the ``sample_rows`` rows of
-    the language with the smallest hash, ``sample_chars`` characters of each
-    from a place that the hash picks. What the driver gets is bounded by these
-    parameters and ``MAX_LANGUAGES``. Rows without text or label teach nothing;
-    without any, the model is empty.
+    A dictionary is filled with the distinct words of whole texts: of the
+    ``sample_rows`` rows of the language with the smallest hash. They are read
+    in tasks, a group per language of at most ``sample_rows * dict_bytes``; the
+    driver gets the dictionaries, however many labels there are. Rows without
+    text or label teach nothing; without any, the model is empty.
     """
     labelled = narrow(df, key=id_col, text=text_col, lang=lang_col).where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not counts:
-        return []
+    counts = materialise(labelled.groupBy("lang").agg(F.count("*").alias("n")), "labels")
     # twice the wanted share, so that enough rows pass; what is too much is cut after sorting
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, 2.0 * sample_rows / n)])
-    picked = labelled.withColumn("h", F.xxhash64("key", "text")).where(
-        F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)
-    )
-    room = F.greatest(F.char_length("text") - sample_chars, F.lit(0)) + 1
-    piece = F.substring(F.col("text"), (F.pmod(F.shiftright("h", 30), room) + 1).cast("int"), F.lit(sample_chars))
-    rows = bounded_sample(picked.select("lang", "h", piece.alias("piece")), 4 * sample_rows * len(counts), "h", "lang", "piece")
-    model = []
-    pieces = rows.collect()
-    for lang in sorted(counts):
-        filled = b""
-        for r in [r for r in pieces if r.lang == lang][:sample_rows]:
-            filled += signature(r.piece) + b" "
-            if len(filled) >= dict_bytes:
-                break
-        model.append((lang, counts[lang], filled[:dict_bytes]))
-    return model
+    share = F.lit(2.0 * sample_rows) / F.col("n") * (1 << 30)
+    hashed = labelled.withColumn("h", F.xxhash64("key", "text")).join(counts, "lang")
+    picked = hashed.where(F.pmod("h", F.lit(1 << 30)) < share).select("lang", "h", "text")
+    kind = dict(counts.dtypes)["lang"]
+    words = picked.mapInArrow(_signatures(dict_bytes), f"lang {kind}, h long, words binary")
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "words"))
+    sample = words.withColumn("place", first).where(F.col("place") <= sample_rows).join(counts, "lang").select("lang", "n", "h", "words")
+    made = sample.groupBy("lang").applyInArrow(_filled(dict_bytes), f"lang {kind}, n long, words binary").collect()
+    model = {r.lang: (r.lang, r.n, bytes(r.words)) for r in made}
+    # a label whose rows all missed the sample is known by its number of rows alone
+    model |= {r.lang: (r.lang, r.n, b"") for r in counts.collect() if r.lang not in model}
+    return [model[lang] for lang in sorted(model)]
 
 
 def classifier(model: list[tuple[str, int, bytes]], min_margin: float = MIN_MARGIN):
@@ -88,7 +106,8 @@ def classifier(model: list[tuple[str, int, bytes]], min_margin: float = MIN_MARG
         extra = {}
         if len(words) >= 8:  # the coder takes no shorter dictionary
             known = zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            known.precompute_compress(level=LEVEL)
+            if len(model) <= PREPARED:
+                known.precompute_compress(level=LEVEL)
             extra = {"dict_data": known}
         coder = zstandard.ZstdCompressor(
             level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False, **extra

@@ -102,7 +102,9 @@ def assign(df: DataFrame, shards: int, text_col: str = "text") -> DataFrame:
     """
     text = F.col(f"`{text_col}`")
     measured = materialise(df.select(_group(text).alias("group"), _size(text).alias("size")), "sizes")
-    return place(df, fit(measured, shards), _group(text))
+    kept = F.struct([F.col(f"`{c}`") for c in df.columns if c != "shard"]).alias("row")
+    rows = df.select(kept, _group(text).alias("group"))
+    return place(rows, fit(measured, shards), F.col("group")).select("row.*", "shard")
 
 
 def shard(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
