@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..functions.html import ANY_TAG
 from ..functions.text import TOKEN, collapse_newlines, n_tokens, paragraphs, strip_ws
 from ..operators import (
-    answers, bounded, chunks, dialog, digests, embedding, index, ivf, lexical, models, pages, search, seen, splitting, store,
+    answers, bounded, chunks, dialog, digests, embedding, index, ivf, lexical, models, pages, search, seen, splitting, store, subwords,
 )
 from ..schemas import DOCUMENTS, INDEX, INPUTS, RAW_DOCUMENTS
 from ..session import materialise, work_path
@@ -26,6 +26,8 @@ from . import answering, ingest
 # The given pages have no class or id to select by.
 LINKS, TITLE, CONTENT = "nav", "h1", "article"
 GATE = 0.7
+#: A public vocabulary, where it is installed.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -256,6 +258,12 @@ def token_count(spark, folder):
     return _documents(spark, folder).select("url", n_tokens(F.col("content")).alias("n_tokens"))
 
 
+@_query
+def subword_count(spark, folder):
+    """Tokens of a byte-pair vocabulary, each distinct word merged once."""
+    return subwords.subword_counts(_documents(spark, folder), subwords.read_ranks(spark, VOCABULARY), "url", "content")
+
+
 @_query
 def paragraph_rows(spark, folder):
     return _documents(spark, folder).select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..functions.prompts import SUBJECT, TEMPLATES
 from ..functions.text import BLANKS
 from ..operators.answers import REFUSAL
-from .catalog import GATE
+from .catalog import GATE, VOCABULARY
 
 
 def _quoted(text: str) -> str:
@@ -288,6 +288,20 @@ EXACT = """SELECT query_id, vec_id, score, CAST(rk AS INTEGER) AS rk FROM (
            round(list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]), 6) AS score
     FROM embeddings q CROSS JOIN embeddings i)) WHERE rk <= 4"""
 
+#: A mark before the last blank of each run stands for the look-ahead. Words are lists of bytes, joined one pair a round.
+SUBWORDS = rf"""ranks AS (SELECT hex(from_base64(token)) AS token, rank FROM read_csv('{VOCABULARY}', delim=' ', header=false, quote='', escape='',
+  columns={{'token': 'VARCHAR', 'rank': 'INTEGER'}})),
+said AS (SELECT url, unnest(regexp_extract_all(part, {_quoted(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+")})) AS word FROM (
+  SELECT url, unnest(string_split(regexp_replace(content, '(\s)(\S)', chr(1) || '\1\2', 'g'), chr(1))) AS part FROM docs)),
+merging AS (
+  SELECT word, list_transform(range(1, octet_length(encode(word)) + 1), lambda i: substr(hex(encode(word)), 2 * i - 1, 2)) AS parts FROM (SELECT DISTINCT word FROM said)
+  UNION ALL
+  SELECT word, parts[: spot - 1] || [parts[spot] || parts[spot + 1]] || parts[spot + 2 :] FROM (
+    SELECT word, parts, min_by(spot, rank::BIGINT * 100000 + spot) AS spot FROM (
+      SELECT word, parts, unnest(range(1, len(parts))) AS spot FROM merging) JOIN ranks ON token = parts[spot] || parts[spot + 1]
+    GROUP BY word, parts)),
+sizes AS (SELECT word, min(len(parts)) AS n FROM merging GROUP BY word)"""
+
 ORACLE: dict[str, str] = {
     "table_scan": "SELECT * FROM documents",
     "page_source": "SELECT * FROM pages",
@@ -331,6 +345,9 @@ SELECT page_id, CAST(generate_subscripts(ts, 1) - 1 AS INTEGER) AS pos, {_clean_
   regexp_replace(regexp_replace(html, '<[^>]+>', {NL}, 'g'), '\n{{2,}}', {NL}, 'g') AS lines FROM pages""",
     "strip_pages": f"SELECT page_id, trim(regexp_replace(html, '<[^>]+>', {NL}, 'g'), {STRIP}) AS lines FROM pages",
     "token_count": f"WITH {DOCS} SELECT url, CAST(len({_tokens('content')}) AS INTEGER) AS n_tokens FROM docs",
+    "subword_count": f"""WITH RECURSIVE {DOCS},
+{SUBWORDS}
+SELECT d.url, CAST(coalesce(sum(n), 0) AS INTEGER) AS n_tokens FROM docs d LEFT JOIN said USING (url) LEFT JOIN sizes USING (word) GROUP BY 1""",
     "paragraph_rows": f"WITH {DOCS},\n{PARAS} SELECT url, CAST(i - 1 AS INTEGER) AS pos, p AS paragraph FROM paras",
     "merged_paragraphs": f"""WITH RECURSIVE {DOCS},\n{BLOCKS} SELECT url,
   CAST(row_number() OVER (PARTITION BY url ORDER BY g) - 1 AS INTEGER) AS block, text, n AS n_tokens FROM blocks""",
