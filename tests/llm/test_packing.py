@@ -14,8 +14,11 @@ from lectern.llm.packing import Packer, Piece, reach
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+WHOLE = Tokenizer.from_file(TOKENIZER)
+
+
 def ids_of(text):
-    return np.array(Tokenizer.from_file(TOKENIZER).encode(text or "", add_special_tokens=False).ids + [0], dtype="<u4")
+    return np.array(WHOLE.encode(text or "", add_special_tokens=False).ids + [0], dtype="<u4")
 
 
 def check(made, texts, capacity=1024):
