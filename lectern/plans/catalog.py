@@ -19,7 +19,7 @@ from ..operators import (
 )
 from ..schemas import DOCUMENTS, INDEX, INPUTS, RAW_DOCUMENTS
 from ..session import materialise, work_path
-from ..sources import tables
+from ..sources import archive, tables
 from ..streaming import state, sync
 from . import answering, ingest
 
@@ -120,6 +120,14 @@ def page_source(spark, folder):
     return _pages(spark, folder)
 
 
+@_query
+def archived_pages(spark, folder):
+    """Pages written as archive files, every fifth with another status, and read back."""
+    path, status = work_path(spark, "archive"), F.when(F.col("page_id") % 5 == 0, 404).otherwise(200)
+    archive.write_archive(_table(spark, folder, "pages"), path, status)
+    return archive.archived_pages(archive.read_archive(spark, path))
+
+
 @_query
 def documents_from_pages(spark, folder):
     return pages.documents_from_pages(_pages(spark, folder), TITLE, CONTENT)

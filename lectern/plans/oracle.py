@@ -305,6 +305,7 @@ sizes AS (SELECT word, min(len(parts)) AS n FROM merging GROUP BY word)"""
 ORACLE: dict[str, str] = {
     "table_scan": "SELECT * FROM documents",
     "page_source": "SELECT * FROM pages",
+    "archived_pages": "SELECT * FROM pages WHERE page_id % 5 <> 0",
     "documents_from_pages": f"WITH {PAGE_DOCS} SELECT url, page_title, content FROM page_docs",
     "load_pages": f"WITH {PAGE_DOCS} SELECT url, page_title, content FROM page_docs WHERE content IS NOT NULL",
     "overwrite_table": CHUNK_QUERY,
