@@ -39,21 +39,24 @@ class CharacterClass(NamedTuple):
     bits: float
 
 
-#: The first class that a candidate matches decides. Words in one case are text, whatever their entropy.
+#: The first class that a candidate matches decides. Words in one case are text, whatever their entropy. The bits are what 95 of
+#: 100 random windows of the class's smallest alphabet have: 16, 32, 52, 62 and 64 characters.
 CLASSES = (
     CharacterClass("digits", r"[0-9_=+/-]+", math.inf),
     CharacterClass("word", r"[a-z_=+/-]+|[A-Z_=+/-]+|[A-Z][a-z_=+/-]+", math.inf),
     CharacterClass("hex", r"[0-9a-f]+|[0-9A-F]+", 3.0),
-    CharacterClass("letters", r"[A-Za-z]+", 4.0),
+    CharacterClass("one case", r"[a-z0-9]+|[A-Z0-9]+", 3.46),
+    CharacterClass("letters", r"[A-Za-z]+", 3.7),
     CharacterClass("alnum", r"[A-Za-z0-9]+", 3.6),
-    CharacterClass("base64", r"[A-Za-z0-9+/_=-]+", 3.8),
+    CharacterClass("base64", r"[A-Za-z0-9+/_=-]+", 3.75),
 )
-#: Candidates that look random and are no secrets: identifiers, slugs, checksums that are named as such.
+#: Candidates that look random and are no secrets: identifiers, slugs, checksums that are named as such, names of capitalised words.
 ALLOWED = (
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
     r"(sha1|sha256|sha384|sha512|md5)[-=_][A-Za-z0-9+/=_-]+",
     r"[A-Za-z]+([-_/][A-Za-z]+)+[-_/]?",
     r"(.)\1+",
+    r"[A-Z]?[a-z]{2,}[0-9]{0,2}([A-Z]{1,4}[a-z]{2,}[0-9]{0,2}|By|To|Of|In|On|At|Is|Or|As)+",
 )
 _CANDIDATES = re.compile(rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}")
 #: Parts of a candidate, and the characters whose maximal runs within it are scanned by themselves.
