@@ -50,13 +50,15 @@ CLASSES = (
     CharacterClass("alnum", r"[A-Za-z0-9]+", 3.6),
     CharacterClass("base64", r"[A-Za-z0-9+/_=-]+", 3.75),
 )
+#: A word in one case or capitalised, or several capitalised ones.
+_NAME = r"[A-Z]?[a-z]+|[A-Z]+|[A-Z]?[a-z]{2,}[0-9]{0,2}(?:[A-Z]{1,4}[a-z]{2,}[0-9]{0,2}|By|To|Of|In|On|At|Is|Or|As)+"
 #: Candidates that look random and are no secrets: identifiers, slugs, checksums that are named as such, names of capitalised words.
 ALLOWED = (
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
     r"(sha1|sha256|sha384|sha512|md5)[-=_][A-Za-z0-9+/=_-]+",
-    r"[A-Za-z]+([-_/][A-Za-z]+)+[-_/]?",
+    rf"({_NAME})([-_/]({_NAME}))+[-_/]?",
     r"(.)\1+",
-    r"[A-Z]?[a-z]{2,}[0-9]{0,2}([A-Z]{1,4}[a-z]{2,}[0-9]{0,2}|By|To|Of|In|On|At|Is|Or|As)+",
+    _NAME,
 )
 _CANDIDATES = re.compile(rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}")
 #: Parts of a candidate, and the characters whose maximal runs within it are scanned by themselves.
