@@ -103,6 +103,17 @@ def _keys(hashes: Column, length: int) -> Column:
     return let(hashes, lambda h: F.transform(_places(h, length), lambda i: _key(h, i, length)))
 
 
+def _probes(marked: Column, length: int) -> Column:
+    """Keys that a text is looked up by: of all its windows, and by looser template of those that a sentence begins."""
+
+    def begun(h: Column) -> Column:
+        places = F.filter(_places(h, length), lambda i: F.get(marked, i).startswith(_FIRST))
+        return F.transform(places, lambda i: _key(h, i, length))
+
+    plain_ones = let(F.transform(marked, unmarked), lambda w: F.array_union(_keys(template(w), length), _keys(surface(w), length)))
+    return F.concat(plain_ones, let(loose_template(marked), begun))
+
+
 def _windows(found: Column, length: int, hashed=template) -> Column:
     """Place, key and words of each window."""
 
@@ -171,7 +182,8 @@ def find(
     differ. ``print`` is a hash of the text: rows with equal ids and different
     texts are different documents, equal rows give one row. Null and empty
     texts have no windows. Windows by templates are counted by themselves, and
-    with those by looser templates. Items that neither finds, as their windows
+    with those by looser templates, in texts that have any window of an item,
+    by looser template one that begins with the beginning of a sentence. Items that neither finds, as their windows
     have less than four literal words (or all of a shorter item) or as a name
     meets two names, are found by windows of equal words, which are counted in
     the same way. A window without any literal is no evidence unless ``bare``.
@@ -179,22 +191,15 @@ def find(
     asked = benchmark_windows(benchmark, item_col, item_text_col, bare)
     lengths = sorted(r.length for r in asked.select("length").distinct().collect())  # WINDOW at most
     small = asked.count() <= SENT_WINDOWS
-    texts = narrow(df, id=id_col, text=text_col).select("id", F.xxhash64("text").alias("print"), words(F.col("text")).alias("marked"))
-    texts = texts.withColumn("words", F.transform("marked", unmarked))
-    # which texts share a window at all: only hashes are exploded and joined
-    keys = asked.select("key", "length").distinct()
-    touched = None
-    for length in lengths:
-        every = F.array_union(_keys(template(F.col("words")), length), _keys(surface(F.col("words")), length))
-        every = F.array_union(every, _keys(loose_template(F.col("marked")), length))
-        each = texts.select("id", "print", F.explode_outer(every).alias("key"))
-        met = each.join(_sent(keys.where(F.col("length") == length), small), "key", "left_semi").select("id", "print")
-        touched = met if touched is None else touched.unionByName(met)
-    if touched is None:
-        touched = texts.select("id", "print").where("false")
-    touched = materialise(touched.distinct(), "touched").alias("touched")
+    texts = narrow(df, id=id_col, text=text_col).select("id", F.xxhash64("text").alias("print"), "text")
+    # which texts share a window at all: a text is split once, and only hashes are exploded and joined
+    every = let(words(F.col("text")), lambda marked: F.concat(*[_probes(marked, length) for length in lengths or [WINDOW]]))
+    each = texts.select("id", "print", F.explode_outer(every).alias("key"))
+    touched = each.join(_sent(asked.select("key").distinct(), small), "key", "left_semi").select("id", "print").distinct()
+    touched = materialise(touched, "touched").alias("touched")
     here = F.col("texts.id").eqNullSafe(F.col("touched.id")) & (F.col("texts.print") == F.col("touched.print"))
-    found_in = texts.alias("texts").join(touched, here, "left_semi")
+    few = texts.alias("texts").join(touched, here, "left_semi")
+    found_in = materialise(few.select("id", "print", words(F.col("text")).alias("marked")), "texts").withColumn("words", F.transform("marked", unmarked))
 
     def meetings(kind: int, column: str, hashed) -> DataFrame:
         met = None

@@ -162,10 +162,11 @@ WITH i AS (SELECT item_id, {_template_words('text')} AS w FROM benchmark
 ), dw AS (
   SELECT doc_id, place, w[place + 1 : place + length] AS given
   FROM (SELECT *, unnest(range(0, len(w) - length + 1)) AS place FROM d, (SELECT DISTINCT length FROM ik) WHERE len(w) >= length)
-), m AS (
-  SELECT doc_id, item_id, kind, place - spot AS diagonal, spot, strict, wide, exact,
+), every AS (
+  SELECT doc_id, item_id, kind, place - spot AS diagonal, spot, strict, wide, exact, starts_with(given[1], chr(2)) AS begins,
     CASE kind WHEN 0 THEN {_slots(_SLOT)} WHEN 1 THEN {_slots(_LOOSE)} END AS pairs
   FROM (SELECT *, {_key('given')} AS key FROM dw, (VALUES (0), (1), (2)) k(kind)) JOIN ik USING (kind, key) JOIN whole USING (item_id)
+), m AS (SELECT * FROM every WHERE doc_id IN (SELECT doc_id FROM every WHERE kind <> 1 OR begins)
 ), {_accepted('tight', '(0)', 'strict')}, {_accepted('broad', '(0, 1)', 'wide')},
 verbatim AS (
   SELECT doc_id, item_id, matched, windows, 0 AS exchanged, 0 AS typed
