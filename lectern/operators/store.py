@@ -1,7 +1,7 @@
 """The index in hash partitions: a sync costs what changed, not what is stored.
 
-A row lies in the partition that a hash of its key gives, beside a digest of
-what it was made from. A sync
+A row lies in the partition that a hash of its URL gives, so that all chunks of
+a document lie together, beside a digest of what it was made from. A sync
 
 1. reads keys and digests only, two of the table's columns, and compares them
    with those of the chunks;
@@ -29,7 +29,8 @@ from .embedding import DIM, embed, model_name
 from .index import require_unique
 from .models import model_stage
 
-#: Take the size of the index over some 256 MB; a partition is written by one task. The number is fixed at creation.
+#: A partition is written by one task, so 256 MB are enough for one; the fewer documents it holds, the fewer are written again
+#: with one that has changed. The number is fixed at creation.
 BUCKETS = 256
 _MADE_FROM = ("url", "page_title", "text", "model")
 _STORED = T.StructType([*INDEX.fields, T.StructField("digest", T.StringType()), T.StructField("bucket", T.IntegerType())])
@@ -104,7 +105,7 @@ def sync_store(
     has_vector = chunks.where(F.lower("text").rlike("[a-z0-9]")) if encoder is None else chunks
     rows = has_vector.select("chunk_id", "url", "page_title", "text", F.lit(tag).alias("model"))
     rows = rows.withColumn("digest", F.md5(F.to_json(F.struct(*_MADE_FROM), {"ignoreNullFields": "false"})))
-    rows = rows.withColumn("bucket", bucket_of(F.col("chunk_id"), buckets))
+    rows = rows.withColumn("bucket", bucket_of(F.col("url"), buckets))
 
     wanted = rows.select("chunk_id", "bucket", F.col("digest").alias("new"), F.lit(None).cast("string").alias("old"))
     if known is not None:

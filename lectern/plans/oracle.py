@@ -271,16 +271,16 @@ CHUNK_QUERY = f"WITH RECURSIVE {DOCS},\n{CHUNKS} SELECT * FROM chunks"
 SYNCED = f"{LABELLED},\ndocs AS ({NOW}),\n{INDEX}"
 INDEX_ROWS = f"SELECT chunk_id, url, page_title, text, {MODEL} AS model FROM chunks JOIN clen USING (chunk_id)"
 
-#: Chunks before and after one document in a hundred has changed; a chunk's partition is a hash of its key.
+#: Chunks before and after one document in a hundred has changed; a chunk's partition is a hash of its URL.
 CHANGED = f"""before AS (WITH RECURSIVE {DOCS},\n{CHUNKS} SELECT * FROM chunks),
 after AS (WITH RECURSIVE docs AS (SELECT CAST(doc_id AS VARCHAR) AS url, source AS page_title,
     text || CASE WHEN doc_id % 100 = 0 THEN {NL} || 'Under review.' ELSE '' END AS content FROM documents),
   {CHUNKS} SELECT * FROM chunks),
-known AS (SELECT chunk_id, text FROM before WHERE regexp_matches(lower(text), '[a-z0-9]')),
-given AS (SELECT chunk_id, text FROM after WHERE regexp_matches(lower(text), '[a-z0-9]')),
-changes AS (SELECT coalesce(k.chunk_id, g.chunk_id) AS chunk_id FROM known k FULL OUTER JOIN given g ON k.chunk_id = g.chunk_id
+known AS (SELECT chunk_id, url, text FROM before WHERE regexp_matches(lower(text), '[a-z0-9]')),
+given AS (SELECT chunk_id, url, text FROM after WHERE regexp_matches(lower(text), '[a-z0-9]')),
+changes AS (SELECT coalesce(k.url, g.url) AS url FROM known k FULL OUTER JOIN given g ON k.chunk_id = g.chunk_id
   WHERE k.text IS DISTINCT FROM g.text),
-written AS (SELECT DISTINCT CAST('0x' || substr(md5(chunk_id), 1, 8) AS BIGINT) % 256 AS bucket FROM changes)"""
+written AS (SELECT DISTINCT CAST('0x' || substr(md5(url), 1, 8) AS BIGINT) % 256 AS bucket FROM changes)"""
 
 EXACT = """SELECT query_id, vec_id, score, CAST(rk AS INTEGER) AS rk FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rk FROM (
@@ -386,7 +386,7 @@ SELECT chunk_id, url, page_title, text, {MODEL} AS model, 64 AS dim FROM chunks
     "sync_partition_cost": f"""WITH {CHANGED}
 SELECT 256 AS n_buckets, CAST((SELECT count(*) FROM written) AS INTEGER) AS n_written, count(*) AS n_rows,
   (SELECT count(*) FROM changes) AS n_changed,
-  count(*) FILTER (CAST('0x' || substr(md5(chunk_id), 1, 8) AS BIGINT) % 256 IN (SELECT bucket FROM written)) AS n_rewritten FROM given""",
+  count(*) FILTER (CAST('0x' || substr(md5(url), 1, 8) AS BIGINT) % 256 IN (SELECT bucket FROM written)) AS n_rewritten FROM given""",
     "sync_stream": f"WITH RECURSIVE {DOCS},\n{INDEX} {INDEX_ROWS}",
     "check_models": f"""WITH RECURSIVE {DOCS},\n{INDEX},\n{QVEC},
 have AS (SELECT DISTINCT {MODEL} AS model, 64 AS dim FROM clen),
