@@ -87,7 +87,7 @@ def plain(found: Column) -> Column:
 
 def surface(found: Column) -> Column:
     """Plain words as hashes; a literal has the hash that it has in a template."""
-    return F.transform(found, lambda w: F.xxhash64(F.translate(w, _NAME + _FIRST, "")))
+    return F.transform(found, lambda w: F.xxhash64(F.replace(w, F.lit(_NAME), F.lit(""))))
 
 
 def _places(found: Column, length: int) -> Column:
@@ -103,15 +103,20 @@ def _keys(hashes: Column, length: int) -> Column:
     return let(hashes, lambda h: F.transform(_places(h, length), lambda i: _key(h, i, length)))
 
 
-def _probes(marked: Column, length: int) -> Column:
+def _probes(marked: Column, lengths: list[int]) -> Column:
     """Keys that a text is looked up by: of all its windows, and by looser template of those that a sentence begins."""
+    name = F.xxhash64(F.lit("<name>"))
 
-    def begun(h: Column) -> Column:
-        places = F.filter(_places(h, length), lambda i: F.get(marked, i).startswith(_FIRST))
-        return F.transform(places, lambda i: _key(h, i, length))
+    def all_keys(typed: Column, bare: Column) -> Column:
+        # a word that is its own entry is a literal; so slots are not looked for again
+        loose = F.transform(marked, lambda m, i: F.when(m.startswith(_FIRST) & (F.get(typed, i) == F.get(bare, i)), name).otherwise(F.get(typed, i)))
+        return let(loose, lambda h: F.concat(*[x for n in lengths for x in (_keys(typed, n), _keys(bare, n), begun(h, n))]))
 
-    plain_ones = let(F.transform(marked, unmarked), lambda w: F.array_union(_keys(template(w), length), _keys(surface(w), length)))
-    return F.concat(plain_ones, let(loose_template(marked), begun))
+    def begun(h: Column, length: int) -> Column:
+        key = lambda m, i: F.when(m.startswith(_FIRST) & (i <= F.size(h) - length), _key(h, i, length))
+        return F.array_compact(F.transform(marked, key))
+
+    return let(F.transform(marked, unmarked), lambda w: let(template(w), lambda typed: let(surface(w), lambda bare: all_keys(typed, bare))))
 
 
 def _windows(found: Column, length: int, hashed=template) -> Column:
@@ -181,9 +186,9 @@ def find(
     and one there); ``exchanged`` the slot values there that
     differ. ``print`` is a hash of the text: rows with equal ids and different
     texts are different documents, equal rows give one row. Null and empty
-    texts have no windows. Windows by templates are counted by themselves, and
-    with those by looser templates, in texts that have any window of an item,
-    by looser template one that begins with the beginning of a sentence. Items that neither finds, as their windows
+    texts have no windows. In texts that no item is found in so,
+    windows by looser templates are counted with those by strict ones, if the
+    text has any window of an item, by looser template one that a sentence begins. Items that neither finds, as their windows
     have less than four literal words (or all of a shorter item) or as a name
     meets two names, are found by windows of equal words, which are counted in
     the same way. A window without any literal is no evidence unless ``bare``.
@@ -193,7 +198,7 @@ def find(
     small = asked.count() <= SENT_WINDOWS
     texts = narrow(df, id=id_col, text=text_col).select("id", F.xxhash64("text").alias("print"), "text")
     # which texts share a window at all: a text is split once, and only hashes are exploded and joined
-    every = let(words(F.col("text")), lambda marked: F.concat(*[_probes(marked, length) for length in lengths or [WINDOW]]))
+    every = let(words(F.col("text")), lambda marked: _probes(marked, lengths or [WINDOW]))
     each = texts.select("id", "print", F.explode_outer(every).alias("key"))
     touched = each.join(_sent(asked.select("key").distinct(), small), "key", "left_semi").select("id", "print").distinct()
     touched = materialise(touched, "touched").alias("touched")
@@ -201,19 +206,19 @@ def find(
     few = texts.alias("texts").join(touched, here, "left_semi")
     found_in = materialise(few.select("id", "print", words(F.col("text")).alias("marked")), "texts").withColumn("words", F.transform("marked", unmarked))
 
-    def meetings(kind: int, column: str, hashed) -> DataFrame:
+    def meetings(kind: int, column: str, hashed, rows: DataFrame) -> DataFrame:
         met = None
         wanted = asked.where(F.col("kind") == kind)
         for length in lengths or [WINDOW]:
             # the outer form, as the plain one makes the optimizer compute the windows a second time
-            each = found_in.select("id", "print", F.explode_outer(_windows(F.col(column), length, hashed)).alias("w")).select("id", "print", "w.*")
+            each = rows.select("id", "print", F.explode_outer(_windows(F.col(column), length, hashed)).alias("w")).select("id", "print", "w.*")
             part = each.where("key IS NOT NULL").join(_sent(wanted.where(F.col("length") == length), small), "key")
             met = part if met is None else met.unionByName(part)
         return met.select("id", "print", "item", "at", (F.col("place") - F.col("at")).alias("diagonal"), "windows", "wide", "asked", "given")
 
-    def typed(loose: bool) -> DataFrame:
+    def typed(loose: bool, rows: DataFrame) -> DataFrame:
         """Windows of one template, each with the values in its slots."""
-        met = meetings(LOOSE, "marked", loose_template) if loose else meetings(STRICT, "words", template)
+        met = meetings(LOOSE, "marked", loose_template, rows) if loose else meetings(STRICT, "words", template, rows)
         kind_of = loose_slot if loose else slot
         # different templates with one hash end here
         same = F.forall(F.zip_with("asked", "given", lambda a, b: _entry(a, loose) == _entry(b, loose)), lambda x: x)
@@ -238,13 +243,21 @@ def find(
             "id", "print", "item", "matched", "windows", exchanged.alias("exchanged"), F.lit(1).alias("typed")
         )
 
-    strict = materialise(typed(False), "strict")
-    found = accepted(strict, "windows").unionByName(accepted(strict.unionByName(typed(True)), "wide"))
-    verbatim = meetings(EXACT, "words", surface).where(F.col("asked") == plain(F.col("given"))).groupBy("id", "print", "item", "diagonal").agg(
+    strict = materialise(typed(False, found_in), "strict")
+    verbatim = meetings(EXACT, "words", surface, found_in).where(F.col("asked") == plain(F.col("given"))).groupBy("id", "print", "item", "diagonal").agg(
         F.count_distinct("at").alias("matched"), F.max("windows").alias("windows")
     )
     columns = ["id", "print", "item", "matched", "windows"]
-    found = found.unionByName(verbatim.where(enough("windows")).select(*columns, F.lit(0).alias("exchanged"), F.lit(0).alias("typed")))
+    verbatim = verbatim.where(enough("windows")).select(*columns, F.lit(0).alias("exchanged"), F.lit(0).alias("typed"))
+    found = materialise(accepted(strict, "windows").unionByName(verbatim), "found")
+    # looser templates are for texts in which nothing has been found
+    known = found.select("id", "print").distinct().alias("known")
+
+    def rest(rows: DataFrame) -> DataFrame:
+        same_text = F.col("rows.id").eqNullSafe(F.col("known.id")) & (F.col("rows.print") == F.col("known.print"))
+        return rows.alias("rows").join(known, same_text, "left_anti")
+
+    found = found.unionByName(accepted(rest(strict).unionByName(typed(True, rest(found_in))), "wide"))
     best = found.groupBy("id", "print", "item").agg(
         F.max(F.struct("typed", "matched", (-F.col("exchanged")).alias("kept"), "windows")).alias("b")  # plain words only if no template is found
     )

@@ -172,7 +172,8 @@ verbatim AS (
   SELECT doc_id, item_id, matched, windows, 0 AS exchanged, 0 AS typed
   FROM (SELECT doc_id, item_id, diagonal, count(DISTINCT spot) AS matched, max(exact) AS windows FROM m WHERE kind = 2 GROUP BY ALL)
   WHERE matched >= greatest(1, least(6, windows - 1))
-), g AS (SELECT * FROM tight UNION ALL SELECT * FROM broad UNION ALL SELECT * FROM verbatim)
+), sure AS (SELECT * FROM tight UNION ALL SELECT * FROM verbatim
+), g AS (SELECT * FROM sure UNION ALL SELECT * FROM broad WHERE doc_id NOT IN (SELECT doc_id FROM sure))
 SELECT doc_id, item_id, matched, windows, exchanged::BIGINT AS exchanged FROM g
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY typed DESC, matched DESC, exchanged, windows DESC) = 1
 """
