@@ -28,6 +28,8 @@ from .common import narrow
 WINDOW, LITERALS, WINDOWS = 8, 4, 6
 #: Windows of the benchmark that may be sent to all tasks (16 bytes of key and place each, and their words).
 SENT_WINDOWS = 1 << 17
+#: First words of short items up to which windows are chosen by them.
+FIRSTS = 1024
 _NAME, _FIRST = "\x01", "\x02"
 #: Kinds of windows: by template, by looser template, by plain words.
 STRICT, LOOSE, EXACT = 0, 1, 2
@@ -103,14 +105,24 @@ def _keys(hashes: Column, length: int) -> Column:
     return let(hashes, lambda h: F.transform(_places(h, length), lambda i: _key(h, i, length)))
 
 
-def _probes(marked: Column, lengths: list[int]) -> Column:
-    """Keys that a text is looked up by: of all its windows, and by looser template of those that a sentence begins."""
+def _probes(marked: Column, lengths: dict[int, list[int] | None]) -> Column:
+    """Keys that a text is looked up by: of all its windows, and by looser template of those that a sentence begins.
+
+    Of windows below the usual length only those are keyed whose first word is,
+    in some form, the first of one of the few items that are so short.
+    """
     name = F.xxhash64(F.lit("<name>"))
 
     def all_keys(typed: Column, bare: Column) -> Column:
         # a word that is its own entry is a literal; so slots are not looked for again
         loose = F.transform(marked, lambda m, i: F.when(m.startswith(_FIRST) & (F.get(typed, i) == F.get(bare, i)), name).otherwise(F.get(typed, i)))
-        return let(loose, lambda h: F.concat(*[x for n in lengths for x in (_keys(typed, n), _keys(bare, n), begun(h, n))]))
+        return let(loose, lambda h: F.concat(*[x for n, firsts in lengths.items() for x in (keys(typed, n, firsts), keys(bare, n, firsts), begun(h, n))]))
+
+    def keys(h: Column, length: int, firsts: list[int] | None) -> Column:
+        if firsts is None:
+            return _keys(h, length)
+        key = lambda x, i: F.when(x.isin(firsts) & (i <= F.size(h) - length), _key(h, i, length))
+        return F.array_compact(F.transform(h, key))
 
     def begun(h: Column, length: int) -> Column:
         key = lambda m, i: F.when(m.startswith(_FIRST) & (i <= F.size(h) - length), _key(h, i, length))
@@ -119,6 +131,16 @@ def _probes(marked: Column, lengths: list[int]) -> Column:
     return let(F.transform(marked, unmarked), lambda w: let(template(w), lambda typed: let(surface(w), lambda bare: all_keys(typed, bare))))
 
 
+def _firsts(asked: DataFrame, length: int) -> list[int] | None:
+    """Hashes of the first words of the items of a length below the usual, None where they are many."""
+    if length == WINDOW:
+        return None
+    first = F.col("asked")[0]
+    entry = F.when(F.col("kind") == STRICT, F.xxhash64(_entry(first, False))).otherwise(F.xxhash64(first))
+    found = asked.where((F.col("length") == length) & (F.col("kind") != LOOSE)).select(entry.alias("first")).distinct().limit(FIRSTS + 1).collect()
+    return [r["first"] for r in found] if len(found) <= FIRSTS else None
+
+
 def _windows(found: Column, length: int, hashed=template) -> Column:
     """Place, key and words of each window."""
 
@@ -198,7 +220,7 @@ def find(
     small = asked.count() <= SENT_WINDOWS
     texts = narrow(df, id=id_col, text=text_col).select("id", F.xxhash64("text").alias("print"), "text")
     # which texts share a window at all: a text is split once, and only hashes are exploded and joined
-    every = let(words(F.col("text")), lambda marked: _probes(marked, lengths or [WINDOW]))
+    every = let(words(F.col("text")), lambda marked: _probes(marked, {n: _firsts(asked, n) for n in lengths or [WINDOW]}))
     each = texts.select("id", "print", F.explode_outer(every).alias("key"))
     touched = each.join(_sent(asked.select("key").distinct(), small), "key", "left_semi").select("id", "print").distinct()
     touched = materialise(touched, "touched").alias("touched")
