@@ -44,8 +44,9 @@ UNITS = (
 
 def words(text: Column) -> Column:
     """Lower-case words of a text with their marks: a capitalised word has one, and another one if it follows a word of its sentence."""
-    named = F.regexp_replace(F.coalesce(text, F.lit("")), r"([\p{Ll}\p{Nd},;)] )(\p{Lu})", f"$1{_NAME}$2")
-    marked = F.regexp_replace(named, r"([^\p{L}\p{Nd}\x01]|^)(\p{Lu})", f"$1{_FIRST}$2")
+    # capitals are rare, so they are looked for first, and then at what stands before
+    named = F.regexp_replace(F.coalesce(text, F.lit("")), r"\p{Lu}(?<=[\p{Ll}\p{Nd},;)] \p{Lu})", f"{_NAME}$0")
+    marked = F.regexp_replace(named, r"\p{Lu}(?<![\p{L}\p{Nd}\x01]\p{Lu})", f"{_FIRST}$0")
     return F.split(F.trim(F.regexp_replace(F.lower(marked), r"[^\p{L}\p{Nd}\x01\x02]+", " ")), " ")
 
 
