@@ -117,17 +117,22 @@ def _probes(marked: Column, lengths: dict[int, list[int] | None]) -> Column:
     def all_keys(typed: Column, bare: Column) -> Column:
         # a word that is its own entry is a literal; so slots are not looked for again
         loose = F.transform(marked, lambda m, i: F.when(m.startswith(_FIRST) & (F.get(typed, i) == F.get(bare, i)), name).otherwise(F.get(typed, i)))
-        return let(loose, lambda h: F.concat(*[x for n, firsts in lengths.items() for x in (keys(typed, n, firsts), keys(bare, n, firsts), begun(h, n))]))
+        return let(loose, lambda h: F.concat(*[x for n, firsts in lengths.items() for x in of_length(typed, bare, h, n, firsts)]))
+
+    def of_length(typed: Column, bare: Column, h: Column, n: int, firsts: list[int] | None) -> list[Column]:
+        def key(hashes: Column, i: Column, wanted: Column) -> Column:
+            return F.when(wanted, _key(hashes, i, n))
 
-    def keys(h: Column, length: int, firsts: list[int] | None) -> Column:
         if firsts is None:
-            return _keys(h, length)
-        key = lambda x, i: F.when(x.isin(firsts) & (i <= F.size(h) - length), _key(h, i, length))
-        return F.array_compact(F.transform(h, key))
+            begun = F.transform(marked, lambda m, i: key(h, i, m.startswith(_FIRST) & (i <= F.size(h) - n)))
+            return [_keys(typed, n), _keys(bare, n), F.array_compact(begun)]
+
+        def few(m: Column, i: Column) -> Column:
+            """One look at a word for all three forms."""
+            a, b, c = F.get(typed, i).isin(firsts), F.get(bare, i).isin(firsts), m.startswith(_FIRST)
+            return F.when((a | b | c) & (i <= F.size(h) - n), F.array(key(typed, i, a), key(bare, i, b), key(h, i, c)))
 
-    def begun(h: Column, length: int) -> Column:
-        key = lambda m, i: F.when(m.startswith(_FIRST) & (i <= F.size(h) - length), _key(h, i, length))
-        return F.array_compact(F.transform(marked, key))
+        return [F.flatten(F.array_compact(F.transform(marked, few)))]
 
     return let(F.transform(marked, unmarked), lambda w: let(template(w), lambda typed: let(surface(w), lambda bare: all_keys(typed, bare))))
 
