@@ -47,3 +47,20 @@ def test_the_chunker_counts_subwords(spark, ranks):
     plain = chunk_documents(documents).collect()
     assert len(rows) > len(plain)
     assert all(20 < r.n_tokens <= 250 for r in rows)
+
+
+@pytest.mark.parametrize("bits", [0, 6, 40])
+def test_words_that_travel_and_words_that_are_joined_count_alike(spark, ranks, monkeypatch, bits):
+    monkeypatch.setattr(subwords, "SLICE", 50)
+    made = texts(120) + ["the of the"] * 30
+    df = spark.createDataFrame([*enumerate(made), (-1, None)], "id int, text string").repartition(3)
+    got = {r.id: r.n_tokens for r in subwords.subword_counts(df, ranks, "id", "text", sent_bits=bits).collect()}
+    assert got.pop(-1) is None and [got[i] for i in range(len(made))] == subwords.subword_counter(ranks)(made)
+
+
+def test_distinct_words_do_not_pass_through_the_driver(spark, ranks):
+    """They were sent to all tasks, sixteen times each, where their file was small enough."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts(50))], "id int, text string")
+    plan = subwords.subword_counts(df, ranks, "id", "text")._jdf.queryExecution().toString()
+    words = plan[plan.index("Optimized Logical Plan") :]
+    assert "strategy=merge" in words and "sequence(0, 15" not in plan
