@@ -28,6 +28,8 @@ from .search import PLACES, _grid, _matrix, _scored_schema, rank_hits
 RINGS = 32
 #: Above what rounding takes from an angle or a score.
 _SLACK = 1e-6
+#: Questions times blocks whose bounds a task holds at once.
+_CELLS = 1 << 17
 
 
 @dataclass
@@ -79,9 +81,8 @@ def _bounds(questions: DataFrame, blocks: Blocks, k: int, qid: str) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots, cell, ring, n, lo, hi = sent.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        step = max(1, _CELLS // max(1, len(cell)))
+        for batch in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
             unit = _matrix(batch.column("embedding"))
             angle = _angles(np.nan_to_num(unit), pivots)[:, cell]
             bound = np.cos(np.maximum(0, np.maximum(angle - hi, lo - angle))) + _SLACK

@@ -38,3 +38,16 @@ def test_ties_and_odd_vectors(spark):
     assert sorted((r.vec_id, r.score, r.rk) for r in found) == [(0, 1.0, 1), (3, 1.0, 2)]
     empty = bounded.block(items.limit(0), np.array([[1.0, 0.0]]), "vec_id")
     assert bounded.topk_bounded(asked, empty, 2, iid="vec_id").count() == 0
+
+
+def test_bounds_are_made_for_few_questions_at_a_time(spark, case, monkeypatch):
+    """A task held the bounds of a whole batch of questions."""
+    items, asked = case
+    centres = np.random.default_rng(1).normal(size=(5, 6))
+    blocks = bounded.block(items, centres / np.linalg.norm(centres, axis=1, keepdims=True), "vec_id")
+    whole = sorted(bounded.topk_bounded(asked, blocks, 3, iid="vec_id").collect())
+    made = []
+    monkeypatch.setattr(bounded, "_CELLS", 4 * blocks.sizes.count())
+    angles = bounded._angles
+    monkeypatch.setattr(bounded, "_angles", lambda unit, pivots: angles(unit, pivots) if len(unit) <= 4 else made.append(len(unit)))
+    assert sorted(bounded.topk_bounded(asked, blocks, 3, iid="vec_id").collect()) == whole
