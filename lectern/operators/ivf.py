@@ -35,7 +35,8 @@ CELLS, PARTS, CODES, ROUNDS = 256, 8, 64, 6
 PROBES, SHORTLIST = 8, 32
 #: Rows of one side that a task gets of a cell.
 QUESTION_BLOCK, ITEM_BLOCK = 4096, 65536
-_TILE = 4_000_000
+#: Scores that a task holds at once.
+_TILE = 500_000
 
 
 @dataclass
