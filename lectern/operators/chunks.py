@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ Counter = Callable[[list[str]], list[int]]
 MAX_TOKENS = 500
 OVERLAP = 50
 MIN_TOKENS = 20
+#: Bytes of texts that a user's counter is given together, so that a task does not hold the words of a whole batch.
+SLICE = 1 << 20
 
 
 def merge_starts(counts: Column, limit: int) -> Column:
@@ -149,10 +152,10 @@ def chunk_documents(
     else:
         chunker = _chunker(max_tokens, overlap, min_tokens, count_tokens)
 
-        @F.pandas_udf("array<struct<text:string,n:int>>")
-        def counted(texts: pd.Series) -> pd.Series:
-            found = chunker(texts.tolist())
-            return pd.Series([[{"text": t, "n": n} for t, n in row] for row in found], dtype=object)
+        @F.arrow_udf("array<struct<text:string,n:int>>")
+        def counted(texts: pa.Array) -> pa.Array:
+            kind = pa.list_(pa.struct([("text", pa.string()), ("n", pa.int32())]))
+            return pa.concat_arrays([pa.array([[{"text": t, "n": n} for t, n in row] for row in some], kind) for some in _sliced(texts, chunker)])
 
         listed = counted(F.col("content"))
     rows = with_chunk_id(chunk_rows(documents.select("url", "page_title", listed.alias("chunks"))))
@@ -187,7 +190,7 @@ def _windows(words: list[str], costs: list[int], size: int, overlap: int) -> lis
 
 
 def _chunker(max_tokens: int, overlap: int, min_tokens: int, count_tokens: Counter) -> Callable:
-    """Texts to their chunks with token counts; the counter is called twice per batch, for lines and for words."""
+    """Texts to their chunks with token counts; the counter is called twice per list of texts, for lines and for words."""
 
     def chunk(texts: list[str | None]) -> list[list[tuple[str, int]]]:
         lines = [[p for p in (t or "").split("\n") if p.strip(BLANKS)] for t in texts]
@@ -215,6 +218,17 @@ def _chunker(max_tokens: int, overlap: int, min_tokens: int, count_tokens: Count
     return chunk
 
 
+def _sliced(texts: pa.Array, chunker: Callable) -> Iterator[list[list[tuple[str, int]]]]:
+    """What the chunker makes of a batch, about ``SLICE`` bytes of texts at a time and one list at least."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy().cumsum()
+    begin = 0
+    while begin < len(texts) or not begin:
+        before = sizes[begin - 1] if begin else 0
+        end = max(begin + 1, int(sizes.searchsorted(before + SLICE, "right")))
+        yield chunker(texts.slice(begin, end - begin).to_pylist())
+        begin = end
+
+
 def chunk_udf(
     max_tokens: int = MAX_TOKENS,
     overlap: int = OVERLAP,
@@ -227,8 +241,9 @@ def chunk_udf(
     """
     chunker = _chunker(max_tokens, overlap, min_tokens, count_tokens)
 
-    @F.pandas_udf("array<string>")
-    def chunk_batch(texts: pd.Series) -> pd.Series:
-        return pd.Series([[t for t, _ in row] for row in chunker(texts.tolist())], dtype=object)
+    @F.arrow_udf("array<string>")
+    def chunk_batch(texts: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.string())
+        return pa.concat_arrays([pa.array([[t for t, _ in row] for row in some], kind) for some in _sliced(texts, chunker)])
 
     return chunk_batch

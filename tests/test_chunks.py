@@ -1,5 +1,6 @@
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lectern.operators import chunks as C
@@ -132,3 +133,18 @@ def test_counter_of_the_user(spark):
     assert all(n <= 12 for _, n in got[0]) and got[0][2] == (eights, 12)
     found = C.chunk_documents(df, 12, 4, 1, count_tokens=count).orderBy("chunk_ix").collect()
     assert [(r.text, r.n_tokens) for r in found] == got[0] and {r.url for r in found} == {"u"}
+
+
+def test_a_batch_is_chunked_some_texts_at_a_time(spark, monkeypatch):
+    """A task held the words of a whole batch."""
+    monkeypatch.setattr(C, "SLICE", 1000)
+    sizes, chunker = [], C._chunker(500, 50, 20, C._count_runs)
+
+    def noted(texts):
+        sizes.append(sum(len(t or "") for t in texts))
+        return chunker(texts)
+
+    texts = [None, "", *[" ".join(["word"] * n) for n in (30, 2000, 100, 21, 20)], None]
+    found = [row for some in C._sliced(pa.array(texts, pa.string()), noted) for row in some]
+    assert found == chunker(texts) and len(sizes) > 2 and sum(x > 1000 for x in sizes) == 1
+    assert list(C._sliced(pa.array([], pa.string()), chunker)) == [[]]
