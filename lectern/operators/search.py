@@ -7,7 +7,7 @@ one matrix product per Arrow batch, and only each task's best ``k`` leave it.
 * Few questions (checked by reading at most the bound): they are sent to every
   task and the index is scanned once, without a shuffle.
 * More questions: both sides are cut into blocks of bounded size by a hash of
-  their keys, and each pair of blocks is one group. No group grows with the
+  their keys, large enough that vectors move rarely, and each pair of blocks is one group. No group grows with the
   data, however the keys or buckets are distributed.
 """
 
@@ -34,14 +34,18 @@ SEARCHED = 2
 
 PLACES = 6
 SENT_QUESTIONS = 4096
-QUESTION_BLOCK = 4096
+QUESTION_BLOCK = 32768
 ITEM_BLOCK = 65536
+#: Smaller blocks of items are made while there are fewer pairs of blocks than cores ask for, down to this many.
+LEAST_BLOCK, GROUPS_PER_CORE = 4096, 4
 #: Hits that are sent to all tasks: a key, a question key, a score and a rank each, some 100 bytes.
 SENT_HITS = 4 * SENT_QUESTIONS
 SALTS = 16
 HOT_ROWS = 100_000
 LSH_BITS, LSH_TABLES = 8, 16
-_TILE_CELLS = 4_000_000
+_TILE_CELLS = 500_000
+#: Items that are scored first, whose best give a score that others must reach.
+_PROBED = 2048
 
 
 def _numbers(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -77,16 +81,19 @@ class _Best:
         n, take = len(items), min(self.k, len(items))
         if take == 0 or len(self.questions) == 0:
             return
+        probed = vectors[:: max(1, n // _PROBED)] if n > 4 * _PROBED and take * 8 < _PROBED else None
+        singles = None if probed is None else vectors.astype(np.float32)
         scores, found = [], []
-        tile = max(1, _TILE_CELLS // n)
+        tile = max(1, _TILE_CELLS // (n if probed is None else len(probed)))
         for at in range(0, len(self.questions), tile):
-            # rounded score and place in key order as one integer, so ties need no second pass
-            units = np.rint(self.questions[at : at + tile] @ vectors.T * 10**PLACES)
-            rank = np.nan_to_num(units, nan=-(10.0**PLACES) * 2).astype(np.int64) * n
-            rank += np.arange(n - 1, -1, -1)
-            top = np.argpartition(rank, n - take, axis=1)[:, n - take :]
-            scores.append(np.take_along_axis(units, top, axis=1))
-            found.append(items[top])
+            asked = self.questions[at : at + tile]
+            hits = None if probed is None else self._reaching(asked, vectors, singles, probed, take)
+            if hits is None:
+                few = max(1, _TILE_CELLS // n)
+                parts = [self._all(asked[i : i + few], vectors, take) for i in range(0, len(asked), few)]
+                hits = tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+            scores.append(hits[0])
+            found.append(items[hits[1]])
         score, item = np.concatenate(scores), np.concatenate(found)
         if self.score is not None:
             score = np.concatenate([self.score, score], axis=1)
@@ -97,6 +104,50 @@ class _Best:
             score, item = np.take_along_axis(score, best, 1), np.take_along_axis(item, best, 1)
         self.score, self.item = score, item
 
+    @staticmethod
+    def _all(asked: np.ndarray, vectors: np.ndarray, take: int) -> tuple[np.ndarray, np.ndarray]:
+        """(rounded scores, places) of the best items of each question, from the scores of all."""
+        n = len(vectors)
+        # rounded score and place in key order as one integer, so ties need no second pass
+        units = np.rint(asked @ vectors.T * 10**PLACES)
+        rank = np.nan_to_num(units, nan=-(10.0**PLACES) * 2).astype(np.int64) * n
+        rank += np.arange(n - 1, -1, -1)
+        top = np.argpartition(rank, n - take, axis=1)[:, n - take :]
+        return np.take_along_axis(units, top, axis=1), top
+
+    @staticmethod
+    def _reaching(asked: np.ndarray, vectors: np.ndarray, singles: np.ndarray, probed: np.ndarray, take: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """The same from those items alone that reach the best of ``probed``; None if these are few or very many reach them.
+
+        All scores are looked at in single precision, whose error is far below
+        the slack; what passes is scored like everything else.
+        """
+        first = asked @ probed.T
+        least = np.partition(np.nan_to_num(first, nan=-2.0), len(probed) - take, axis=1)[:, len(probed) - take]
+        known = ~np.isnan(asked).any(axis=1)
+        if (least[known] < -1.5).any():
+            return None
+        slack = 2.0 * 10**-PLACES + asked.shape[1] * 4e-7
+        bar = np.where(known, least - slack, np.nan).astype(np.float32)
+        single, size = asked.astype(np.float32), max(1, _TILE_CELLS // len(asked))
+        parts, room = [], 256 * len(asked)
+        for at in range(0, len(vectors), size):
+            near = single @ singles[at : at + size].T
+            one, other = np.divmod(np.flatnonzero(near >= bar[:, None]), near.shape[1])
+            room -= len(one)
+            if room < 0:
+                return None
+            exact = [np.einsum("ij,ij->i", asked[one[i : i + 4096]], vectors[at + other[i : i + 4096]]) for i in range(0, len(one), 4096)]
+            parts.append(np.stack([one, at + other, np.rint(np.concatenate([np.zeros(0), *exact]) * 10**PLACES)]))
+        who, what, units = np.concatenate(parts, axis=1)
+        by = np.lexsort((what, -units, who))
+        who, what, units = who[by].astype(np.int64), what[by].astype(np.int64), units[by]
+        place = np.arange(len(who)) - np.searchsorted(who, who)
+        best = place < take
+        score, top = np.full((len(asked), take), np.nan), np.zeros((len(asked), take), dtype=np.int64)
+        score[who[best], place[best]], top[who[best], place[best]] = units[best], what[best]
+        return score, top
+
     def rows(self, names: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
         if self.score is None:
             return pa.RecordBatch.from_pylist([], schema=schema)
@@ -157,7 +208,10 @@ def _grid(
         sizes = n_q.join(n_i, cells)
         questions, items = lookup(questions, sizes, cells, qid), lookup(items, sizes, cells, iid)
     else:
-        both = {"_nq": n_q.select("_nq").scalar(), "_ni": n_i.select("_ni").scalar()}
+        wanted = F.lit(GROUPS_PER_CORE * questions.sparkSession.sparkContext.defaultParallelism)
+        size = F.greatest(F.lit(min(LEAST_BLOCK, ITEM_BLOCK)), F.least(F.lit(ITEM_BLOCK), F.ceil(F.col("_n") * F.col("_nq") / wanted)))
+        counts = n_q.crossJoin(items.agg(F.count("*").alias("_n"))).select("_nq", F.ceil(F.col("_n") / size).cast("int").alias("_ni")).first()
+        both = {"_nq": F.lit(counts._nq), "_ni": F.lit(counts._ni)}
         questions, items = questions.withColumns(both), items.withColumns(both)
 
     def own(key: str, n: str) -> F.Column:

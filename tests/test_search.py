@@ -158,3 +158,25 @@ def test_result_rows(spark):
         "query_id int, result struct<data_array: array<struct<url: string, text: string>>>",
     )
     assert [tuple(r) for r in S.result_rows(df).collect()] == [(1, 0, "u", "t"), (1, 1, "v", "s")]
+
+
+@pytest.mark.parametrize("copies", [0, 300])
+def test_few_items_are_scored_exactly_and_the_result_is_that_of_all(monkeypatch, copies):
+    """Every score of a pair of blocks was ranked; only those that reach a probed one are."""
+    monkeypatch.setattr(S, "_PROBED", 64)
+    rng = np.random.default_rng(copies)
+    items = np.concatenate([rng.normal(size=(2000, 8)), np.tile(rng.normal(size=8), (copies, 1)), np.full((3, 8), np.nan)])
+    items, asked = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (items, np.concatenate([items[-310:-290], rng.normal(size=(30, 8))])))
+    keys, best = rng.permutation(len(items)), S._Best(asked, 4)
+    with monkeypatch.context() as m:
+        if not copies:
+            m.setattr(S._Best, "_all", None)  # nothing is ranked whole
+        best.add(keys, items)
+    scores = np.nan_to_num(np.rint(asked @ items.T * 1e6), nan=-1e9)
+    for q in np.flatnonzero(~np.isnan(asked).any(axis=1)):
+        want = sorted(zip(-scores[q], keys, strict=True))[:4]
+        assert sorted(zip(-best.score[q], best.item[q], strict=True)) == want
+
+
+def test_items_move_once_per_32768_questions_and_few_are_spread():
+    assert S.QUESTION_BLOCK >= 32768 and S.LEAST_BLOCK <= S.ITEM_BLOCK
