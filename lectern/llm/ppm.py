@@ -37,11 +37,11 @@ PAD, END = 0xFE, 0xFF
 #: Bytes coded at once; a longer text is coded in pieces that see the bytes before.
 PIECE = 1 << 20
 #: Bytes of texts that are looked at together.
-SLICE = 4 << 20
+SLICE = 1 << 20
 #: Grams that are valued together, if their groups allow it.
-GROUP = 1 << 21
+GROUP = 1 << 19
 #: Distinct words and grams that a task keeps before it passes them on.
-HELD_WORDS, HELD_GRAMS = 500_000, 4_000_000
+HELD_WORDS, HELD_GRAMS = 250_000, 1_000_000
 _COUNTS = pa.schema([("word", pa.binary()), ("gram", pa.int64()), ("n", pa.int64())])
 
 
@@ -124,7 +124,7 @@ def count(df: DataFrame, text_col: str = "text") -> DataFrame:
                 found, n = np.unique(grams, return_counts=True)
                 keys.append(found)
                 counts.append(n)
-                if len(keys) >= 8:
+                if len(keys) >= 4:
                     merged = _merged(keys, counts)
                     keys, counts = [merged[0]], [merged[1]]
                     if len(keys[0]) > HELD_GRAMS:

@@ -96,3 +96,8 @@ def test_a_small_share_is_not_dropped(frame):
     rare = docs.where("doc_id = 0")
     assert ppm.score(rare, docs).first().score > -6
     assert ppm.score(rare, docs, share_bits=20).first().score < -25  # what a bounded trie gives
+
+
+def test_a_task_looks_at_a_megabyte_of_texts_at_a_time():
+    """Four megabytes, and the counts of four million grams, took more than an executor has."""
+    assert ppm.SLICE <= 1 << 20 and ppm.GROUP <= 1 << 19 and ppm.HELD_GRAMS <= 1_000_000
