@@ -75,3 +75,15 @@ def test_odd_vectors(spark):
         ivf.fit(items, "vec_id", cells=2, parts=3)
     with pytest.raises(ValueError):
         ivf.fit(empty, "vec_id", cells=2, parts=2)
+
+
+def test_scores_held_at_once_change_nothing(monkeypatch):
+    """A task held four million scores, in several copies."""
+    assert ivf._TILE <= 500_000
+    rng = np.random.default_rng(1)
+    quantiser, unit = ivf.Quantiser(rng.normal(size=(2, 8)), rng.normal(size=(2, 4, 4))), rng.normal(size=(30, 8))
+    listed = ivf._Shortlist(unit, quantiser, 1)
+    codes, keys = rng.integers(4, size=(90, 2)), rng.permutation(90)
+    whole = [set(zip(*(x.tolist() for x in listed.best(codes, keys, 5)), strict=True))]
+    monkeypatch.setattr(ivf, "_TILE", 100)
+    assert whole == [set(zip(*(x.tolist() for x in listed.best(codes, keys, 5)), strict=True))]
