@@ -3,7 +3,9 @@
 What is known of a URL (time and digest of its last version, and whether that
 deleted it) is the state of a keyed operator, which Spark keeps and checkpoints
 in the partition of the URL. So a trigger reads what arrived and the state of
-the URLs that arrived, and no log of earlier triggers.
+the URLs that arrived, and no log of earlier triggers. The key is a hash bucket
+of URLs: Spark calls Python once per key, which costs far more than a row, so a
+key per URL would make that call the whole cost of a large trigger.
 
 Versions count by their own time, not by their arrival. A late one changes
 nothing, also when the URL was deleted since: a deletion is remembered for some
@@ -27,13 +29,27 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.chunks import chunk_documents
 from ..operators.embedding import DIM
 from ..operators.index import build_index
+from ..operators.store import bucket_of
 from ..session import materialise
 from .sync import LOG
 
 #: How long a deletion is remembered, in milliseconds.
 REMEMBERED = 30 * 24 * 3600 * 1000
+#: URLs share the state of a bucket. A checkpoint holds states by bucket, so the number is fixed.
+BUCKETS = 4096
 _STATE = "seen long, digest string, deleted boolean"
+#: One item per URL of the bucket; ``until`` is when a deletion is forgotten, NULL for a URL that is there.
+_BUCKET_STATE = "url array<string>, seen array<long>, digest array<string>, until array<long>"
 _CHANGE = "url string, seen long, digest string, deleted boolean, change_type string, file string, row long"
+_COLUMNS = [f.split()[0] for f in _CHANGE.split(", ")]
+
+
+def _change_type(known: tuple | None, best: tuple) -> str | None:
+    """What the newer of two versions ``(seen, digest, deleted)`` makes of a URL, if anything."""
+    was_there, is_there = known is not None and not known[2], not best[2]
+    if was_there and is_there:
+        return "update" if known[1] != best[1] else None
+    return "insert" if is_there else "delete" if was_there else None
 
 
 def newest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, remembered: int = REMEMBERED) -> Iterator[pd.DataFrame]:
@@ -60,16 +76,53 @@ def newest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, remem
     state.update(best)
     if best[2]:
         state.setTimeoutDuration(remembered)
-    was_there, is_there = bool(known) and not known[2], not best[2]
-    if was_there or is_there:
-        same = was_there and is_there and known[1] == best[1]
-        if not same:
-            kind = "delete" if not is_there else "update" if was_there else "insert"
-            yield pd.DataFrame([(key[0], *best, kind, *place)], columns=[f.split()[0] for f in _CHANGE.split(", ")])
-
-
-def changes(documents: DataFrame, remembered: int = REMEMBERED) -> DataFrame:
-    """A stream of documents with ``seen`` (a number or a time), ``file`` and ``row`` as the stream of its changes."""
+    kind = _change_type(known, best)
+    if kind:
+        yield pd.DataFrame([(key[0], *best, kind, *place)], columns=_COLUMNS)
+
+
+def newest_of_bucket(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, remembered: int = REMEMBERED) -> Iterator[pd.DataFrame]:
+    """The same for all URLs of a bucket in one call."""
+    now = state.getCurrentProcessingTimeMs()
+    held = list(zip(*state.get, strict=True)) if state.exists else []
+    known = {url: (seen, digest, until is not None) for url, seen, digest, until in held}
+    until = {url: at for url, _, _, at in held if at is not None}
+    best, place, arrived = dict(known), {}, set()
+    for batch in () if state.hasTimedOut else batches:
+        for url, seen, digest, deleted, file, row in zip(*[batch[c].tolist() for c in ("url", "seen", "digest", "deleted", "file", "row")], strict=True):
+            arrived.add(url)
+            before = best.get(url)
+            if before is None or (seen, digest) > before[:2]:
+                best[url], place[url] = (seen, digest, deleted), (file, row)
+    # also a late version makes a deletion be remembered anew
+    for url in arrived:
+        if best[url][2]:
+            until[url] = now + remembered
+        else:
+            until.pop(url, None)
+    forgotten = [url for url, at in until.items() if at < now]
+    for url in forgotten:
+        del best[url], until[url]
+    if not best:
+        state.remove()
+    else:
+        if place or forgotten or any(until.get(url) != at for url, _, _, at in held):
+            state.update((list(best), [v[0] for v in best.values()], [v[1] for v in best.values()], [until.get(url) for url in best]))
+        if until:
+            # a timeout lapses when it is not set again
+            state.setTimeoutDuration(max(1, min(until.values()) - now))
+    changed = [(url, *best[url], _change_type(known.get(url), best[url]), *at) for url, at in place.items()]
+    changed = [row for row in changed if row[4]]
+    if changed:
+        yield pd.DataFrame(changed, columns=_COLUMNS)
+
+
+def changes(documents: DataFrame, remembered: int = REMEMBERED, per_url: bool = False) -> DataFrame:
+    """A stream of documents with ``seen`` (a number or a time), ``file`` and ``row`` as the stream of its changes.
+
+    ``per_url`` keeps a state for each URL, as checkpoints of earlier releases
+    do; it reads less when few of very many URLs arrive, and calls Python for each.
+    """
     digest = F.md5(F.to_json(F.struct("page_title", "content"), {"ignoreNullFields": "false"}))
     kind = documents.schema["seen"].dataType
     seen = F.unix_micros("seen") if isinstance(kind, T.TimestampType) else F.col("seen").cast("long")
@@ -78,9 +131,11 @@ def changes(documents: DataFrame, remembered: int = REMEMBERED) -> DataFrame:
     )
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        return newest(key, batches, state, remembered)
+        return (newest if per_url else newest_of_bucket)(key, batches, state, remembered)
 
-    return versions.groupBy("url").applyInPandasWithState(step, _CHANGE, _STATE, "Update", GroupStateTimeout.ProcessingTimeTimeout)
+    keyed = versions.groupBy("url") if per_url else versions.withColumn("bucket", bucket_of(F.col("url"), BUCKETS)).groupBy("bucket")
+    held = _STATE if per_url else _BUCKET_STATE
+    return keyed.applyInPandasWithState(step, _CHANGE, held, "Update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def write_changes(found: DataFrame, batch_id: int, read: Callable[[list[str]], DataFrame], root: str, dim: int = DIM, encoder=None, model=None) -> None:
@@ -108,6 +163,7 @@ def sync_stream_state(
     to_documents: Callable[[DataFrame], DataFrame],
     max_files: int | None = None,
     remembered: int = REMEMBERED,
+    per_url: bool = False,
     **kw,
 ) -> None:
     """Process the files that arrived since the last run, then stop.
@@ -116,7 +172,8 @@ def sync_stream_state(
     it gets, and ``seen``, the time of the version, if there is one; else the
     time of the file counts.
     A NULL content deletes the URL; a NULL time comes before all others. Rows
-    without a URL take no part.
+    without a URL take no part. A checkpoint keeps to the ``per_url`` that it
+    was begun with; see ``changes``.
     """
 
     def with_place(df: DataFrame) -> DataFrame:
@@ -144,7 +201,7 @@ def sync_stream_state(
     spark.conf.set(idle, "false")
     try:
         query = (
-            changes(with_place(reader.parquet(source)), remembered)
+            changes(with_place(reader.parquet(source)), remembered, per_url)
             .writeStream.outputMode("update")
             .foreachBatch(write)
             .option("checkpointLocation", checkpoint)

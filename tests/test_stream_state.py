@@ -129,3 +129,60 @@ def test_equal_times_go_by_digest_in_any_order(order):
     for i in order:
         step(two, versions[i])
     assert one.value == two.value == (1, "y", False)
+
+
+def test_urls_share_states_and_calls(spark, monkeypatch):
+    """The operator is called, and keeps a state, per bucket; a state per URL gives the same changes."""
+    runs = [
+        [(f"u{i}", "one", 10) for i in range(60)],
+        [(f"u{i}", None if i % 4 == 0 else "two" if i % 4 == 1 else "one", 20) for i in range(40)] + [("never", None, 20), (None, "one", 20)],
+        [(f"u{i}", "late", 15) for i in range(30)] + [("u0", "back", 30), ("u0", "draft", 25), ("new", "one", 5)],
+    ]
+    monkeypatch.setattr(S, "BUCKETS", 7, raising=False)
+    found = []
+    for kw in ({}, {"per_url": True}):
+        stream = Stream(spark)
+        found.append(([stream.run(*rows, **kw) for rows in runs], stream.log()))
+        states = spark.read.format("statestore").load(stream.checkpoint).count()
+        assert states == (62 if kw else 7)
+    assert found[0] == found[1]
+
+
+class Clock(Held):
+    """A state by hand that is called at a time."""
+
+    now = 0
+
+    def getCurrentProcessingTimeMs(self):
+        return self.now
+
+
+def step_at(held, now, *versions):
+    held.now, held.timeout = now, None
+    rows = pd.DataFrame(versions, columns=["url", "seen", "digest", "deleted", "file", "row"])
+    return [(r["url"], r["change_type"]) for df in S.newest_of_bucket((0,), iter([rows[:1], rows[1:]]), held, 100) for r in df.to_dict("records")]
+
+
+def test_each_deletion_of_a_bucket_has_its_time():
+    held = Clock()
+    assert step_at(held, 0, ("a", 1, "x", False, "f", 0), ("b", 1, "x", False, "f", 1)) == [("a", "insert"), ("b", "insert")]
+    assert held.timeout is None
+    assert step_at(held, 10, ("a", 2, "n", True, "f", 0)) == [("a", "delete")] and held.timeout == 100
+    assert step_at(held, 20, ("c", 2, "n", True, "f", 0)) == [] and held.timeout == 90
+    # late: still remembered, and for longer; also at a time when it was due
+    assert step_at(held, 30, ("a", 1, "x", False, "f", 0)) == [] and held.timeout == 90
+    assert step_at(held, 125, ("c", 1, "x", False, "f", 0)) == [] and held.timeout == 5
+    # one is forgotten, as it was due when versions of others came; then the other, by the timeout
+    assert step_at(held, 140, ("b", 0, "x", False, "f", 0)) == [] and held.timeout == 85
+    assert sorted(held.value[0]) == ["b", "c"]
+    held.hasTimedOut = True
+    assert step_at(held, 226) == [] and held.value == (["b"], [1], ["x"], [None]) and held.timeout is None
+    held.hasTimedOut = False
+    assert step_at(held, 230, ("a", 1, "x", False, "f", 0), ("c", 1, "x", False, "f", 0)) == [("a", "insert"), ("c", "insert")]
+
+
+def test_a_bucket_of_forgotten_urls_keeps_no_state():
+    held = Clock()
+    assert step_at(held, 0, ("a", 1, "n", True, "f", 0)) == [] and held.exists
+    held.hasTimedOut = True
+    assert step_at(held, 101) == [] and not held.exists
