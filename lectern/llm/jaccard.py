@@ -615,6 +615,8 @@ def _completed(large: DataFrame, first: DataFrame) -> DataFrame:
     sizes = rooted.groupBy("block", "root").agg(F.count("*").alias("classes"))
     largest = sizes.groupBy("block").agg(F.max(F.struct("classes", "root")).alias("of")).select("block", F.col("of.root").alias("largest"))
     asked = rooted.join(largest, "block").where("root <> largest")
+    # columns of their own: Spark refuses a cogroup whose two sides have the columns of one table as ambiguous
+    asked = asked.select(*[F.col(c).alias(c) for c in ("block", "parts", "cls", "n", "keys", "root")])
     shares = asked.groupBy("block").agg(F.sum(F.size("keys").cast("long")).alias("postings")).select(
         "block", F.ceil(F.col("postings") / BLOCK).cast("long").alias("shares")
     )

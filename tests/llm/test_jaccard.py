@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from lectern.llm import jaccard
 from llm_rows import rows
 
@@ -98,6 +99,23 @@ def test_join_is_all_pairs(frame, monkeypatch, bucket, block):
     assert got == {i: (len(s), want[i]) for i, s in enumerate(sets)}
 
 
+@pytest.fixture
+def parted(monkeypatch):
+    """Blocks so small that many have several parts; how often these were completed."""
+    monkeypatch.setattr(jaccard, "BLOCK", 150)
+    monkeypatch.setattr(jaccard, "HUBS", 2)
+    calls, completed = [], jaccard._completed
+    monkeypatch.setattr(jaccard, "_completed", lambda *a: calls.append(a) or completed(*a))
+    return calls
+
+
+def test_stage_with_blocks_in_parts_is_all_pairs(frame, spark, parted):
+    made = texts()
+    want = components([words(t) for t in made])
+    stage = dict(corpus_pipeline.STAGES)["jaccard_join"]
+    assert sorted(r.doc_id for r in stage(spark, frame(rows(*made)), "").collect()) == sorted(set(want)) and parted
+
+
 def test_across_is_all_pairs():
     """A query links to each component that has a set similar to it, but for its own."""
     rng = random.Random(6)
