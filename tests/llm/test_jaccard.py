@@ -116,6 +116,14 @@ def test_stage_with_blocks_in_parts_is_all_pairs(frame, spark, parted):
     assert sorted(r.doc_id for r in stage(spark, frame(rows(*made)), "").collect()) == sorted(set(want)) and parted
 
 
+def test_join_with_blocks_in_parts_is_all_pairs(frame, parted):
+    made = texts()
+    sets = [words(t) for t in made]
+    want = components(sets)
+    got = {r.doc_id: (r.n_shingles, r.component) for r in jaccard.join(frame(rows(*made))).collect()}
+    assert got == {i: (len(s), want[i]) for i, s in enumerate(sets)} and parted
+
+
 def test_across_is_all_pairs():
     """A query links to each component that has a set similar to it, but for its own."""
     rng = random.Random(6)
